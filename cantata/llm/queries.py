@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate
+from cantata.llm import bpe, decontaminate, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate}
+    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,3 +32,41 @@ def contamination(docs, items, window=10):
                     ids |= tests[k]
         out[d] = (len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit))
     return out
+
+
+def word_sets(docs, size):
+    out = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        out.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    return out
+
+
+def near_duplicates(docs, size, threshold=80):
+    sets = word_sets(docs, size)
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    owners = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s:
+            for j in owners[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 100 * n >= threshold * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    group = {}
+    for i, (d, _) in enumerate(docs):
+        group.setdefault(find(i), []).append(d)
+    low = {k: min((x for x in v if x is not None), default=None) for k, v in group.items()}
+    return sorted([(d, len(sets[i]), low[find(i)], d == low[find(i)]) for i, (d, _) in enumerate(docs)], key=str)
