@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate, minhash
+from cantata.llm import bpe, decontaminate, minhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op9_minhash": op9_minhash}
+    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

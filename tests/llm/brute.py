@@ -70,3 +70,24 @@ def near_duplicates(docs, size, threshold=80):
         group.setdefault(find(i), []).append(d)
     low = {k: min((x for x in v if x is not None), default=None) for k, v in group.items()}
     return sorted([(d, len(sets[i]), low[find(i)], d == low[find(i)]) for i, (d, _) in enumerate(docs)], key=str)
+
+
+def repeats(docs, window=100):
+    """docs in order: (id, text). Equal (id, text) rows are one document."""
+    first, out, done = {}, [], {}
+    for d, t in docs:
+        raw = (t or "").encode()
+        if (d, raw) in done:
+            out.append(done[d, raw])
+            continue
+        covered = bytearray(len(raw))
+        for s in range(len(raw) - window + 1):
+            w = raw[s : s + window]
+            if w in first:
+                covered[s : s + window] = b"\1" * window
+            else:
+                first[w] = (d, s)
+        spans = len(re.findall(b"\1+", bytes(covered)))
+        done[d, raw] = (d, len(raw), sum(covered), spans, sha(bytes(b for b, c in zip(raw, covered) if not c)))
+        out.append(done[d, raw])
+    return out
