@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate, minhash, suffix_dedup
+from cantata.llm import bpe, decontaminate, minhash, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -34,7 +38,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op7_toxicity": op7_toxicity, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
