@@ -91,3 +91,14 @@ def repeats(docs, window=100):
         done[d, raw] = (d, len(raw), sum(covered), spans, sha(bytes(b for b, c in zip(raw, covered) if not c)))
         out.append(done[d, raw])
     return out
+
+
+def base_rules(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = {}
+    for i in range(len(w) - 4):
+        grams.setdefault(tuple(w[i : i + 5]), []).append(i)
+    repeat = {p + k for v in grams.values() if len(v) > 1 for p in v for k in range(5)}
+    failed = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat), failed
