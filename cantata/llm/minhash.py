@@ -10,8 +10,9 @@ How groups of any size are handled:
 3. Each node is compared with one pivot, the member with the smallest id of its buckets. That is one pair a node, and joins
    most groups of copies into a star.
 4. For what is left, buckets whose members lie in different components are cut into blocks of about BLOCK members; within
-   pairs of blocks, signatures are compared on arrays, and pairs that may reach the threshold (six standard deviations
-   below it still count) go on. Of these the best of each pair of components are confirmed first, then more, then all.
+   pairs of blocks, signatures are compared on arrays, and pairs that may reach the threshold (SLACK standard deviations
+   below it still count) go on. In each of BEST_ROUNDS rounds every component confirms its most promising pair, which
+   is a row a component and joins what belongs together; a last round confirms all pairs that are still open.
    A pair is confirmed once, and pairs inside one component need no confirmation, as they change no result.
 Components are found by alternating star contractions over tables in the shared folder.
 
@@ -29,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,10 @@ PERMUTATIONS = 120
 ROWS = 6
 #: Members of a block of a bucket, about.
 BLOCK = 48
-#: Confirmations for a pair of components, round by round; None: all.
-ROUNDS = (1, 8, 64, None)
+#: Rounds in which each component confirms one pair, before the round that confirms all.
+BEST_ROUNDS = 3
+#: Standard deviations below the threshold at which a signature's estimate still counts.
+SLACK = 4.5
 
 CHUNK = 1 << 19
 
@@ -154,6 +157,11 @@ def _sets(docs: DataFrame, text_col: str, id_col: str, size: int) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _files(df: DataFrame, rows: int) -> DataFrame:
+    """df in partitions of half a million rows, where it has about so many rows."""
+    return df.coalesce(rows // 500_000 + 1)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """edges (a, b) to (node, comp), the smallest node of the component, for every node of an edge other than that smallest one."""
     e = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
@@ -166,7 +174,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v"))).distinct()
-        e = scratch.keep(small, f"{name}-{k}")
+        e = scratch.keep(_files(small, 2 * was.n), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         now = e.agg(mark.alias("m")).first().m
         if now == was:
@@ -182,21 +190,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _similar(rows: DataFrame, threshold: int) -> DataFrame:
+def _similar(rows: DataFrame, threshold: int, best: bool) -> DataFrame:
     """Pairs within a group of adjacent rows, of different components, that may reach the threshold by size and signature.
+    best: of each component in a group only the pair with the best estimate.
 
     rows: grp, node, comp, n, sketch; a group's rows stand together in one partition."""
     schema = "a binary, b binary, ca binary, cb binary, score int"
     t = threshold / 100
 
     def pairs(grp, node, comp, n, sketch):
-        least = t * sketch.shape[1] - 6 * (t * (1 - t) * sketch.shape[1]) ** 0.5
+        least = t * sketch.shape[1] - SLACK * (t * (1 - t) * sketch.shape[1]) ** 0.5
         parts = []
         for d in range(1, len(grp)):
             same = grp[d:] == grp[:-d]
             if not same.any():
                 break
-            i = np.flatnonzero(same & (comp[d:] != comp[:-d]))
+            i = np.flatnonzero(same & (comp[d:] != comp[:-d]).any(1))
             i = i[100 * np.minimum(n[i], n[i + d]) >= threshold * np.maximum(n[i], n[i + d])]
             for s in range(0, len(i), 4096):
                 k = i[s : s + 4096]
@@ -206,19 +215,26 @@ def _similar(rows: DataFrame, threshold: int) -> DataFrame:
         if not parts:
             return None
         i, j, score = (np.concatenate(x) for x in zip(*parts))
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out = [pa.array(x.tolist(), pa.binary()) for x in (node[i], node[j], comp[i], comp[j])]
-        return pa.RecordBatch.from_arrays([*out, pa.array(score, pa.int32())], names=["a", "b", "ca", "cb", "score"]) if len(i) else None
+        if best and len(i):
+            side, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+            order = np.lexsort([pair, -score[pair], comp[side, 1], comp[side, 0], grp[side]])
+            g, c = grp[side][order], comp[side][order]
+            lead = np.ones(len(order), bool)
+            lead[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]).any(1)
+            keep = np.unique(pair[order[lead]])
+            i, j, score = i[keep], j[keep], score[keep]
+        if not len(i):
+            return None
+        return pa.RecordBatch.from_arrays([*(_binary(np.ascontiguousarray(x).view(np.uint8)) for x in (node[i], node[j], comp[i], comp[j])), pa.array(score, pa.int32())], names=["a", "b", "ca", "cb", "score"])
 
     def run(batches):
         held = None  # the last group may go on in the next batch
         for batch in batches:
+            if not batch.num_rows:
+                continue
             grp = np.asarray(batch.column(0))
-            node, comp = (np.array(batch.column(c).to_pylist(), object) for c in (1, 2))
-            n = np.asarray(batch.column(3))
-            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(grp), -1)
-            now = (grp, node, comp, n, sketch)
+            node, comp = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 2) for c in (1, 2))
+            now = (grp, node, comp, np.asarray(batch.column(3)), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(grp), -1))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
             cut = len(now[0]) - int((now[0][::-1] == now[0][-1]).cumprod().sum())
@@ -260,7 +276,11 @@ def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
     links = scratch.keep(_confirm(star, sets, threshold), "links-0")
     tested = star
     labels = components(links, scratch, "comp-0")
-    for k, most in enumerate(ROUNDS, 1):
+    exhausted = False  # the best pairs that are left are confirmed already
+    for k in range(1, BEST_ROUNDS + 2):
+        best = k <= BEST_ROUNDS
+        if best and exhausted:
+            continue
         placed = members.join(labels, "node", "left").select("key", "size", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
         open_ = placed.join(mixed, "key", "left_semi")
@@ -268,14 +288,15 @@ def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
         mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
         spread_ = open_.select("key", "node", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
         grouped = spread_.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
-        near = _similar(grouped.repartition(partitions(spark), "grp").sortWithinPartitions("grp"), threshold)
-        near = near.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if most:
-            order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("score"), "a", "b")
-            near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        near = scratch.keep(near.select("a", "b"), f"near-{k}")
+        near = _similar(grouped.repartition(partitions(spark), "grp").sortWithinPartitions("grp"), threshold, best)
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb", "score").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if best:
+            pair = F.struct("score", "a", "b")
+            near = near.select(F.explode(F.array("ca", "cb")).alias("c"), pair.alias("p")).groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b")
+        near = scratch.keep(near.select("a", "b").distinct(), f"near-{k}")
         if not near.take(1):
-            break
+            exhausted = True
+            continue
         new = scratch.keep(_confirm(near, sets, threshold), f"links-{k}")
         tested = tested.unionByName(near)
         if new.take(1):
