@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate, minhash, quality_rules, suffix_dedup, toxicity
+from cantata.llm import bpe, decontaminate, minhash, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+#: The rules of the URL query: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.match(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op7_toxicity": op7_toxicity, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op7_toxicity": op7_toxicity, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,3 +102,25 @@ def base_rules(text):
     repeat = {p + k for v in grams.values() if len(v) > 1 for p in v for k in range(5)}
     failed = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat), failed
+
+
+def secrets(text):
+    t = text or ""
+    kinds = (
+        ("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, 16),
+        ("hex", r"[0-9a-f]+", 0, 32),
+    )
+    out = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p, g, n) in enumerate(kinds) for m in re.finditer(p, t) if len(m[g]) >= n]
+    return [sum(i == k for _, i, _ in out) for k in range(3)], ",".join(x for _, _, x in sorted(out))
+
+
+def url(u, rules, default="allow"):
+    host = path = ""
+    if u is not None and "://" in u:
+        rest = u.split("://", 1)[1]
+        raw = re.match(r"[^/?#]*", rest)[0]
+        host, path = lower(raw), re.match(r"[^?#]*", rest[len(raw) :])[0]
+    fits = [r for r in rules if host and (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2]), default=None)
+    return host, path, best and best[0] + best[1], best[2] if best else default
