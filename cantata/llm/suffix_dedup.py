@@ -214,14 +214,23 @@ class Dedup:
         found = self.scratch.keep(self.windows(open_), "found")
         return self.removal(first, found)
 
-    def told(self, rows: DataFrame, columns: list[str], limit_bytes: int):
-        """Rows about places (h, c, d, t, pos and more): as sorted keys with the other columns to broadcast, or None if they are too many."""
-        if rows.count() * limit_bytes > self.limit:
+    def told(self, rows: DataFrame, columns: list[str], row_bytes: int):
+        """Rows about places (h, c, d, t, pos and more) to broadcast: their keys, sorted, and the other columns; None if they are too many.
+        Executors make the keys, so the driver gathers eight bytes a place and the columns."""
+        if rows.count() * row_bytes > self.limit:
             return None
-        table = rows.select("h", "c", "d", "t", "pos", *columns).toArrow()
-        key = place_key(*(np.asarray(table.column(c)).astype(np.int64).view(np.uint64) for c in ("h", "c")), *(np.asarray(table.column(c)).astype(np.int64) for c in ("d", "t", "pos")))
+
+        def run(batches):
+            for batch in batches:
+                h, c, d, t, pos = (_numbers(batch.column(k)) for k in range(5))
+                key = place_key(h.view(np.uint64), c.view(np.uint64), d, t, pos)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(5 + k) for k in range(len(columns)))], names=["key", *columns])
+
+        schema = T.StructType([T.StructField("key", T.LongType()), *(rows.schema[c] for c in columns)])
+        table = rows.select("h", "c", "d", "t", "pos", *columns).mapInArrow(run, schema).toArrow()
+        key = np.asarray(table.column("key")).astype(np.int64).view(np.uint64)
         order = np.argsort(key)
-        return key[order], {c: table.column(c).take(pa.array(order)).combine_chunks() for c in columns}
+        return key[order], {c: table.column(c).take(pa.array(order)) for c in columns}
 
     def by_document(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         told = rows.groupBy("d", "t").agg(F.collect_list(F.struct("pos", *columns)).alias("told"))
@@ -229,9 +238,9 @@ class Dedup:
 
     def windows(self, open_: DataFrame) -> DataFrame:
         """(h, c, d, t, pos, gone): of each context's first place, a bit for each window, counted from the last one back, that also starts earlier."""
-        told = self.told(open_, ["size"], 12)
+        told = self.told(open_, ["size"], 16)
         window, width, hot = self.window, self.window - self.gram + 1, self.hot
-        shipped = None if told is None else self.spark.sparkContext.broadcast((told[0], np.asarray(told[1]["size"]).astype(np.int64)))
+        shipped = None if told is None else self.spark.sparkContext.broadcast((told[0], np.asarray(told[1]["size"]).astype(np.int32)))
         docs = self.docs if told is not None else self.by_document(open_, ["size"])
 
         def select(s, d, t, rows):
@@ -253,7 +262,7 @@ class Dedup:
             a, b = s.contexts()
             lo, hi = s.windows()
             raw = s.data.tobytes()
-            arrays = [s.gram.view(np.int64), c.view(np.int64), d[s.doc], t[s.doc], pos.astype(np.int32), size, (s.at - hi).astype(np.int32), (s.at - lo).astype(np.int32), (s.at - a).astype(np.int32)]
+            arrays = [s.gram.view(np.int64), c.view(np.int64), d[s.doc], t[s.doc], pos.astype(np.int32), size.astype(np.int64), (s.at - hi).astype(np.int32), (s.at - lo).astype(np.int32), (s.at - a).astype(np.int32)]
             context = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
             return pa.RecordBatch.from_arrays([*map(pa.array, arrays), context], names=["h", "c", "d", "t", "pos", "size", "near", "far", "lead", "context"])
 
