@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate, minhash, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from cantata.llm import bpe, decontaminate, html_extract, minhash, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -60,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op7_toxicity": op7_toxicity, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
