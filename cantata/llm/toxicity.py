@@ -38,7 +38,7 @@ STRETCH = 4
 MAX_MODEL_BYTES = 128 << 20
 #: Discounts to choose from, by the fit of the curve. What a count has beyond the discount counts as evidence; an n-gram
 #: seen no more often is left to the back-off altogether.
-DISCOUNTS = (0.75, 2.0, 5.0, 12.0, 30.0, 60.0)
+DISCOUNTS = (2.0, 5.0, 12.0, 30.0, 60.0)
 ORDINARY, TOXIC = 0, 1
 
 _ODD = np.uint64(0xA0761D6478BD642F)
@@ -147,21 +147,21 @@ def kneser_ney(words_: np.ndarray, shared: np.ndarray, pairs: dict[str, np.ndarr
 class Trainer:
     """Counts of a bounded sample. All counts are continuation counts, so a passage that is copied counts once."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray):
-        h, pairs, first = tokens(data, offsets)
-        kind = label[np.repeat(np.arange(len(offsets) - 1), np.diff(first))]
+    def __init__(self, texts: list[bytes], label: np.ndarray):
+        h, pairs, first = _tokens_of(texts)
+        kind = label[np.repeat(np.arange(len(texts)), np.diff(first))]
         before, earlier = np.full(len(h), _START), np.full(len(h), _START)
         before[1:], earlier[1:] = h[:-1], pairs[:-1]
         before[first[:-1][first[:-1] < len(h)]] = _START
         self.pair, at, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        self.count = np.zeros((len(self.pair), 2))
+        self.count = np.zeros((len(self.pair), 2), np.float32)
         for k in (ORDINARY, TOXIC):
             mine = np.flatnonzero(kind == k)
             _, one = np.unique(mix(earlier[mine] * _ODD + pairs[mine]), return_index=True)
             np.add.at(self.count[:, k], inverse[mine[one]], 1)
         self.last = h[at]
         self.word, inverse = np.unique(self.last, return_inverse=True)
-        self.continues = np.zeros((len(self.word), 2))
+        self.continues = np.zeros((len(self.word), 2), np.float32)
         for k in (ORDINARY, TOXIC):
             np.add.at(self.continues[:, k], inverse[self.count[:, k] > 0], 1)
         histories, self.place = np.unique(before[at], return_inverse=True)
@@ -173,8 +173,8 @@ class Trainer:
 
     def model(self, seen: np.ndarray, everything: int, discount: float) -> Model:
         """seen: how often each word of the vocabulary stands in the corpus, of everything words. Without a curve yet."""
-        totals = self.continues.sum(0)
-        history, held = np.zeros((self.histories, 2)), np.zeros((self.histories, 2))
+        totals = self.continues.sum(0, dtype=np.float64)
+        history, held = np.zeros((self.histories, 2), np.float32), np.zeros((self.histories, 2), np.float32)
         np.add.at(history, self.place, self.count)
         np.add.at(held, self.place, np.maximum(self.count - discount, 0))
         keep = (self.count > discount).any(1)
@@ -212,8 +212,16 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, text_col: str, id_col
     return [(r.role, r.label, r["__text"].encode()) for r in found.where(F.col("h") <= last).orderBy("h", "__id", "__text").collect()]
 
 
-def _buffers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a list of texts, a chunk at a time, so that the driver holds hashes and not the work on all bytes."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    parts, first = [], [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets):
+        h, pairs, f = tokens(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
+        first.append(f[1:] + first[-1][-1])
+        parts.append((h, pairs))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *(h for h, _ in parts)]), np.concatenate([none, *(p for _, p in parts)]), np.concatenate(first)
 
 
 def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -246,12 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
     curve = [(label, text) for role, label, text in sample if role == "curve"] or counted
     if len({label for label, _ in counted}) < 2 or len({label for label, _ in curve}) < 2:
         return None
-    trainer = Trainer(*_buffers([t for _, t in counted]), np.array([label for label, _ in counted]))
+    trainer = Trainer([t for _, t in counted], np.array([label for label, _ in counted]))
     vocabulary = trainer.vocabulary()
     if vocabulary.nbytes > MAX_MODEL_BYTES:
         raise ValueError("the models' vocabulary is too large to ship; take fewer rows in the sample")
     seen, everything = _corpus_counts(docs, vocabulary, text_col)
-    h, pairs, first = tokens(*_buffers([t for _, t in curve]))
+    h, pairs, first = _tokens_of([t for _, t in curve])
     y = np.array([label for label, _ in curve], float)
     best, loss = None, np.inf
     for discount in DISCOUNTS:

@@ -1,10 +1,96 @@
-"""Corpus pipeline: the stages from raw documents to token ids."""
+"""Corpus pipeline: from raw documents to token ids, in stages that each act on what the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; a driver writes it as Parquet and hands what it reads back to the next
+one. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cantata.llm import bpe, decontaminate, minhash, secrets, toxicity
+from cantata.llm.common import Scratch, small_side
+from cantata.llm.queries import table, vocabulary_path
+
+#: What stands for a secret in a text that stays.
+MASK = "[secret]"
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs but those whose id is in ids (a column doc_id). The ids are broadcast while they are few."""
+    gone = scratch.keep(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(small_side(gone, gone.count(), 40), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go. Rows that share a doc_id go together."""
+    judged = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return without(docs, judged.where("predicted = 1"), Scratch(spark))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return without(docs, minhash.cluster(docs).where("not kept"), Scratch(spark))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verbatim window of a benchmark item go."""
+    found = decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    return without(docs, found.where("contaminated"), Scratch(spark))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked and their documents stay; n_chars follows the text. Overlapping spans are masked as one."""
+    scratch, columns = Scratch(spark), docs.columns
+    mark = F.xxhash64(F.col("text"))
+    found = secrets.scan(docs.select("doc_id", "source", "text", mark.alias("__hash")), keep=("doc_id", "__hash")).where(F.size("found") > 0)
+
+    def joined(out, s):
+        last = F.get(out, F.size(out) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] >= s["start"], F.array_append(F.slice(out, 1, F.size(out) - 1), longer)).otherwise(F.array_append(out, s))
+
+    spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    runs = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), joined)
+    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), "__hash", runs.alias("__runs")).dropDuplicates(["__id", "__hash"]), "found")
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size("__runs")).alias("runs")).first()
+    found = small_side(found, size.n, 64 + 16 * (size.runs or 0) // max(size.n, 1))
+
+    part = lambda start, length: F.col("text").substr((start + 1).cast("int"), length.cast("int"))
+    masked = F.aggregate(
+        "__runs",
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text")),
+        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["text"], part(a["at"], s["start"] - a["at"]), F.lit(MASK)).alias("text")),
+        lambda a: F.concat(a["text"], part(a["at"], F.length("text"))),
+    )
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__hash")), "left")
+    out = out.withColumn("__masked", F.when(F.col("__runs").isNotNull(), masked))
+    new = {"text": F.coalesce("__masked", "text"), "n_chars": F.coalesce(F.length("__masked").cast("bigint"), "n_chars")}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of the ids and of what they decode to."""
+    return bpe.encode(docs, vocabulary_path(), digests=True).drop("offsets")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("byte-level BPE", encode),
+]
+
+#: Language models and token merges can't be said in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each result written to the shared folder and read again."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
