@@ -12,8 +12,10 @@ How groups of any size are handled:
 4. For what is left, buckets whose members lie in different components are cut into blocks of about BLOCK members; within
    pairs of blocks, signatures are compared on arrays, and pairs that may reach the threshold (SLACK standard deviations
    below it still count) go on. In each of BEST_ROUNDS rounds every component confirms its most promising pair, which
-   is a row a component and joins what belongs together; a last round confirms all pairs that are still open.
-   A pair is confirmed once, and pairs inside one component need no confirmation, as they change no result.
+   is a row a component and joins what belongs together. A last round takes the sets of all members that still have an
+   open pair into the blocks and confirms every such pair there; of a block's links only a spanning forest comes out.
+   So no step emits more rows than there are members in blocks, and pairs inside one component, which change no
+   result, need no confirmation.
 Components are found by alternating star contractions over tables in the shared folder.
 
 At similarity 0.8 a pair shares no band of the default signature with probability 5e-6; above, with less.
@@ -44,7 +46,7 @@ ROWS = 6
 #: Members of a block of a bucket, about.
 BLOCK = 48
 #: Rounds in which each component confirms one pair, before the round that confirms all.
-BEST_ROUNDS = 3
+BEST_ROUNDS = 2
 #: Standard deviations below the threshold at which a signature's estimate still counts.
 SLACK = 4.5
 
@@ -190,61 +192,120 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _similar(rows: DataFrame, threshold: int, best: bool) -> DataFrame:
-    """Pairs within a group of adjacent rows, of different components, that may reach the threshold by size and signature.
-    best: of each component in a group only the pair with the best estimate.
-
-    rows: grp, node, comp, n, sketch; a group's rows stand together in one partition."""
-    schema = "a binary, b binary, ca binary, cb binary, score int"
+def _open_pairs(grp, comp, n, sketch, threshold: int):
+    """Pairs of rows (i, j) of a group, of different components, that may reach the threshold by size and signature; and the score."""
     t = threshold / 100
+    least = t * sketch.shape[1] - SLACK * (t * (1 - t) * sketch.shape[1]) ** 0.5
+    for d in range(1, len(grp)):
+        same = grp[d:] == grp[:-d]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (comp[d:] != comp[:-d]).any(1))
+        i = i[100 * np.minimum(n[i], n[i + d]) >= threshold * np.maximum(n[i], n[i + d])]
+        for s in range(0, len(i), 4096):
+            k = i[s : s + 4096]
+            score = (sketch[k] == sketch[k + d]).sum(1)
+            ok = score >= least
+            if ok.any():
+                yield k[ok], k[ok] + d, score[ok]
+
+
+def _whole_groups(batches, most_rows: int = 4096):
+    """Batches cut so that no group (first column, adjacent rows) is divided; of about most_rows rows."""
+    held = None
+    for batch in batches:
+        for s in range(0, batch.num_rows, most_rows):
+            part = pa.Table.from_batches([batch.slice(s, most_rows)])
+            now = part if held is None else pa.concat_tables([held, part])
+            grp = np.asarray(now.column(0))
+            cut = len(grp) - int((grp[::-1] == grp[-1]).cumprod().sum())
+            if cut:
+                yield now.slice(0, cut).combine_chunks()
+            held = now.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _columns(table):
+    grp, n = np.asarray(table.column("grp")), np.asarray(table.column("n"))
+    wide = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(grp), -1)
+    return grp, wide("node", np.uint64), wide("comp", np.uint64), n, wide("sketch", np.uint8)
+
 
-    def pairs(grp, node, comp, n, sketch):
-        least = t * sketch.shape[1] - SLACK * (t * (1 - t) * sketch.shape[1]) ** 0.5
-        parts = []
-        for d in range(1, len(grp)):
-            same = grp[d:] == grp[:-d]
-            if not same.any():
-                break
-            i = np.flatnonzero(same & (comp[d:] != comp[:-d]).any(1))
-            i = i[100 * np.minimum(n[i], n[i + d]) >= threshold * np.maximum(n[i], n[i + d])]
-            for s in range(0, len(i), 4096):
-                k = i[s : s + 4096]
-                score = (sketch[k] == sketch[k + d]).sum(1)
-                ok = score >= least
-                parts.append((k[ok], k[ok] + d, score[ok]))
-        if not parts:
-            return None
-        i, j, score = (np.concatenate(x) for x in zip(*parts))
-        if best and len(i):
+def _ids(*columns) -> list:
+    return [_binary(np.ascontiguousarray(x).view(np.uint8)) for x in columns]
+
+
+def _best(rows: DataFrame, threshold: int) -> DataFrame:
+    """Of each component in a group (adjacent rows) the pair with the best estimate."""
+
+    def run(batches):
+        for table in _whole_groups(batches):
+            grp, node, comp, n, sketch = _columns(table)
+            parts = list(_open_pairs(grp, comp, n, sketch, threshold))
+            if not parts:
+                continue
+            i, j, score = (np.concatenate(x) for x in zip(*parts))
             side, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
             order = np.lexsort([pair, -score[pair], comp[side, 1], comp[side, 0], grp[side]])
             g, c = grp[side][order], comp[side][order]
             lead = np.ones(len(order), bool)
             lead[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]).any(1)
             keep = np.unique(pair[order[lead]])
-            i, j, score = i[keep], j[keep], score[keep]
-        if not len(i):
-            return None
-        return pa.RecordBatch.from_arrays([*(_binary(np.ascontiguousarray(x).view(np.uint8)) for x in (node[i], node[j], comp[i], comp[j])), pa.array(score, pa.int32())], names=["a", "b", "ca", "cb", "score"])
+            i, j = i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays([*_ids(node[i], node[j], comp[i], comp[j]), pa.array(score[keep], pa.int32())], names=["a", "b", "ca", "cb", "score"])
+
+    return rows.select("grp", "node", "comp", "n", "sketch").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score int")
+
+
+def _active(rows: DataFrame, threshold: int) -> DataFrame:
+    """The rows of groups (adjacent rows) that have an open pair."""
+    columns = ["grp", "node", "comp", "n", "sketch"]
 
     def run(batches):
-        held = None  # the last group may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grp = np.asarray(batch.column(0))
-            node, comp = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 2) for c in (1, 2))
-            now = (grp, node, comp, np.asarray(batch.column(3)), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(grp), -1))
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now))
-            cut = len(now[0]) - int((now[0][::-1] == now[0][-1]).cumprod().sum())
-            if cut and (out := pairs(*(x[:cut] for x in now))) is not None:
-                yield out
-            held = tuple(x[cut:] for x in now)
-        if held is not None and (out := pairs(*held)) is not None:
-            yield out
+        for table in _whole_groups(batches):
+            grp, _, comp, n, sketch = _columns(table)
+            some = np.zeros(len(grp), bool)
+            for i, j, _ in _open_pairs(grp, comp, n, sketch, threshold):
+                some[i] = some[j] = True
+            if some.any():
+                yield from table.filter(pa.array(some)).to_batches()
+
+    return rows.select(*columns).mapInArrow(run, "grp bigint, node binary, comp binary, n bigint, sketch binary")
+
 
-    return rows.select("grp", "node", "comp", "n", "sketch").mapInArrow(run, schema)
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on the full sets (column members): a spanning forest of each group (adjacent rows)."""
+
+    def run(batches):
+        for table in _whole_groups(batches, 256):
+            grp, node, comp, n, sketch = _columns(table)
+            sets = [np.asarray(x.values).view(np.uint64) for x in table.column("members")]  # sorted as unsigned numbers
+            root = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            key = [(g, c.tobytes()) for g, c in zip(grp.tolist(), comp)]
+            out = []
+            for i, j, _ in _open_pairs(grp, comp, n, sketch, threshold):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if find(key[a]) == find(key[b]):
+                        continue
+                    x, y = sets[a], sets[b]
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    both = int((x[at] == y).sum())
+                    if 100 * both >= threshold * (len(x) + len(y) - both):
+                        root[find(key[a])] = find(key[b])
+                        out.append((a, b))
+            if out:
+                a, b = np.array(out).T
+                yield pa.RecordBatch.from_arrays(_ids(node[a], node[b]), names=["a", "b"])
+
+    return rows.select("grp", "node", "comp", "n", "sketch", "members").mapInArrow(run, "a binary, b binary")
 
 
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -274,34 +335,37 @@ def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
     sets = scratch.keep(sets, "sets")
 
     links = scratch.keep(_confirm(star, sets, threshold), "links-0")
-    tested = star
+    tested = star.select("a", "b")
     labels = components(links, scratch, "comp-0")
-    exhausted = False  # the best pairs that are left are confirmed already
-    for k in range(1, BEST_ROUNDS + 2):
-        best = k <= BEST_ROUNDS
-        if best and exhausted:
-            continue
+    def blocks_of(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, once for each pair of blocks; a group's rows together."""
         placed = members.join(labels, "node", "left").select("key", "size", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        open_ = placed.join(mixed, "key", "left_semi")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        spread_ = open_.select("key", "node", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-        grouped = spread_.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
-        near = _similar(grouped.repartition(partitions(spark), "grp").sortWithinPartitions("grp"), threshold, best)
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb", "score").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if best:
-            pair = F.struct("score", "a", "b")
-            near = near.select(F.explode(F.array("ca", "cb")).alias("c"), pair.alias("p")).groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b")
-        near = scratch.keep(near.select("a", "b").distinct(), f"near-{k}")
+        count = F.ceil(F.col("size") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("node"), count).cast("int")
+        spread = placed.join(mixed, "key", "left_semi").select("key", "node", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
+        grouped = spread.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
+        return together(grouped)
+
+    def together(grouped: DataFrame) -> DataFrame:
+        return grouped.repartition(partitions(spark), "grp").sortWithinPartitions("grp")
+
+    for k in range(1, BEST_ROUNDS + 1):
+        near = _best(blocks_of(labels), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb", "score").join(tested, ["a", "b"], "left_anti")
+        near = near.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p")).groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b")
+        near = scratch.keep(near.distinct(), f"near-{k}")
         if not near.take(1):
-            exhausted = True
-            continue
-        new = scratch.keep(_confirm(near, sets, threshold), f"links-{k}")
+            break
         tested = tested.unionByName(near)
-        if new.take(1):
-            links = links.unionByName(new)
-            labels = components(links, scratch, f"comp-{k}")
+        new = scratch.keep(_confirm(near, sets, threshold), f"links-{k}")
+        if not new.take(1):
+            break
+        links = links.unionByName(new)
+        labels = components(links, scratch, f"comp-{k}")
+    active = scratch.keep(_active(blocks_of(labels), threshold), "active")
+    new = scratch.keep(_linked(together(active.join(sets, "node")), threshold).distinct(), "links-last")
+    if new.take(1):
+        labels = components(links.unionByName(new), scratch, "comp-last")
 
     placed = nodes.select("node", "rid").join(labels, "node", "left").select("node", "rid", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rid").alias("component_id"))
