@@ -38,7 +38,7 @@ GRAM = 32
 #: Bytes of a broadcast lookup.
 LIMIT = 64 << 20
 #: Contexts of an anchor above which windows are grouped one by one.
-HOT = 1024
+HOT = 16384
 
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _NO_ID = (1 << 63) - 1
