@@ -1,11 +1,17 @@
-"""Queries over the driver's tables, each with the SQL that checks it."""
+"""Queries over the driver's tables, each with the SQL that checks it (or None)."""
 
 from __future__ import annotations
 
+from cantata.plans import text_queries
+
+
+def _all() -> dict:
+    return dict(text_queries.QUERIES)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -32,4 +32,4 @@ def base64_bytes(c: Column) -> Column:
 
 
 def data_url(mime: str, payload: Column) -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(payload))
+    return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(payload), r"\s", ""))
