@@ -44,7 +44,7 @@ THRESHOLD = 80
 PERMUTATIONS = 120
 ROWS = 6
 #: Members of a block of a bucket, about.
-BLOCK = 48
+BLOCK = 1024
 #: Rounds in which each component confirms one pair, before the round that confirms all.
 BEST_ROUNDS = 2
 #: Standard deviations below the threshold at which a signature's estimate still counts.
