@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def repair(times: list[int] | None) -> list[int] | None:
 
 def repair_times(df: DataFrame, times: str, out: str) -> DataFrame:
     """df with the repaired times in a column, an array of integers."""
-    import pandas as pd
-
     @F.pandas_udf("array<bigint>")
     def repaired(column: pd.Series) -> pd.Series:
         return column.map(lambda x: None if x is None else repair([int(v) for v in x]))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cantata.plans import text_queries
+from cantata.plans import signal_queries, text_queries
 
 
 def _all() -> dict:
-    return dict(text_queries.QUERIES)
+    return text_queries.QUERIES | signal_queries.QUERIES
 
 
 def queries() -> dict:

@@ -61,8 +61,8 @@ class StreamSettings:
 class Rechunker(StatefulProcessor):
     """Emits a row for each full chunk, and for the rest when a session ends or has been idle for more than IDLE_SECONDS."""
 
-    def __init__(self, chunk: int, idle_seconds: int = IDLE_SECONDS):
-        self.chunk, self.idle_ms = chunk, idle_seconds * 1000
+    def __init__(self, chunk: int, idle_seconds: int | None = IDLE_SECONDS):
+        self.chunk, self.idle_ms = chunk, None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,9 +86,10 @@ class Rechunker(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((number, buffer))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        if not ended:
+        if self.idle_ms is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        if self.idle_ms is not None and not ended:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms + 1)
         yield self._frame(out)
 
@@ -107,10 +108,11 @@ class Rechunker(StatefulProcessor):
         pass
 
 
-def rechunk_stream(pushes: DataFrame, chunk: int, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """pushes: a stream of (session_id string, seq bigint, samples array<double>, last boolean)."""
+def rechunk_stream(pushes: DataFrame, chunk: int, idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
+    """pushes: a stream of (session_id string, seq bigint, samples array<double>, last boolean). Without idle_seconds sessions end by
+    their last push only; a run to the end of a finite input needs that, as timers would keep it waiting."""
     pushes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return pushes.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Rechunker(chunk, idle_seconds), outputStructType=CHUNKS, outputMode="Update", timeMode="ProcessingTime")
+    return pushes.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Rechunker(chunk, idle_seconds), outputStructType=CHUNKS, outputMode="Update", timeMode="None" if idle_seconds is None else "ProcessingTime")
 
 
 def run_to_end(stream: DataFrame, path: str) -> DataFrame:
@@ -136,7 +138,7 @@ def rechunk_pushes(pushes: DataFrame, key: str, order: str, size: str, chunk: in
 def idle_sessions(events: DataFrame, key: str, time: str, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """A session goes on while pauses don't exceed the limit: key, session_number (from 0), first and last time, and n."""
     before = F.lag(time).over(Window.partitionBy(key).orderBy(time))
-    pause = F.unix_micros(F.col(time)) - F.unix_micros(before)
+    pause = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
     started = events.withColumn("__new", F.when(pause > idle_seconds * 1_000_000, 1).otherwise(0))
     number = F.sum("__new").over(Window.partitionBy(key).orderBy(time))
     return started.withColumn("session_number", number).groupBy(key, "session_number").agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("n"))
