@@ -149,7 +149,7 @@ class Trainer:
 
     def __init__(self, texts: list[bytes], label: np.ndarray):
         h, pairs, first = _tokens_of(texts)
-        kind = label[np.repeat(np.arange(len(texts)), np.diff(first))]
+        kind = np.repeat(label.astype(np.int8), np.diff(first))
         before, earlier = np.full(len(h), _START), np.full(len(h), _START)
         before[1:], earlier[1:] = h[:-1], pairs[:-1]
         before[first[:-1][first[:-1] < len(h)]] = _START
@@ -159,6 +159,8 @@ class Trainer:
             mine = np.flatnonzero(kind == k)
             _, one = np.unique(mix(earlier[mine] * _ODD + pairs[mine]), return_index=True)
             np.add.at(self.count[:, k], inverse[mine[one]], 1)
+            del mine, one
+        del earlier, pairs, inverse, kind
         self.last = h[at]
         self.word, inverse = np.unique(self.last, return_inverse=True)
         self.continues = np.zeros((len(self.word), 2), np.float32)
@@ -209,19 +211,21 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, text_col: str, id_col
         last = r.h
     if last is None:
         return []
-    return [(r.role, r.label, r["__text"].encode()) for r in found.where(F.col("h") <= last).orderBy("h", "__id", "__text").collect()]
+    got = found.where(F.col("h") <= last).orderBy("h", "__id", "__text").select("role", "label", F.col("__text").cast("binary").alias("t")).toArrow()
+    return list(zip(*(got.column(c).to_pylist() for c in ("role", "label", "t"))))
 
 
-def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _token_chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """tokens() of a list of texts, a chunk at a time, so that the driver holds hashes and not the work on all bytes."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    parts, first = [], [np.zeros(1, np.int64)]
-    for i, j in chunks(offsets):
-        h, pairs, f = tokens(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
-        first.append(f[1:] + first[-1][-1])
-        parts.append((h, pairs))
+    return [tokens(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
+
+
+def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = _token_chunks(texts)
     none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *(h for h, _ in parts)]), np.concatenate([none, *(p for _, p in parts)]), np.concatenate(first)
+    count = np.concatenate([[0], *(np.diff(f) for _, _, f in parts)]).astype(np.int64)
+    return np.concatenate([none, *(h for h, _, _ in parts)]), np.concatenate([none, *(p for _, p, _ in parts)]), np.cumsum(count)
 
 
 def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -254,17 +258,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
     curve = [(label, text) for role, label, text in sample if role == "curve"] or counted
     if len({label for label, _ in counted}) < 2 or len({label for label, _ in curve}) < 2:
         return None
-    trainer = Trainer([t for _, t in counted], np.array([label for label, _ in counted]))
+    parts = _token_chunks([t for _, t in curve])
+    y = np.array([label for label, _ in curve], float)
+    texts, label = [t for _, t in counted], np.array([label for label, _ in counted])
+    del sample, counted, curve
+    trainer = Trainer(texts, label)
+    del texts
     vocabulary = trainer.vocabulary()
     if vocabulary.nbytes > MAX_MODEL_BYTES:
         raise ValueError("the models' vocabulary is too large to ship; take fewer rows in the sample")
     seen, everything = _corpus_counts(docs, vocabulary, text_col)
-    h, pairs, first = _tokens_of([t for _, t in curve])
-    y = np.array([label for label, _ in curve], float)
     best, loss = None, np.inf
     for discount in DISCOUNTS:
         model = trainer.model(seen, everything, discount)
-        x = summary(model.ratios(h, pairs), first)
+        x = np.concatenate([summary(model.ratios(h, pairs), first) for h, pairs, first in parts])
         model.curve = fit_curve(x, y)
         p = np.clip(curve_value(model.curve, x), 1e-9, 1 - 1e-9)
         if (now := -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) < loss:
