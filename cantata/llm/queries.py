@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantata.llm import bpe, decontaminate, html_extract, minhash, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from cantata.llm import bpe, decontaminate, html_extract, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express. The list of the quality rules, token merges, language models and block structure can't be said in SQL;
+    nor can, over whole tables in good time, windows of bytes. These queries are tested against brute force."""
+    return {
+        "op3_decontaminate": oracles.DECONTAMINATE,
+        "op4_secrets": oracles.SECRETS,
+        "op5_url_filter": oracles.url_filter(URL_RULES),
+        "op9_minhash": oracles.NEAR_DUPLICATES,
+    }
