@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cantata.llm import bpe, decontaminate, html_extract, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from cantata.llm import bpe, decontaminate, html_extract, licenses, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.match(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source is the repository, and hundreds and thousands of ids are directories in it."""
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), part(1000), part(100), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "pipeline": pipeline}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
