@@ -1,64 +1,16 @@
-"""Helpers that the training-data operators share: where intermediate tables go, and byte-level views of Arrow text."""
+"""Helpers that the training-data operators share: checked broadcasts, and byte-level views of Arrow text."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantata.storage import Scratch, shared_dir  # noqa: F401
+
 #: Text bytes that an Arrow function handles at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where the master itself is local."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN_DIRS:
-        _OWN_DIRS[key] = tempfile.mkdtemp(prefix="cantata-")
-    return "file://" + _OWN_DIRS[key]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already; what is left lies in the shared folder
-        pass
-
-
-class Scratch:
-    """Tables of one operator call, written as Parquet into the shared folder.
-
-    A table cuts the lineage: a lost executor costs the tasks that ran on it and not the stages before.
-    drop() removes a table that no later step reads; the others go when the process ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/cantata-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, self.root)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -69,10 +21,6 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20)
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def sha_hex(c: Column) -> Column:
-    return F.sha2(c, 256)
-
-
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string array and its n + 1 offsets; a null counts as empty."""
     import pyarrow as pa

@@ -241,8 +241,7 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     scratch = Scratch(docs.sparkSession)
     measured = scratch.keep(statistics(docs, text_col, (id_col,)), "statistics")
     known = labels.where(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.min("quality") <= 0).alias("bad"))
-    labelled = scratch.keep(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), "labelled")
-    rules = learn(labelled, scratch)
+    rules = learn(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), scratch)
     number = F.lit(None).cast("int")
     for k, r in reversed(list(enumerate(rules, 1))):
         number = F.when(r.expression(F.col("features")), k).otherwise(number)
