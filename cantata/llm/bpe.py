@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cantata.llm.common import chunks, text_buffer
+from cantata.llm.common import chunks, frugal, text_buffer
 
 #: A vocabulary file larger than this isn't shipped to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -223,6 +223,10 @@ class Pieces(dict):
             self[piece] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Codec:
     """Encoder and decoder over one vocabulary."""
@@ -312,8 +316,9 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tu
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
                     columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        codec.pieces.forget()
 
-    return df.select(*keep, df[text_col].cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))
+    return df.select(*keep, df[text_col].cast("string").alias("__text")).mapInArrow(frugal(run), T.StructType(fields))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -331,4 +336,4 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", keep: tupl
                 names=[f.name for f in fields],
             )
 
-    return df.select(*keep, df[ids_col].alias("__ids")).mapInArrow(run, T.StructType(fields))
+    return df.select(*keep, df[ids_col].alias("__ids")).mapInArrow(frugal(run), T.StructType(fields))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,23 @@ from cantata.storage import Scratch, shared_dir  # noqa: F401
 CHUNK_BYTES = 1 << 20
 
 
+def frugal(run):
+    """Wraps a function on batches: when a task is done, its worker gives the memory that it has freed back to the system, so that
+    workers that wait for the next task don't hold what the last one needed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, LOWER, chunks, mix, prefix_hash, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, LOWER, chunks, frugal, mix, prefix_hash, span_hash, text_buffer, words
 
 #: Words of a window.
 WINDOW = 10
@@ -204,7 +204,7 @@ def _scan(df: DataFrame, test: TestSet, carried: list[str]) -> DataFrame:
                     rows.append({"n_words": count[d], "spans": [{"start": a, "end": b} for a, b in _union(spans)], "items": sorted(names), "longest": best})
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(k + 1)), pa.array(rows, _arrow_found())], names=schema.names)
 
-    return df.select(*carried, "__text", "__found").mapInArrow(run, schema)
+    return df.select(*carried, "__text", "__found").mapInArrow(frugal(run), schema)
 
 
 def _arrow_found():

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, mix, partitions, prefix_hash, small_side, span_hash, text_buffer, words
+from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, frugal, mix, partitions, prefix_hash, small_side, span_hash, text_buffer, words
 
 SHINGLE = 5
 #: 100 * similarity.
@@ -139,7 +139,7 @@ def _sign(docs: DataFrame, text_col: str, id_col: str, size: int, permutations:
                 sketch = _binary((values & np.uint64(255)).astype(np.uint8).T if j > i else np.zeros((0, 0), np.uint8))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array(node, pa.binary()), flat, sketch], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def _sets(docs: DataFrame, text_col: str, id_col: str, size: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _sets(docs: DataFrame, text_col: str, id_col: str, size: int) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum([len(u) for u in found])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([node_of(u) for u in found], pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate(found).view(np.int64))], names=["node", "members"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def _files(df: DataFrame, rows: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _best(rows: DataFrame, threshold: int) -> DataFrame:
             i, j = i[keep], j[keep]
             yield pa.RecordBatch.from_arrays([*_ids(node[i], node[j], comp[i], comp[j]), pa.array(score[keep], pa.int32())], names=["a", "b", "ca", "cb", "score"])
 
-    return rows.select("grp", "node", "comp", "n", "sketch").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score int")
+    return rows.select("grp", "node", "comp", "n", "sketch").mapInArrow(frugal(run), "a binary, b binary, ca binary, cb binary, score int")
 
 
 def _active(rows: DataFrame, threshold: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _active(rows: DataFrame, threshold: int) -> DataFrame:
             if some.any():
                 yield from table.filter(pa.array(some)).to_batches()
 
-    return rows.select(*columns).mapInArrow(run, "grp bigint, node binary, comp binary, n bigint, sketch binary")
+    return rows.select(*columns).mapInArrow(frugal(run), "grp bigint, node binary, comp binary, n bigint, sketch binary")
 
 
 def _linked(rows: DataFrame, threshold: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _linked(rows: DataFrame, threshold: int) -> DataFrame:
                 a, b = np.array(out).T
                 yield pa.RecordBatch.from_arrays(_ids(node[a], node[b]), names=["a", "b"])
 
-    return rows.select("grp", "node", "comp", "n", "sketch", "members").mapInArrow(run, "a binary, b binary")
+    return rows.select("grp", "node", "comp", "n", "sketch", "members").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import CHUNK_BYTES, Scratch, chunks, mix, partitions, powers, prefix_hash, span_hash, text_buffer
+from cantata.llm.common import CHUNK_BYTES, Scratch, chunks, frugal, mix, partitions, powers, prefix_hash, span_hash, text_buffer
 
 WINDOW = 100
 GRAM = 32
@@ -159,7 +159,7 @@ class Dedup:
                     h, n = np.unique(s.gram, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-        seen = self.docs.select("text").mapInArrow(run, "h bigint, n bigint")
+        seen = self.docs.select("text").mapInArrow(frugal(run), "h bigint, n bigint")
         return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
 
     def known(self, df: DataFrame, column: str) -> np.ndarray:
@@ -186,7 +186,7 @@ class Dedup:
                         yield out
 
         columns = ["d", "t", "text", *(["places"] if flagged else []), *(["id"] if "id" in docs.columns and extra else []), *(["told"] if "told" in docs.columns else [])]
-        return docs.select(*columns).mapInArrow(run, schema)
+        return docs.select(*columns).mapInArrow(frugal(run), schema)
 
     def of_anchors(self) -> DataFrame:
         def select(s, d, t, _):
@@ -227,7 +227,7 @@ class Dedup:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(5 + k) for k in range(len(columns)))], names=["key", *columns])
 
         schema = T.StructType([T.StructField("key", T.LongType()), *(rows.schema[c] for c in columns)])
-        table = rows.select("h", "c", "d", "t", "pos", *columns).mapInArrow(run, schema).toArrow()
+        table = rows.select("h", "c", "d", "t", "pos", *columns).mapInArrow(frugal(run), schema).toArrow()
         key = np.asarray(table.column("key")).astype(np.int64).view(np.uint64)
         order = np.argsort(key)
         return key[order], {c: table.column(c).take(pa.array(order)) for c in columns}
@@ -268,12 +268,12 @@ class Dedup:
 
         rows = self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int, size bigint, near int, far int, lead int, context binary", docs)
         rows = self.scratch.keep(rows, "contexts")
-        few = rows.where(F.col("size") <= hot).repartition(partitions(self.spark), "h").sortWithinPartitions("h").mapInArrow(_ordered(window, width), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
-        each = rows.where(F.col("size") > hot).mapInArrow(_exploded(window), "h bigint, c bigint, d bigint, t bigint, pos int, back int, w bigint")
+        few = rows.where(F.col("size") <= hot).repartition(partitions(self.spark), "h").sortWithinPartitions("h").mapInArrow(frugal(_ordered(window, width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
+        each = rows.where(F.col("size") > hot).mapInArrow(frugal(_exploded(window)), "h bigint, c bigint, d bigint, t bigint, pos int, back int, w bigint")
         place = F.struct("d", "t", "pos")
         least = each.groupBy("h", "back", "w").agg(F.min(place).alias("least"))
         late = each.join(least, ["h", "back", "w"]).where(place > F.col("least")).groupBy("h", "c", "d", "t", "pos").agg(F.collect_set("back").alias("backs"))
-        many = late.mapInArrow(_bits(width), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
+        many = late.mapInArrow(frugal(_bits(width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
         return few.unionByName(many)
 
     def removal(self, first: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, mix, prefix_hash, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, prefix_hash, span_hash, text_buffer, words
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -244,7 +244,7 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tu
         some = np.flatnonzero(seen[1:])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[1:][some], total))], names=["place", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("place", "n"))
     seen = np.zeros(len(vocabulary), np.int64)
     seen[place[place >= 0]] = n[place >= 0]
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
                 value = np.zeros(j - i) if model is None else model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(k)), pa.array(value)], names=[f.name for f in fields])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(frugal(run), T.StructType(fields))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
