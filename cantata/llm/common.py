@@ -14,10 +14,17 @@ from cantata.storage import Scratch, shared_dir  # noqa: F401
 #: Text bytes that an Arrow function handles at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch, where the session hasn't its own setting. The default counts rows, and texts may have any length.
+ARROW_BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def frugal(run):
-    """Wraps a function on batches: when a task is done, its worker gives the memory that it has freed back to the system, so that
-    workers that wait for the next task don't hold what the last one needed."""
+    """Wraps a function on batches, to bound memory: batches are limited in bytes, and when a task is done its worker gives the memory that
+    it has freed back to the system, so that workers that wait for the next task don't hold what the last one needed."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, ARROW_BATCH_BYTES)
 
     def wrapped(batches):
         try:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, prefix_hash, small_side, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, prefix_hash, small_side, span_hash, text_buffer, words
 
 #: Statements by licence.
 TEMPLATES = (
@@ -133,7 +133,7 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[dict[str, int],
                 total += j - i
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(keys))), pa.array(np.concatenate([[total], seen]))], names=["place", "n"])
 
-    got = {r.place: r.n for r in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    got = {r.place: r.n for r in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()}
     return {VOCABULARY[int(order[k])]: n for k, n in got.items() if k >= 0}, got.get(-1, 0)
 
 
@@ -167,7 +167,7 @@ def scan(files: DataFrame, path: Column, text_col: str = "text", keep: tuple[str
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(k)), *(pa.array(x, t) for x, t in zip(found, kinds))], names=[f.name for f in fields])
 
-    own = scratch.keep(df.mapInArrow(run, T.StructType(fields)).withColumn("dir", parent(F.col("path"))), "own")
+    own = scratch.keep(df.mapInArrow(frugal(run), T.StructType(fields)).withColumn("dir", parent(F.col("path"))), "own")
     whole = F.col("license").isNotNull() & (F.col("path").rlike(_NAMED) | (F.col("share") >= FILE_SHARE))
     rank = F.struct(F.col("score"), F.col("license"))
     declared = own.where(whole).groupBy("dir").agg(F.max_by("license", rank).alias("given"), F.max("score").alias("given_score"))
