@@ -250,6 +250,16 @@ def token_times(spark, sf):
     )
 
 
+TOKEN_SQL = f"""
+WITH t AS (SELECT vec_id, list_transform({DOUBLES}[1:16], lambda v: ((CAST(floor(v * 1000) AS BIGINT) % 4) + 4) % 4) AS t FROM embeddings),
+s AS (SELECT vec_id, t, list_transform(t, lambda v, i: (i - 1) * 7 + v * 3) AS s FROM t)
+SELECT vec_id,
+  array_to_string(list_transform(list_filter(range(1, 17), lambda i: t[i] = 1), lambda i: CAST(s[i] * CAST(80 AS DOUBLE) AS VARCHAR)), ',') AS times,
+  array_to_string(list_reduce(list_transform(list_sort(s), lambda v: {{'k': v, 'o': CAST([] AS BIGINT[])}}),
+    lambda a, v: {{'k': CASE WHEN v.k >= a.k * 20 THEN a.k + 1 ELSE a.k END, 'o': list_append(a.o, CASE WHEN v.k >= a.k * 20 THEN a.k ELSE a.k - 1 END)}}, {{'k': 1, 'o': CAST([] AS BIGINT[])}}).o, ',') AS chunks,
+  array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN t[i] = 2 THEN CAST((len(list_filter(t[:i], lambda u: u = 2)) - 1) * 10 AS VARCHAR) ELSE '-' END), ',') AS scattered FROM s"""
+
+
 def stream_rechunk(spark, sf):
     return sessions.rechunk_samples(table(spark, sf, "events"), "user_id", "event_id", "value", 16).withColumn("total", F.round("total", 4))
 
@@ -323,7 +333,7 @@ QUERIES = {
     "label_mask": (label_mask, MASK_SQL),
     "latest_checkpoint": (latest_checkpoint, CHECKPOINT_SQL),
     "timestamp_repair": (timestamp_repair, None),
-    "token_times": (token_times, None),
+    "token_times": (token_times, TOKEN_SQL),
     "stream_rechunk": (stream_rechunk, RECHUNK_SQL),
     "session_expiry": (session_expiry, EXPIRY_SQL),
     "stream_state": (stream_state, RECHUNK_SQL),
