@@ -30,7 +30,7 @@ WINDOW = 10
 #: Text bytes of the benchmark that the driver gathers at once.
 BLOCK_BYTES = 16 << 20
 #: Text bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 FILTER_BITS = 22
 
 _EVEN = np.uint64(0xA0761D6478BD642F)
