@@ -49,7 +49,8 @@ def classes() -> np.ndarray:
     """The class of every code point: \\p{L}, \\p{N} and \\s as Unicode has them, the blank apart."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
     table = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for run in regex.finditer(pattern, every):
