@@ -32,7 +32,7 @@ from cantata.llm.common import chunks, frugal, text_buffer
 #: A vocabulary file larger than this isn't shipped to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Merged pieces that a worker remembers, in two generations of this size.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 256
 
@@ -288,13 +288,15 @@ def _id_fields(df: DataFrame, names) -> list[T.StructField]:
     return [T.StructField(c, df.schema[c].dataType) for c in names]
 
 
-def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), tokens: bool = True, digests: bool = False) -> DataFrame:
-    """One row a row: the kept columns, n_tokens; with tokens also ids and offsets (byte of each token, and the end); with
+def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), tokens: bool = True, digests: bool = False, token_offsets: bool = True) -> DataFrame:
+    """One row a row: the kept columns, n_tokens; with tokens also ids and, unless token_offsets is off, offsets (byte of each token, and the end); with
     digests ids_sha256 and decoded_sha256, of the ids and of what decoding them gives."""
     vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     fields = [*_id_fields(df, keep), T.StructField("n_tokens", T.LongType())]
     if tokens:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("offsets", T.ArrayType(T.LongType(), False))]
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
+        if token_offsets:
+            fields.append(T.StructField("offsets", T.ArrayType(T.LongType(), False)))
     if digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     k = len(keep)
@@ -310,8 +312,9 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tu
                 if tokens:
                     flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                     ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    where = [codec.offsets(x) for x in ids]
                     columns.append(pa.ListArray.from_arrays(ends, flat))
+                if tokens and token_offsets:
+                    where = [codec.offsets(x) for x in ids]
                     columns.append(pa.ListArray.from_arrays(np.arange(len(ends), dtype=np.int32) + ends, np.concatenate(where)))
                 if digests:
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))

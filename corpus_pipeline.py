@@ -72,7 +72,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of what they decode to."""
-    return bpe.encode(docs, vocabulary_path(), digests=True).drop("offsets")
+    return bpe.encode(docs, vocabulary_path(), digests=True, token_offsets=False)
 
 
 STAGES = [
