@@ -33,6 +33,8 @@ from cantata.llm.common import chunks, frugal, text_buffer
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Merged pieces that a worker remembers, in two generations of this size.
 CACHE_PIECES = 100_000
+#: Text bytes that are encoded at once; a longer document is encoded alone.
+ENCODE_BYTES = 1 << 18
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 256
 
@@ -305,7 +307,7 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tu
         codec = _codec(vocabulary.value)
         for batch in batches:
             data, offsets = text_buffer(batch.column(k))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, ENCODE_BYTES):
                 ids = codec.encode_many(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 columns = [batch.column(c).slice(i, j - i) for c in range(k)]
                 columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))

@@ -15,7 +15,7 @@ from cantata.storage import Scratch, shared_dir  # noqa: F401
 CHUNK_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch, where the session hasn't its own setting. The default counts rows, and texts may have any length.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
