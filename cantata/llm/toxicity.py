@@ -37,8 +37,8 @@ STRETCH = 4
 #: Bytes of a model that is shipped to the executors, at most.
 MAX_MODEL_BYTES = 128 << 20
 #: Discounts to choose from, by the fit of the curve. What a count has beyond the discount counts as evidence; an n-gram
-#: seen no more often is left to the back-off altogether.
-DISCOUNTS = (2.0, 5.0, 12.0, 30.0, 60.0)
+#: seen no more often is left to the back-off altogether. The first is the usual one of Kneser-Ney: below 1, so that what was seen once counts.
+DISCOUNTS = (0.75, 2.0, 5.0, 12.0, 30.0, 60.0)
 ORDINARY, TOXIC = 0, 1
 
 _ODD = np.uint64(0xA0761D6478BD642F)

@@ -38,6 +38,22 @@ def test_held_out_accuracy(spark):
     assert [r.predicted for r in out if r.doc_id is None] == [1]
 
 
+def test_rare_expressions_count(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(600):
+        words = rng.choices([f"w{k}" for k in range(400)], k=rng.randint(20, 60))
+        toxic = i % 5 == 2
+        for _ in range(6):
+            words.insert(rng.randrange(len(words)), f"rare{rng.randrange(250)}" if toxic else f"odd{rng.randrange(1000)}")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    out = toxicity.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    caught = [r.predicted for r in out if labels[r.doc_id][1]]
+    assert np.mean(caught) > 0.8
+    assert np.mean([r.predicted for r in out if not labels[r.doc_id][1]]) < 0.05
+
+
 def test_labels_of_one_kind_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
