@@ -1,15 +1,17 @@
 """Operator 7: toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, toxic and ordinary, with absolute discounting, both backing off to continuation counts of their class
-and from there to one distribution that they share, which is gathered from all documents. For each word the models give a log-ratio;
+and from there to one distribution that they share: continuation counts of all documents, over their whole vocabulary. For each word the models give a log-ratio;
 a text's score comes from its length-normalised log-ratio: over the whole text, and over its most toxic stretches of
 STRETCH words (an insult in a long text would vanish in the mean). A logistic curve over these turns them into 0 to 1.
 
 What is fitted: the class counts on at most SAMPLE_ROWS labelled rows (those whose id has the smallest hash), the curve on a
 part of these rows that the counts leave out. n-grams whose count doesn't exceed the discount are left to the back-off, so
-the models are bounded by the sample and are broadcast after a check of their size. The discount is chosen with the curve. The shared counts cover every document.
+the models are bounded by the sample and are broadcast after a check of their size. The discount is chosen with the curve. The shared counts
+are those of the distinct word pairs of every document; each task leaves out the pairs that it has met and packs the others by word (each in
+48 bits of its hash beside its word's 64) before they are shuffled.
 Word pairs and words that both models have never seen give the ratio of the two back-off weights, whatever the shared
-probability, so that is needed for the models' own words only.
+probability, so of the shared distribution the driver fetches that of the models' own words only.
 
 Defined cases: a null or empty text, or one without words, has the score of a text with ratio 0 everywhere, which lies below 0.5
 unless most labelled rows are toxic. Rows are scored one by one; a label that is null, or whose id has no document, is
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, prefix_hash, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, partitions, prefix_hash, span_hash, text_buffer, words
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -36,6 +38,10 @@ SAMPLE_BYTES = 96 << 20
 STRETCH = 4
 #: Bytes of a model that is shipped to the executors, at most.
 MAX_MODEL_BYTES = 128 << 20
+#: Word pairs that a task holds, about.
+HELD_PAIRS = 1 << 21
+#: Groups that the corpus's words are dealt to. The pairs of a word that makes up more than HOT_SHARE of the curve's rows go to all of them.
+BUCKETS, HOT_SHARE = 4096, 1e-3
 #: Discounts to choose from, by the fit of the curve. What a count has beyond the discount counts as evidence; an n-gram
 #: seen no more often is left to the back-off altogether. The first is the usual one of Kneser-Ney: below 1, so that what was seen once counts.
 DISCOUNTS = (0.75, 2.0, 5.0, 12.0, 30.0, 60.0)
@@ -173,8 +179,8 @@ class Trainer:
         """The words whose shared probability any model can need."""
         return self.word[(self.continues > min(DISCOUNTS)).any(1) | np.isin(self.word, self.last[(self.count > min(DISCOUNTS)).any(1)])]
 
-    def model(self, seen: np.ndarray, everything: int, discount: float) -> Model:
-        """seen: how often each word of the vocabulary stands in the corpus, of everything words. Without a curve yet."""
+    def model(self, probability: np.ndarray, discount: float) -> Model:
+        """probability: of each word of the vocabulary, in the shared distribution. Without a curve yet."""
         totals = self.continues.sum(0, dtype=np.float64)
         history, held = np.zeros((self.histories, 2), np.float32), np.zeros((self.histories, 2), np.float32)
         np.add.at(history, self.place, self.count)
@@ -182,8 +188,7 @@ class Trainer:
         keep = (self.count > discount).any(1)
         need = (self.continues > discount).any(1) | np.isin(self.word, self.last[keep])
         word, continues = self.word[need], self.continues[need]
-        vocabulary = self.vocabulary()
-        shared = (seen[np.searchsorted(vocabulary, word)] + 1.0) / (everything + len(vocabulary) + 1.0)
+        shared = probability[np.searchsorted(self.vocabulary(), word)]
         pairs = {"count": self.count[keep], "last": np.searchsorted(word, self.last[keep]), "history": history[self.place][keep], "held": held[self.place][keep]}
         left = np.maximum(1 - np.maximum(continues - discount, 0).sum(0) / np.maximum(totals, 1), 1e-6)
         ratio, pair = kneser_ney(continues, shared, pairs, totals, discount)
@@ -228,27 +233,108 @@ def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([none, *(h for h, _, _ in parts)]), np.concatenate([none, *(p for _, p, _ in parts)]), np.cumsum(count)
 
 
-def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
-    """How often each word of the sorted vocabulary stands in all documents, and how many words they have."""
+def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame:
+    """word, n: of each word (its hash) in all documents, how many distinct words and text starts it follows. hot: sorted hashes of frequent words."""
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)
+    packed = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("words", "counts", "pairs"))])
+
+    def distinct(word, pair, bucket):
+        """Distinct pairs by bucket and word, and where each word of a bucket begins (n + 1)."""
+        order = np.lexsort([pair, word, bucket])
+        word, pair, bucket = word[order], pair[order], bucket[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1])
+        fresh = new.copy()
+        fresh[1:] |= pair[1:] != pair[:-1]
+        return word[fresh], pair[fresh], bucket[fresh], np.append(np.flatnonzero(new[fresh]), fresh.sum())
+
+    def merged(held):
+        word, pair = (np.concatenate(x) for x in zip(*held))
+        return distinct(word, pair, np.zeros(len(word), np.uint16))
+
+    def planes(x):
+        """All first bytes, then all second ones and so on: sorted values have equal high bytes, which the shuffle compresses."""
+        return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+    def values(raw, dtype):
+        size = np.dtype(dtype).itemsize
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype)[:, 0]
+
+    def pack(held):
+        word, pair = (np.concatenate(x) for x in zip(*held))
+        wide = lookup(shipped.value, word) >= 0
+        bucket = (np.where(wide, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
+        word, pair, bucket, begin = distinct(word, pair >> np.uint64(16), bucket)
+        low = pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        count = np.diff(begin).astype("<u4")
+        lead = word[begin[:-1]]
+        edge = np.flatnonzero(np.diff(bucket[begin[:-1]].astype(np.int64), prepend=-1, append=-1))
+        for k in range(0, len(edge) - 1, 256):
+            spans = list(zip(edge[k : k + 256].tolist(), edge[k + 1 : k + 257].tolist()))
+            parts = [(bucket[begin[a]], planes(lead[a:b]), planes(count[a:b]), low[begin[a] : begin[b]].T.tobytes()) for a, b in spans]
+            columns = list(zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(columns[0], np.int32)), *(pa.array(c, pa.binary()) for c in columns[1:])], names=packed.names)
+
+    def gather(batches):
+        held, size = [], 0
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                h, pairs, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append((h, pairs))
+                size += len(h)
+                if size > HELD_PAIRS:
+                    held = [merged(held)[:2]]
+                    if (size := len(held[0][0])) > 3 * HELD_PAIRS // 4:
+                        yield from pack(held)
+                        held, size = [], 0
+        if size:
+            yield from pack(held)
+
+    def count(held):
+        word, _, _, begin = merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(word[begin[:-1]].view(np.int64)), pa.array(np.diff(begin).astype(np.int64))], names=["word", "n"])
+
+    def reduce(batches):
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, words_, counts, low in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield count(held)
+                    held, size = [], 0
+                now = bucket
+                pair = np.zeros((len(low) // 6, 8), np.uint8)
+                pair[:, :6] = np.frombuffer(low, np.uint8).reshape(6, -1).T
+                held.append((np.repeat(values(words_, np.uint64), values(counts, "<u4")), pair.view("<u8")[:, 0]))
+                size += len(pair)
+                if size > 2 * HELD_PAIRS:
+                    held = [merged(held)[:2]]
+                    size = min(len(held[0][0]), HELD_PAIRS)
+        if held:
+            yield count(held)
+
+    dealt = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(gather), packed).repartition(partitions(docs.sparkSession), "bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(frugal(reduce), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _shared(docs: DataFrame, vocabulary: np.ndarray, hot: np.ndarray, text_col: str) -> np.ndarray:
+    """Probability of each word of the sorted vocabulary by the continuation counts of all documents, one added to every word's and to that of unknown ones."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        keys = shipped.value
-        seen, total = np.zeros(len(keys) + 1, np.int64), 0
+        keys, words_, total = shipped.value, 0, 0
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for i, j in chunks(offsets, CHUNK_BYTES):
-                h, _, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                seen += np.bincount(lookup(keys, h) + 1, minlength=len(keys) + 1)
-                total += len(h)
-        some = np.flatnonzero(seen[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[1:][some], total))], names=["place", "n"])
+            word, n = (np.asarray(batch.column(c)) for c in (0, 1))
+            place = lookup(keys, word.view(np.uint64))
+            words_, total = words_ + len(n), total + int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(place[place >= 0]), pa.array(n[place >= 0])], names=["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([words_, total])], names=["place", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rows = _continuations(docs, hot, text_col).mapInArrow(frugal(run), "place bigint, n bigint").toArrow()
     place, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("place", "n"))
     seen = np.zeros(len(vocabulary), np.int64)
     seen[place[place >= 0]] = n[place >= 0]
-    return seen, int(n[place < 0].sum())
+    return (seen + 1.0) / (n[place < 0].sum() + 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", id_col: str = "doc_id") -> Model | None:
@@ -267,10 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
     vocabulary = trainer.vocabulary()
     if vocabulary.nbytes > MAX_MODEL_BYTES:
         raise ValueError("the models' vocabulary is too large to ship; take fewer rows in the sample")
-    seen, everything = _corpus_counts(docs, vocabulary, text_col)
+    often, times = np.unique(np.concatenate([h for h, _, _ in parts]), return_counts=True)
+    probability = _shared(docs, vocabulary, often[times > HOT_SHARE * times.sum()], text_col)
+    del often, times
     best, loss = None, np.inf
     for discount in DISCOUNTS:
-        model = trainer.model(seen, everything, discount)
+        model = trainer.model(probability, discount)
         x = np.concatenate([summary(model.ratios(h, pairs), first) for h, pairs, first in parts])
         model.curve = fit_curve(x, y)
         p = np.clip(curve_value(model.curve, x), 1e-9, 1 - 1e-9)

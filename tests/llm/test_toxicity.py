@@ -54,6 +54,37 @@ def test_rare_expressions_count(spark):
     assert np.mean([r.predicted for r in out if not labels[r.doc_id][1]]) < 0.05
 
 
+def test_shared_level_counts_distinct_pairs(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 50)
+    texts = ["a b a b", "A b, c", "c", None, "", *["d b"] * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = [w for t in texts for w in (t or "").lower().replace(",", "").split()]
+    follows = {w: {(["", *t][i]) for t in ((t or "").lower().replace(",", "").split() for t in texts) for i, x in enumerate(t) if x == w} for w in set(words)}
+    hashes = {w: toxicity.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in follows}
+    vocabulary = np.sort(np.array([hashes["a"], hashes["b"], np.uint64(7)]))
+    below = sum(map(len, follows.values())) + len(follows) + 1
+    for hot in ([], ["b"], ["a", "b", "c", "d"]):
+        got = dict(zip(vocabulary.tolist(), toxicity._shared(docs, vocabulary, np.sort(np.array([hashes[w] for w in hot], np.uint64)), "text")))
+        assert {w: got[int(hashes[w])] for w in "ab"} == {w: (len(follows[w]) + 1) / below for w in "ab"} and got[7] == 1 / below
+
+
+def test_continuations_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.word: r.n for r in toxicity._continuations(docs, np.zeros(0, np.uint64), "text").collect()}
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    h, pairs, _ = toxicity._tokens_of(texts)
+    _, at = np.unique(pairs, return_index=True)
+    assert got == dict(zip(*(x.tolist() for x in np.unique(h[at].view(np.int64), return_counts=True))))
+
+
+def test_copies_change_no_model(spark):
+    docs, labels = corpus(random.Random(4))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fitted = lambda rows: toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    plain, copied = fitted(docs), fitted(docs + [(10000 + i, docs[2][1]) for i in range(300)])
+    assert (plain.word_ratio == copied.word_ratio).all() and (plain.pair_ratio == copied.pair_ratio).all() and np.allclose(plain.curve, copied.curve)
+
+
 def test_labels_of_one_kind_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
