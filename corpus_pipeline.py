@@ -6,7 +6,7 @@ one. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantata.llm import bpe, decontaminate, minhash, secrets, toxicity
@@ -17,26 +17,42 @@ from cantata.llm.queries import table, vocabulary_path
 MASK = "[secret]"
 
 
-def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs but those whose id is in ids (a column doc_id). The ids are broadcast while they are few."""
-    gone = scratch.keep(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(small_side(gone, gone.count(), 40), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text"))
+
+
+def identity() -> Column:
+    """Tells rows apart where ids are null or repeat; rows equal in id and text are one document. Null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), text_hash().alias("hash"))
+
+
+def without(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs but those whose id and text hash are in rows (columns doc_id and hash). The rows are broadcast while they are few."""
+    gone = scratch.keep(rows.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "gone")
+    return docs.join(small_side(gone, gone.count(), 56), F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__hash")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go. Rows that share a doc_id go together."""
-    judged = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("predicted = 1"), Scratch(spark))
+    """Documents that the toxicity models reject go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    judged = toxicity.score(docs.withColumn("hash", text_hash()), model, keep=("doc_id", "hash"))
+    return without(docs, judged.where("score >= 0.5"), Scratch(spark))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    return without(docs, minhash.cluster(docs).where("not kept"), Scratch(spark))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays. Rows without an id
+    are no one document where their texts are equal, so one of them stays."""
+    found = minhash.cluster(docs.select("text", identity().alias("row")), id_col="row").where("not kept")
+    out = without(docs, found.select(F.col("row.id").alias("doc_id"), F.col("row.hash").alias("hash")), Scratch(spark))
+    alone = F.col("doc_id").isNotNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    copies = out.where(~alone).withColumn("__hash", text_hash()).dropDuplicates(["__hash"]).drop("__hash")
+    return out.where(alone).unionByName(copies)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verbatim window of a benchmark item go."""
-    found = decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    keep = ("doc_id", "hash")
+    found = decontaminate.digest(decontaminate.find(docs.withColumn("hash", text_hash()), table(spark, sf_dir, "benchmark"), keep=keep), keep)
     return without(docs, found.where("contaminated"), Scratch(spark))
 
 

@@ -53,3 +53,24 @@ def test_stages_handle_odd_rows(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
     masked = corpus_pipeline.mask_secrets(spark, docs, SF).where("doc_id = 2").first()
     assert masked.text == mask(odd[2][1]) and masked.n_chars == len(masked.text)
+
+
+def left(stage, spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+
+def test_rejected_rows_take_no_others_with_their_id(spark):
+    x, y, z, w = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyzw")
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 10)
+    assert left(corpus_pipeline.drop_contaminated, spark, [(None, item), (None, x), (7, item), (7, y), (None, z)]) == sorted([(None, x), (None, z), (7, y)], key=str)
+    rows = [(5, x), (5, y), (3, y), (None, y), (None, z), (None, z), (None, z + " more"), (None, w), (None, ""), (None, "")]
+    got = left(corpus_pipeline.drop_near_duplicates, spark, rows)
+    one = [r for r in got if (r[1] or "").startswith("z0")]
+    assert len(one) == 1 and [r for r in got if r not in one] == sorted([(5, x), (3, y), (None, w), (None, ""), (None, "")], key=str)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = {r.doc_id: r.predicted for r in toxicity.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    bad, good = (next(t for d, t in rows if judged[d] == k) for k in (1, 0))
+    got = left(corpus_pipeline.drop_toxic, spark, rows + [(None, bad), (None, good), (None, None)])
+    assert {t for d, t in got if d is None} == {good, None}
