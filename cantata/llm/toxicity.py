@@ -248,8 +248,14 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
         fresh[1:] |= pair[1:] != pair[:-1]
         return word[fresh], pair[fresh], bucket[fresh], np.append(np.flatnonzero(new[fresh]), fresh.sum())
 
-    def merged(held):
+    def together(held):
+        """All words and pairs; the list is emptied, so that they aren't held twice."""
         word, pair = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return word, pair
+
+    def merged(held):
+        word, pair = together(held)
         return distinct(word, pair, np.zeros(len(word), np.uint16))
 
     def planes(x):
@@ -261,7 +267,7 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
         return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype)[:, 0]
 
     def pack(held):
-        word, pair = (np.concatenate(x) for x in zip(*held))
+        word, pair = together(held)
         wide = lookup(shipped.value, word) >= 0
         bucket = (np.where(wide, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
         word, pair, bucket, begin = distinct(word, pair >> np.uint64(16), bucket)
