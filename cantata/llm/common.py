@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,35 +84,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x5851F42D4C957F2D
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, for i up to n, modulo 2 ** 64."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, b in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums of byte * BASE ** position: a span's hash is (p[e] - p[s]) * BASE ** -s."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+_HASH_STEP = np.uint64(0x9E6C63D0876A9A47)
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+_LONG_WORD = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, the first byte lowest; zeros stand beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes. Every eight bytes go through the finalizer, so, unlike sums of powers, it has no families of texts
+    with equal values."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _HASH_STEP + np.uint64(0x2545F4914F6CDD1D))
+    if not len(size):
+        return out
+    wide = eights(data)
+    some, at = np.arange(len(size)), starts
+    for k in range(0, _LONG_WORD, 8):
+        left = np.minimum(size[some] - k, 8)
+        out[some] = mix(out[some] * _HASH_STEP + (wide[at] & _LOW_BYTES[left]))
+        some = some[size[some] > k + 8]
+        if not len(some):
+            break
+        at = starts[some] + k + 8
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix) - 1)
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
-
-
 def byte_class(keep) -> np.ndarray:
     return np.array([keep(b) for b in range(256)], bool)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, LOWER, chunks, frugal, mix, prefix_hash, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, LOWER, chunks, frugal, mix, text_buffer, word_hashes, words
 
 #: Words of a window.
 WINDOW = 10
@@ -40,7 +40,7 @@ def _hashes(data: np.ndarray, offsets: np.ndarray):
     """Word hashes of lower-cased texts, and each text's first word (n + 1)."""
     low = LOWER[data]
     starts, ends, first = words(low, offsets, ALNUM_OR_WIDE)
-    return span_hash(prefix_hash(low), starts, ends), first
+    return word_hashes(low, starts, ends), first
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:

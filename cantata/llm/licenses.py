@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, prefix_hash, small_side, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, small_side, text_buffer, word_hashes, words
 
 #: Statements by licence.
 TEMPLATES = (
@@ -114,7 +114,7 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[dict[str, int],
     """In how many documents each word of the templates stands, and how many documents there are."""
     raw = [w.encode() for w in VOCABULARY]
     ends = np.cumsum([len(x) for x in raw])
-    hashes = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), np.concatenate([[0], ends[:-1]]), ends)
+    hashes = word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
     order = np.argsort(hashes)
     keys = hashes[order]
 
@@ -125,7 +125,7 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[dict[str, int],
             for i, j in chunks(offsets, CHUNK_BYTES):
                 low = LOWER[data[offsets[i] : offsets[j]]]
                 starts, stops, first = words(low, offsets[i : j + 1] - offsets[i], ALNUM_OR_WIDE)
-                h = span_hash(prefix_hash(low), starts, stops)
+                h = word_hashes(low, starts, stops)
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == h)
                 doc = np.searchsorted(first, hit, side="right") - 1

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, frugal, mix, partitions, prefix_hash, small_side, span_hash, text_buffer, words
+from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, frugal, mix, partitions, small_side, text_buffer, word_hashes, words
 
 SHINGLE = 5
 #: 100 * similarity.
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     """Hashes of all shingles (with repeats) of each document, and each document's first (n + 1)."""
     low = LOWER[data]
     starts, ends, first = words(low, offsets, NOT_SPACE)
-    h = span_hash(prefix_hash(low), starts, ends)
+    h = word_hashes(low, starts, ends)
     count = np.diff(first)
     n = len(h)
     place = np.arange(n)

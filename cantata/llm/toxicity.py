@@ -1,21 +1,22 @@
 """Operator 7: toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, toxic and ordinary, with absolute discounting, both backing off to continuation counts of their class
-and from there to one distribution that they share: continuation counts of all documents, over their whole vocabulary. For each word the models give a log-ratio;
-a text's score comes from its length-normalised log-ratio: over the whole text, and over its most toxic stretches of
-STRETCH words (an insult in a long text would vanish in the mean). A logistic curve over these turns them into 0 to 1.
-
-What is fitted: the class counts on at most SAMPLE_ROWS labelled rows (those whose id has the smallest hash), the curve on a
-part of these rows that the counts leave out. n-grams whose count doesn't exceed the discount are left to the back-off, so
-the models are bounded by the sample and are broadcast after a check of their size. The discount is chosen with the curve. The shared counts
-are those of the distinct word pairs of every document; each task leaves out the pairs that it has met and packs the others by word (each in
-48 bits of its hash beside its word's 64) before they are shuffled.
-Word pairs and words that both models have never seen give the ratio of the two back-off weights, whatever the shared
-probability, so of the shared distribution the driver fetches that of the models' own words only.
+Two bigram models, toxic and ordinary: raw counts of word pairs on top, then continuation counts of the class, and below both one
+distribution that the classes share, the continuation counts of all documents over their whole vocabulary. Each level has one absolute
+discount, estimated from its counts of counts (n1 / (n1 + 2 n2), between 0 and 1); what it frees backs off to the level below. As usual in
+language models, n-grams that a class has seen less often than a cutoff are left to the back-off; the cutoffs (1 cuts nothing) are chosen by
+the fit on held-out rows, and may leave the pairs out altogether.
+
+A text's score comes from length-normalised log-likelihood ratios: that of the whole text and those of its two most toxic stretches
+(an insult of one word vanishes in the mean over thousands). A logistic curve over these gives 0 to 1.
+
+What is fitted: class counts on at most SAMPLE_ROWS / 2 labelled rows, as many toxic as ordinary ones, and cutoffs and curve on as many other rows
+(those whose ids have the smallest hashes; of each role the texts that fit into SAMPLE_BYTES). Executors count; the driver receives distinct n-grams of the
+sample and its rows as places in them, never texts. The shared counts are those of the distinct word pairs of every document; each task leaves out the
+pairs that it has met and packs the others by word (each in 48 bits of its hash beside its word's 64) before they are shuffled.
 
 Defined cases: a null or empty text, or one without words, has the score of a text with ratio 0 everywhere, which lies below 0.5
-unless most labelled rows are toxic. Rows are scored one by one; a label that is null, or whose id has no document, is
-not used; an id labelled twice counts with its largest label; without labels of both kinds every score is 0.
+unless most labelled rows are toxic. Rows are scored one by one, whole however long they are; a label that is null, or whose id has no document, is
+not used; an id labelled twice counts with its largest label; without labels of both kinds every score is 0. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,23 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, partitions, prefix_hash, span_hash, text_buffer, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, partitions, text_buffer, word_hashes, words
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE_ROWS = 8192
-#: Text bytes of these rows, at most.
-SAMPLE_BYTES = 96 << 20
-#: Words of a stretch.
-STRETCH = 4
+#: Text bytes of each role's rows (toxic, ordinary, curve), at most.
+SAMPLE_BYTES = 16 << 20
+#: Lengths of a stretch to choose from, in words.
+STRETCHES = (1, 4)
+#: Counts below which an n-gram of a class is left to the back-off, to choose from; for pairs also none at all.
+CUTOFFS = (1, 2, 3, 4, 6, 9, 13, 20, 30, 45)
+NO_PAIRS = 1 << 40
 #: Bytes of a model that is shipped to the executors, at most.
 MAX_MODEL_BYTES = 128 << 20
 #: Word pairs that a task holds, about.
 HELD_PAIRS = 1 << 21
-#: Groups that the corpus's words are dealt to. The pairs of a word that makes up more than HOT_SHARE of the curve's rows go to all of them.
+#: Groups that the corpus's words are dealt to. The pairs of a word that makes up more than HOT_SHARE of the sample go to all of them.
 BUCKETS, HOT_SHARE = 4096, 1e-3
-#: Discounts to choose from, by the fit of the curve. What a count has beyond the discount counts as evidence; an n-gram
-#: seen no more often is left to the back-off altogether. The first is the usual one of Kneser-Ney: below 1, so that what was seen once counts.
-DISCOUNTS = (0.75, 2.0, 5.0, 12.0, 30.0, 60.0)
 ORDINARY, TOXIC = 0, 1
 
 _ODD = np.uint64(0xA0761D6478BD642F)
@@ -57,13 +58,19 @@ def held_out(doc_id: Column) -> Column:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes of each word with the one before it, and each document's first word (n + 1)."""
+    h, before, first = tokens_and_histories(data, offsets)
+    return h, mix(before * _ODD + h), first
+
+
+def tokens_and_histories(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the hash of the word before each, and each document's first word (n + 1)."""
     low = LOWER[data]
     starts, ends, first = words(low, offsets, ALNUM_OR_WIDE)
-    h = span_hash(prefix_hash(low), starts, ends)
+    h = word_hashes(low, starts, ends)
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[first[:-1][first[:-1] < len(h)]] = _START
-    return h, mix(before * _ODD + h), first
+    return h, before, first
 
 
 def lookup(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -77,43 +84,61 @@ def lookup(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    word: np.ndarray  # sorted hashes
-    word_ratio: np.ndarray  # log-ratio without a known pair, and what stands for the words of neither model last
+    """Log-ratios by sorted hashes: of words and, last, what stands for words of neither class; of known histories (their back-off weights); of known pairs."""
+
+    word: np.ndarray
+    word_ratio: np.ndarray
+    history: np.ndarray
+    history_ratio: np.ndarray
     pair: np.ndarray
     pair_ratio: np.ndarray
-    curve: np.ndarray  # constant, and a weight for each of summary()'s columns
+    stretch: int
+    curve: np.ndarray  # constant, and a weight for each of the summary's columns
 
-    def ratios(self, h: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    def ratios(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
         r = self.word_ratio[lookup(self.word, h)]
-        k = lookup(self.pair, pairs)
-        return np.where(k >= 0, self.pair_ratio[k] if len(self.pair) else 0, r)
+        if len(self.history):
+            k = lookup(self.history, before)
+            r = np.where(k >= 0, r + self.history_ratio[k], r)
+        if len(self.pair):
+            k = lookup(self.pair, mix(before * _ODD + h))
+            r = np.where(k >= 0, self.pair_ratio[k], r)
+        return r
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        h, pairs, first = tokens(data, offsets)
-        return curve_value(self.curve, summary(self.ratios(h, pairs), first))
-
-
-def summary(r: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each document: mean log-ratio, and the mean of its most toxic stretch and of the most toxic one that doesn't touch it."""
-    count = np.diff(first)
-    out = np.zeros((len(count), 3))
-    full = np.flatnonzero(count)
-    if not len(full):
-        return out
-    total = np.concatenate([[0], np.cumsum(r)])
-    out[full, 0] = (total[first[full + 1]] - total[first[full]]) / count[full]
-    end = np.repeat(first[1:], count)
-    stop = np.minimum(np.arange(len(r)) + STRETCH, end)
-    sums = (total[stop] - total[:-1]) / STRETCH
-    best = np.maximum.reduceat(sums, first[full])
-    out[full, 1] = best
-    doc = np.repeat(np.arange(len(count)), count)
-    top = np.full(len(count), -1)
-    place = np.flatnonzero(sums == np.repeat(out[:, 1], count))
-    top[doc[place[::-1]]] = place[::-1]
-    far = np.abs(np.arange(len(r)) - top[doc]) >= STRETCH
-    out[full, 2] = np.maximum.reduceat(np.where(far, sums, -1.0), first[full])
-    return np.maximum(out, -1.0)
+        h, before, first = tokens_and_histories(data, offsets)
+        return curve_value(self.curve, Stretches(first, self.stretch).summary(self.ratios(h, before)))
+
+
+class Stretches:
+    """Where the stretches of some documents lie; first: each document's first word (n + 1)."""
+
+    def __init__(self, first: np.ndarray, stretch: int):
+        self.count, self.stretch = np.diff(first), stretch
+        self.full = np.flatnonzero(self.count)
+        self.begin, self.end = first[self.full], first[self.full + 1]
+        size = self.count[self.full]
+        self.stop = np.minimum(np.arange(first[-1]) + stretch, np.repeat(self.end, size)) if stretch > 1 else None
+        self.doc = np.repeat(np.arange(len(self.full)), size)
+
+    def summary(self, r: np.ndarray) -> np.ndarray:
+        """Of each document: mean log-ratio, and the mean of its most toxic stretch and of the most toxic one that doesn't touch it."""
+        out = np.zeros((len(self.count), 3))
+        if not len(self.full):
+            return out
+        total = np.concatenate([[0], np.cumsum(r, dtype=np.float64)])
+        out[self.full, 0] = (total[self.end] - total[self.begin]) / self.count[self.full]
+        sums = (total[self.stop] - total[:-1]) / self.stretch if self.stretch > 1 else np.array(r, np.float64)
+        best = np.maximum.reduceat(sums, self.begin)
+        out[self.full, 1] = best
+        place = np.flatnonzero(sums == best[self.doc])
+        top = np.empty(len(self.full), np.int64)
+        top[self.doc[place[::-1]]] = place[::-1]
+        for k in range(1 - self.stretch, self.stretch):
+            near = top + k
+            sums[near[(near >= self.begin) & (near < self.end)]] = -1.0
+        out[self.full, 2] = np.maximum.reduceat(sums, self.begin)
+        return np.maximum(out, -1.0)
 
 
 def curve_value(curve: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -134,103 +159,119 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def kneser_ney(words_: np.ndarray, shared: np.ndarray, pairs: dict[str, np.ndarray], totals: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-ratios of words and of pairs.
-
-    words_: (n, 2) continuation counts by class; shared: (n,) shared probability. pairs: count (m, 2) continuation counts, last
-    (place of the second word), history (m, 2) the counts of all pairs with that first word, held (m, 2) what discounting leaves
-    of these. totals: (2,) all continuation counts of a class, cut n-grams included."""
-    back = 1 - np.maximum(words_ - discount, 0).sum(0) / np.maximum(totals, 1)
-    low = np.maximum(words_ - discount, 0) / np.maximum(totals, 1) + back * shared[:, None]
-    word_ratio = np.log(low[:, TOXIC]) - np.log(low[:, ORDINARY]) if len(low) else np.zeros(0)
-    history = np.maximum(pairs["history"], 1)
-    high = np.maximum(pairs["count"] - discount, 0) / history
-    weight = np.where(pairs["history"] > 0, 1 - pairs["held"] / history, 1.0)
-    p = high + np.clip(weight, 1e-6, 1.0) * low[pairs["last"]]
-    return word_ratio, np.log(p[:, TOXIC]) - np.log(p[:, ORDINARY]) if len(p) else np.zeros(0)
+def discount_of(counts: np.ndarray) -> float:
+    """Kneser-Ney's absolute discount, from how many n-grams were seen once and twice."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return once / (once + 2 * twice) if once else 0.5
 
 
 class Trainer:
-    """Counts of a bounded sample. All counts are continuation counts, so a passage that is copied counts once."""
-
-    def __init__(self, texts: list[bytes], label: np.ndarray):
-        h, pairs, first = _tokens_of(texts)
-        kind = np.repeat(label.astype(np.int8), np.diff(first))
-        before, earlier = np.full(len(h), _START), np.full(len(h), _START)
-        before[1:], earlier[1:] = h[:-1], pairs[:-1]
-        before[first[:-1][first[:-1] < len(h)]] = _START
-        self.pair, at, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        self.count = np.zeros((len(self.pair), 2), np.float32)
-        for k in (ORDINARY, TOXIC):
-            mine = np.flatnonzero(kind == k)
-            _, one = np.unique(mix(earlier[mine] * _ODD + pairs[mine]), return_index=True)
-            np.add.at(self.count[:, k], inverse[mine[one]], 1)
-            del mine, one
-        del earlier, pairs, inverse, kind
-        self.last = h[at]
-        self.word, inverse = np.unique(self.last, return_inverse=True)
-        self.continues = np.zeros((len(self.word), 2), np.float32)
-        for k in (ORDINARY, TOXIC):
-            np.add.at(self.continues[:, k], inverse[self.count[:, k] > 0], 1)
-        histories, self.place = np.unique(before[at], return_inverse=True)
-        self.histories = len(histories)
-
-    def vocabulary(self) -> np.ndarray:
-        """The words whose shared probability any model can need."""
-        return self.word[(self.continues > min(DISCOUNTS)).any(1) | np.isin(self.word, self.last[(self.count > min(DISCOUNTS)).any(1)])]
-
-    def model(self, probability: np.ndarray, discount: float) -> Model:
-        """probability: of each word of the vocabulary, in the shared distribution. Without a curve yet."""
-        totals = self.continues.sum(0, dtype=np.float64)
-        history, held = np.zeros((self.histories, 2), np.float32), np.zeros((self.histories, 2), np.float32)
-        np.add.at(history, self.place, self.count)
-        np.add.at(held, self.place, np.maximum(self.count - discount, 0))
-        keep = (self.count > discount).any(1)
-        need = (self.continues > discount).any(1) | np.isin(self.word, self.last[keep])
-        word, continues = self.word[need], self.continues[need]
-        shared = probability[np.searchsorted(self.vocabulary(), word)]
-        pairs = {"count": self.count[keep], "last": np.searchsorted(word, self.last[keep]), "history": history[self.place][keep], "held": held[self.place][keep]}
-        left = np.maximum(1 - np.maximum(continues - discount, 0).sum(0) / np.maximum(totals, 1), 1e-6)
-        ratio, pair = kneser_ney(continues, shared, pairs, totals, discount)
-        return Model(word, np.append(ratio, np.log(left[TOXIC]) - np.log(left[ORDINARY])).astype(np.float32), self.pair[keep], pair.astype(np.float32), np.zeros(4))
-
-
-def _sample(docs: DataFrame, labels: DataFrame, rows: int, text_col: str, id_col: str) -> list[tuple[str, int, bytes]]:
-    """(role, label, text) of the sample: as many toxic as ordinary rows for the counts, rows as they come for the curve."""
-    known = labels.where(f"{id_col} is not null and toxic is not null").groupBy(id_col).agg(F.max("toxic").cast("int").alias("label"))
+    """Counts of the sample and the models that they make. before, word, count (n, 2): distinct pairs of words and how often each class has them."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, count: np.ndarray):
+        pair = mix(before * _ODD + word)
+        order = np.argsort(pair)
+        self.pair, before, word, self.count = pair[order], before[order], word[order], count[order]
+        self.word, self.last = np.unique(word, return_inverse=True)
+        self.history, self.place = np.unique(before, return_inverse=True)
+        summed = lambda of, n, x: np.stack([np.bincount(of, weights=x[:, k], minlength=n) for k in (ORDINARY, TOXIC)], 1)
+        self.continues = summed(self.last, len(self.word), self.count > 0)
+        self.times = np.bincount(self.last, weights=self.count.sum(1), minlength=len(self.word))
+        self.after = summed(self.place, len(self.history), self.count)
+        self.summed = summed
+        self.discounts = np.array([[discount_of(x[:, k]) for k in (ORDINARY, TOXIC)] for x in (self.continues, self.count)])
+
+    def hot(self) -> np.ndarray:
+        return self.word[self.times > HOT_SHARE * self.times.sum()]
+
+    def words_model(self, shared: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n, 2): continuation probability of each word by class; (2,): the weight of the shared distribution. shared: of each word."""
+        total = np.maximum(self.continues.sum(0), 1)
+        held = np.where(self.continues >= cutoff, self.continues - self.discounts[0], 0.0) / total
+        back = np.maximum(1 - held.sum(0), 1e-9)
+        return held + back * shared[:, None], back
+
+    def ratios(self, shared: np.ndarray, word_cutoff: int, pair_cutoff: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-ratios: of words (that of unknown ones last), of histories and of pairs; a pair that no class keeps has that of its word and history."""
+        low, back = self.words_model(shared, word_cutoff)
+        log = lambda p: np.log(p[..., TOXIC]) - np.log(p[..., ORDINARY])
+        word = np.append(log(low), log(back))
+        if pair_cutoff >= NO_PAIRS:
+            return word, np.zeros(len(self.history)), word[self.last]
+        held = np.where(self.count >= pair_cutoff, self.count - self.discounts[1], 0.0)
+        after = np.maximum(self.after, 1)
+        weight = np.maximum(1 - self.summed(self.place, len(self.history), held) / after, 1e-9)
+        return word, log(weight), log(held / after[self.place] + weight[self.place] * low[self.last])
+
+    def model(self, shared: np.ndarray, word_cutoff: int, pair_cutoff: int, stretch: int, curve: np.ndarray) -> Model:
+        """Only what differs from the rest is kept."""
+        word, history, pair = self.ratios(shared, word_cutoff, pair_cutoff)
+        of_word = (self.continues >= word_cutoff).any(1)
+        of_history = history != 0
+        of_pair = (self.count >= pair_cutoff).any(1)
+        return Model(self.word[of_word], word[np.append(of_word, True)].astype(np.float32), self.history[of_history], history[of_history].astype(np.float32), self.pair[of_pair], pair[of_pair].astype(np.float32), stretch, curve)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, rows: int, text_col: str, id_col: str) -> DataFrame | None:
+    """role (ordinary, toxic or curve as 0, 1, 2), label and text of the sample: as many toxic as ordinary rows for the counts, rows as they come for the curve."""
+    known = labels.where(f"{id_col} is not null and toxic is not null").groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("label"))
     crc = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    known = known.where(~held_out(F.col(id_col))).withColumn("h", F.xxhash64(id_col)).withColumn("curve", crc == 1)
-    parts = {"toxic": (~F.col("curve") & (F.col("label") > 0), rows // 4), "ordinary": (~F.col("curve") & (F.col("label") <= 0), rows // 4), "curve": (F.col("curve"), rows // 2)}
-    chosen = [(r[id_col], role, int(r.label > 0), r.h) for role, (which, most) in parts.items() for r in known.where(which).orderBy("h", id_col).limit(most).collect()]
+    role = F.when(crc == 1, 2).otherwise(F.col("label"))
+    known = known.where(crc != 0).select(id_col, "label", role.alias("role"), F.xxhash64(id_col).alias("h"))
+    chosen = [tuple(r) for role, most in ((ORDINARY, rows // 4), (TOXIC, rows // 4), (2, rows // 2)) for r in known.where(F.col("role") == role).orderBy("h", id_col).limit(most).collect()]
     if not chosen:
-        return []
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("role", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType())])
-    wanted = docs.sparkSession.createDataFrame(chosen, schema)
+        return None
+    kind = docs.schema[id_col].dataType
+    make = lambda rows: F.broadcast(docs.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__id", kind), *(T.StructField(c, T.IntegerType()) for c in ("label", "role")), T.StructField("h", T.LongType())])))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).join(F.broadcast(wanted), "__id")
-    total, last = 0, None
-    for r in sorted(found.select("h", F.octet_length("__text").alias("n")).collect()):
-        total += r.n
-        if total > SAMPLE_BYTES:
-            break
-        last = r.h
-    if last is None:
-        return []
-    got = found.where(F.col("h") <= last).orderBy("h", "__id", "__text").select("role", "label", F.col("__text").cast("binary").alias("t")).toArrow()
-    return list(zip(*(got.column(c).to_pylist() for c in ("role", "label", "t"))))
+    docs = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    sizes = {r["__id"]: r.n for r in docs.join(make(chosen), "__id").groupBy("__id").agg(F.sum(F.octet_length("__text")).alias("n")).collect()}
+    fits, used = [], {}
+    for r in chosen:
+        total = used.get(r[2], 0) + sizes.get(r[0], SAMPLE_BYTES + 1)
+        if total <= SAMPLE_BYTES:
+            used[r[2]] = total
+            fits.append(r)
+    return docs.join(make(fits), "__id").select("role", "label", "__text") if fits else None
+
 
+def _counted(sample: DataFrame) -> Trainer:
+    """Pairs of words of the sample's toxic and ordinary rows, with their counts."""
 
-def _token_chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """tokens() of a list of texts, a chunk at a time, so that the driver holds hashes and not the work on all bytes."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    return [tokens(np.frombuffer(b"".join(texts[i:j]), np.uint8), offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
+    def run(batches):
+        for batch in batches:
+            role = np.asarray(batch.column(0)).astype(np.uint64)
+            data, offsets = text_buffer(batch.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                h, before, first = tokens_and_histories(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                kind = np.repeat(role[i:j], np.diff(first))
+                _, at, n = np.unique(mix(mix(before * _ODD + h) + kind), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(h[at].view(np.int64)), *(pa.array(np.where(kind[at] == k, n, 0)) for k in (ORDINARY, TOXIC))], names=["before", "word", "ordinary", "toxic"])
 
+    seen = sample.where("role < 2").select("role", "__text").mapInArrow(frugal(run), "before bigint, word bigint, ordinary bigint, toxic bigint")
+    got = seen.groupBy("before", "word").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic")).toArrow()
+    before, word, ordinary, toxic = (np.asarray(got.column(c)) for c in got.column_names)
+    return Trainer(before.view(np.uint64), word.view(np.uint64), np.stack([ordinary, toxic], 1))
 
-def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = _token_chunks(texts)
-    none = np.zeros(0, np.uint64)
-    count = np.concatenate([[0], *(np.diff(f) for _, _, f in parts)]).astype(np.int64)
-    return np.concatenate([none, *(h for h, _, _ in parts)]), np.concatenate([none, *(p for _, p, _ in parts)]), np.cumsum(count)
+
+def _placed(sample: DataFrame, trainer: Trainer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The curve's rows: labels, each one's first word (n + 1), and the places of words, histories and pairs among the trainer's; what it doesn't know has -1."""
+    shipped = sample.sparkSession.sparkContext.broadcast((trainer.word, trainer.history, trainer.pair))
+
+    def run(batches):
+        word, history, pair = shipped.value
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                h, before, first = tokens_and_histories(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                places = np.stack([lookup(word, h), lookup(history, before), lookup(pair, mix(before * _ODD + h))], 1).astype("<i4")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([places[a:b].tobytes() for a, b in zip(first.tolist(), first[1:].tolist())], pa.binary())], names=["label", "places"])
+
+    got = sample.where("role = 2").select("label", "__text").mapInArrow(frugal(run), "label int, places binary").toArrow()
+    raw = got.column("places").to_pylist()
+    first = np.concatenate([[0], np.cumsum([len(x) // 12 for x in raw])]).astype(np.int64)
+    places = np.frombuffer(b"".join(raw), "<i4").reshape(-1, 3)
+    return np.asarray(got.column("label")).astype(float), first, places[:, 0], places[:, 1], places[:, 2]
 
 
 def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame:
@@ -346,31 +387,35 @@ def _shared(docs: DataFrame, vocabulary: np.ndarray, hot: np.ndarray, text_col:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", id_col: str = "doc_id") -> Model | None:
     """The models and their curve; None without labelled rows of both kinds."""
     sample = _sample(docs, labels, sample_rows, text_col, id_col)
-    counted = [(label, text) for role, label, text in sample if role != "curve"]
-    curve = [(label, text) for role, label, text in sample if role == "curve"] or counted
-    if len({label for label, _ in counted}) < 2 or len({label for label, _ in curve}) < 2:
+    if sample is None:
+        return None
+    trainer = _counted(sample)
+    if not trainer.count.any(0).all():
+        return None
+    if trainer.word.nbytes + trainer.history.nbytes + trainer.pair.nbytes > MAX_MODEL_BYTES:
+        raise ValueError("the models' n-grams are too large to ship; take fewer rows in the sample")
+    y, first, word, history, pair = _placed(sample, trainer)
+    if len(set(y)) < 2:
         return None
-    parts = _token_chunks([t for _, t in curve])
-    y = np.array([label for label, _ in curve], float)
-    texts, label = [t for _, t in counted], np.array([label for label, _ in counted])
-    del sample, counted, curve
-    trainer = Trainer(texts, label)
-    del texts
-    vocabulary = trainer.vocabulary()
-    if vocabulary.nbytes > MAX_MODEL_BYTES:
-        raise ValueError("the models' vocabulary is too large to ship; take fewer rows in the sample")
-    often, times = np.unique(np.concatenate([h for h, _, _ in parts]), return_counts=True)
-    probability = _shared(docs, vocabulary, often[times > HOT_SHARE * times.sum()], text_col)
-    del often, times
-    best, loss = None, np.inf
-    for discount in DISCOUNTS:
-        model = trainer.model(probability, discount)
-        x = np.concatenate([summary(model.ratios(h, pairs), first) for h, pairs, first in parts])
-        model.curve = fit_curve(x, y)
-        p = np.clip(curve_value(model.curve, x), 1e-9, 1 - 1e-9)
-        if (now := -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) < loss:
-            best, loss = model, now
-    return best
+    shared = _shared(docs, trainer.word, trainer.hot(), text_col)
+
+    places = {n: Stretches(first, n) for n in STRETCHES}
+
+    def tried(word_cutoff: int, pair_cutoff: int, stretch: int):
+        of_word, of_history, of_pair = trainer.ratios(shared, word_cutoff, pair_cutoff)
+        r = of_word[word]
+        if pair_cutoff < NO_PAIRS:
+            r = np.where(pair >= 0, of_pair[pair], r + np.where(history >= 0, of_history[history], 0.0))
+        x = places[stretch].summary(r)
+        curve = fit_curve(x, y)
+        p = np.clip(curve_value(curve, x), 1e-9, 1 - 1e-9)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), (word_cutoff, pair_cutoff, stretch, curve)
+
+    best = lambda choices: min((tried(*c) for c in choices), key=lambda x: x[0])
+    now = best((k, NO_PAIRS, n) for k in CUTOFFS for n in STRETCHES)
+    k, _, n, _ = now[1]
+    now = min(now, best((k, c, n) for c in CUTOFFS), key=lambda x: x[0])
+    return trainer.model(shared, *now[1])
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

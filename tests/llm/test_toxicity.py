@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -72,12 +74,58 @@ def test_continuations_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.word: r.n for r in toxicity._continuations(docs, np.zeros(0, np.uint64), "text").collect()}
     texts = [(r.text or "").encode() for r in docs.collect()]
-    h, pairs, _ = toxicity._tokens_of(texts)
+    h, pairs, _ = toxicity.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     _, at = np.unique(pairs, return_index=True)
     assert got == dict(zip(*(x.tolist() for x in np.unique(h[at].view(np.int64), return_counts=True))))
 
 
-def test_copies_change_no_model(spark):
+def plain_ratios(texts, labels, shared, word_cutoff, pair_cutoff):
+    """Kneser-Ney with dictionaries: a function that gives a text's log-ratios."""
+    split = lambda t: ["", *t.lower().split()]
+    pairs = [Counter(p for t, k in zip(texts, labels) if k == kind for p in zip(split(t), split(t)[1:])) for kind in (0, 1)]
+    continues = [Counter(w for _, w in c) for c in pairs]
+    after = [Counter() for _ in pairs]
+    for a, c in zip(after, pairs):
+        for (v, _), n in c.items():
+            a[v] += n
+
+    def discount(c):
+        once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def low(k, w):
+        d, total = discount(continues[k]), sum(continues[k].values())
+        held = {x: n - d for x, n in continues[k].items() if n >= word_cutoff}
+        return held.get(w, 0) / total + (1 - sum(held.values()) / total) * shared(w)
+
+    def high(k, v, w):
+        if not after[k][v] or pair_cutoff is None:
+            return low(k, w)
+        d = discount(pairs[k])
+        held = {x: n - d for (u, x), n in pairs[k].items() if u == v and n >= pair_cutoff}
+        return held.get(w, 0) / after[k][v] + (1 - sum(held.values()) / after[k][v]) * low(k, w)
+
+    return lambda t: [math.log(high(1, v, w)) - math.log(high(0, v, w)) for v, w in zip(split(t), split(t)[1:])]
+
+
+def test_ratios_against_plain_version(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", weights=range(1, 17), k=rng.randint(0, 30))) for _ in range(60)]
+    labels = [i % 2 for i in range(60)]
+    sample = spark.createDataFrame(list(zip(labels, labels, texts)), "role int, label int, __text string").repartition(3)
+    trainer = toxicity._counted(sample)
+    value = lambda w: 0.01 + ord(w) % 7 / 100
+    name = {int(toxicity.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[0][0]): w for w in "abcdefghijklmnopz"}
+    shared = np.array([value(name[int(h)]) for h in trainer.word])
+    for word_cutoff, pair_cutoff in ((1, 1), (3, 2), (2, None), (6, 9)):
+        model = trainer.model(shared, word_cutoff, toxicity.NO_PAIRS if pair_cutoff is None else pair_cutoff, 1, np.zeros(4))
+        plain = plain_ratios(texts, labels, value, word_cutoff, pair_cutoff)
+        for t in (*texts[:8], "z a z z b", "a z c"):
+            h, before, _ = toxicity.tokens_and_histories(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+            assert np.allclose(model.ratios(h, before), plain(t), atol=1e-5), (word_cutoff, pair_cutoff, t)
+
+
+def test_copies_of_documents_without_labels_change_no_model(spark):
     docs, labels = corpus(random.Random(4))
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     fitted = lambda rows: toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known)
@@ -85,6 +133,17 @@ def test_copies_change_no_model(spark):
     assert (plain.word_ratio == copied.word_ratio).all() and (plain.pair_ratio == copied.pair_ratio).all() and np.allclose(plain.curve, copied.curve)
 
 
+def test_long_texts_and_a_sample_that_leaves_out_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    docs, labels = corpus(random.Random(6))
+    long = " ".join(f"w{i % 400}" for i in range(60_000))
+    docs = [*docs, (700, long), (702, long + " grumbo fnarg zilch"), (711, long)]
+    out = toxicity.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (700, 0), (702, 1), (711, 1)], "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out if r.doc_id in truth]) > 0.95
+    assert {r.doc_id: r.predicted for r in out if r.doc_id >= 700} == {700: 0, 702: 1, 711: 0}
+
+
 def test_labels_of_one_kind_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
@@ -100,6 +159,6 @@ def test_real_labels(spark):
 
 def test_summary_by_hand():
     r = np.array([0, 0, 5, 5, 0, 0, 0, 0, 0, 3, 1.0])
-    got = toxicity.summary(r, np.array([0, 10, 10, 11]))
-    n = toxicity.STRETCH
+    n = 4
+    got = toxicity.Stretches(np.array([0, 10, 10, 11]), n).summary(r)
     assert np.allclose(got, [[1.3, 10 / n, 3 / n], [0, 0, 0], [1, 1 / n, -1]])
