@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a file of an intermediate table should hold at least.
+ROWS_PER_FILE = 5000
+
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -16,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_DIRS:
@@ -45,11 +49,18 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/cantata-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
+    def clear(self) -> None:
+        """Deletes all of it, once what was made from its tables has been written."""
+        _delete(self.spark, self.root)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: how many df has at most, where that is known; then it goes to no more files than one for ROWS_PER_FILE rows."""
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(rows // ROWS_PER_FILE + 1)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
