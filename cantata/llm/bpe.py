@@ -10,7 +10,7 @@ blocks. The automaton's output marks where a piece starts.
 The pieces, byte slices of the text, go through a cache of merged pieces; a new piece is merged by rank, lowest first and
 leftmost first. Offsets of the tokens are kept, so any token can be traced back and the text decoded.
 
-Defined cases: a null or empty text has no tokens; rows are encoded one by one, so repeated rows and ties are nothing
+Defined cases: a null or empty text has no tokens; bytes that aren't UTF-8 become U+FFFD before they are encoded; a very long text is encoded whole, in one task; rows are encoded one by one, so repeated rows and ties are nothing
 special; an empty table gives an empty result; other columns are not read. The vocabulary is a file of base64 tokens and
 ranks whose path is a parameter; the driver reads it and ships it with the function (its size is checked).
 """
@@ -237,7 +237,11 @@ class Codec:
     def __init__(self, vocabulary: bytes):
         rows = [line.split() for line in vocabulary.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(t): int(r) for t, r in rows}
-        self.token = {r: t for t, r in self.ranks.items()}
+        #: All tokens' bytes, one after the other, and each one's first byte and length by rank.
+        self.size = np.zeros(max(self.ranks.values(), default=-1) + 1, np.int64)
+        self.size[list(self.ranks.values())] = [len(t) for t in self.ranks]
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.pieces = Pieces(self.ranks)
         self.pre = PreTokenizer()
 
@@ -246,7 +250,13 @@ class Codec:
         raw = data.tobytes()
         if not raw:
             return [b""] * (len(offsets) - 1)
-        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            cut = offsets.tolist()
+            parts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(cut, cut[1:])]
+            return self.encode_many(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         place = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each code point
         first = np.zeros(len(points), bool)
         filled = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -259,13 +269,16 @@ class Codec:
         bound = np.searchsorted(at, offsets).tolist()
         return [b"".join(ids[i:j]) for i, j in zip(bound, bound[1:])]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Byte where each token starts, and the end (n + 1)."""
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.size[ids], out=out[1:])
+        return out
 
-    def offsets(self, ids: bytes) -> np.ndarray:
-        """Byte where each token starts in the text, and the text's length."""
-        size = [len(self.token[i]) for i in np.frombuffer(ids, "<u4").tolist()]
-        return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The tokens' bytes, each at its offset."""
+        place = np.repeat(self.begin[ids] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
+        return self.flat[place].tobytes()
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -290,15 +303,11 @@ def _id_fields(df: DataFrame, names) -> list[T.StructField]:
     return [T.StructField(c, df.schema[c].dataType) for c in names]
 
 
-def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), tokens: bool = True, digests: bool = False, token_offsets: bool = True) -> DataFrame:
-    """One row a row: the kept columns, n_tokens; with tokens also ids and, unless token_offsets is off, offsets (byte of each token, and the end); with
-    digests ids_sha256 and decoded_sha256, of the ids and of what decoding them gives."""
+def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
+    """One row a row: the kept columns, n_tokens, ids and offsets (the byte where each token starts, and the end); with digests ids_sha256 and
+    decoded_sha256, of the ids and of what they and their offsets decode to. Kept columns with one of these names come first, as they are."""
     vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    fields = [*_id_fields(df, keep), T.StructField("n_tokens", T.LongType())]
-    if tokens:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
-        if token_offsets:
-            fields.append(T.StructField("offsets", T.ArrayType(T.LongType(), False)))
+    fields = [*_id_fields(df, keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("offsets", T.ArrayType(T.IntegerType(), False))]
     if digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     k = len(keep)
@@ -308,19 +317,20 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: tu
         for batch in batches:
             data, offsets = text_buffer(batch.column(k))
             for i, j in chunks(offsets, ENCODE_BYTES):
-                ids = codec.encode_many(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                raw = codec.encode_many(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                count = np.array([len(x) // 4 for x in raw], np.int64)
+                ends = np.concatenate([[0], np.cumsum(count)])
+                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+                at = codec.offsets(ids)
+                each = np.arange(len(ids) + len(count)) - np.repeat(np.arange(len(count)), count + 1)  # every document has an end of its own
                 columns = [batch.column(c).slice(i, j - i) for c in range(k)]
-                columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
-                if tokens:
-                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, flat))
-                if tokens and token_offsets:
-                    where = [codec.offsets(x) for x in ids]
-                    columns.append(pa.ListArray.from_arrays(np.arange(len(ends), dtype=np.int32) + ends, np.concatenate(where)))
+                columns.append(pa.array(count))
+                columns.append(pa.ListArray.from_arrays(ends.astype(np.int32), ids))
+                columns.append(pa.ListArray.from_arrays((ends + np.arange(len(ends))).astype(np.int32), (at[each] - np.repeat(at[ends[:-1]], count + 1)).astype(np.int32)))
                 if digests:
-                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
-                    columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()))
+                    decoded, cut = codec.decode(ids, at), at[ends].tolist()
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
         codec.pieces.forget()
 
@@ -335,8 +345,13 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", keep: tupl
 
     def run(batches):
         codec = _codec(vocabulary.value)
+
+        def decoded(ids):
+            ids = np.array(ids, np.int64)
+            return codec.decode(ids, codec.offsets(ids))
+
         for batch in batches:
-            raw = [None if x is None else b"".join([codec.token[i] for i in x]) for x in batch.column(k).to_pylist()]
+            raw = [None if x is None else decoded(x) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in range(k)), pa.array(raw, pa.binary()), pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.string())],
                 names=[f.name for f in fields],

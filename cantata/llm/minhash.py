@@ -1,6 +1,6 @@
 """Operator 9: near-duplicate documents by min-max hashing.
 
-A document's set holds its distinct word shingles as 64-bit hashes. Under each permutation both the smallest and the
+A document's set holds its distinct word shingles as 64-bit hashes (of all the words' bytes; every eight bytes and every word go through a finalizer). Under each permutation both the smallest and the
 largest hash are kept, so PERMUTATIONS evaluations give twice as many unbiased signature values. Values of different
 permutations form bands; documents that share a band are candidates, and links are confirmed on the full sets.
 
@@ -311,32 +311,34 @@ def _linked(rows: DataFrame, threshold: int) -> DataFrame:
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """One row a document: its id, n_shingles, component_id and kept."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    signed = scratch.keep(_sign(docs, text_col, id_col, shingle, permutations, rows), "signed")
-    nodes = scratch.keep(
+    scratch, rows_in = Scratch(spark), docs.count()
+    keep = lambda df, name: scratch.keep(df, name, rows_in)
+    signed = keep(_sign(docs, text_col, id_col, shingle, permutations, rows), "signed")
+    nodes = keep(
         signed.where("node is not null").groupBy("node").agg(F.min("id").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"
     )
     spread = nodes.select("node", "rid", F.explode("bands").alias("key"))
-    shared = scratch.keep(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = scratch.keep(spread.join(small_side(shared, shared.count(), 40), "key"), "members")
+    shared = keep(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    members = keep(spread.join(small_side(shared, shared.count(), 40), "key"), "members")
 
     # One pivot a node: of its buckets' members the one with the smallest id.
     me = F.struct("rid", "node")
     first = members.groupBy("key").agg(F.min(me).alias("pivot"))
     star = members.join(first, "key").where("node != pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
-    star = scratch.keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
 
     # Full sets of the nodes that have a candidate, made again from their documents.
-    wanted = scratch.keep(members.select("node", "rid").distinct(), "wanted")
+    wanted = keep(members.select("node", "rid").distinct(), "wanted")
     count = wanted.count()
     ids = small_side(wanted.select("rid").distinct(), count, 48)
     some = docs.select(F.col(id_col).alias("__rid"), F.col(text_col).alias("__text")).join(ids, F.col("__rid").eqNullSafe(F.col("rid")), "left_semi")
     sets = _sets(some, "__text", "__rid", shingle).join(small_side(wanted.select("node"), count, 64), "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.keep(sets, "sets")
+    sets = keep(sets, "sets")
 
-    links = scratch.keep(_confirm(star, sets, threshold), "links-0")
+    links = keep(_confirm(star, sets, threshold), "links-0")
     tested = star.select("a", "b")
     labels = components(links, scratch, "comp-0")
+
     def blocks_of(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, once for each pair of blocks; a group's rows together."""
         placed = members.join(labels, "node", "left").select("key", "size", "node", F.coalesce("comp", "node").alias("comp"))
@@ -353,19 +355,21 @@ def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
     for k in range(1, BEST_ROUNDS + 1):
         near = _best(blocks_of(labels), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb", "score").join(tested, ["a", "b"], "left_anti")
         near = near.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p")).groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b")
-        near = scratch.keep(near.distinct(), f"near-{k}")
+        near = keep(near.distinct(), f"near-{k}")
         if not near.take(1):
             break
         tested = tested.unionByName(near)
-        new = scratch.keep(_confirm(near, sets, threshold), f"links-{k}")
+        new = keep(_confirm(near, sets, threshold), f"links-{k}")
         if not new.take(1):
             break
         links = links.unionByName(new)
         labels = components(links, scratch, f"comp-{k}")
-    active = scratch.keep(_active(blocks_of(labels), threshold), "active")
-    new = scratch.keep(_linked(together(active.join(sets, "node")), threshold).distinct(), "links-last")
+    active = keep(_active(blocks_of(labels), threshold), "active")
+    new = keep(_linked(together(active.join(sets, "node")), threshold).distinct(), "links-last")
     if new.take(1):
         labels = components(links.unionByName(new), scratch, "comp-last")
+    for name in ("shared", "members", "star", "wanted", "sets", "active", "links-0", "links-last", *(f"{x}-{k}" for k in range(1, BEST_ROUNDS + 1) for x in ("near", "links"))):
+        scratch.drop(name)
 
     placed = nodes.select("node", "rid").join(labels, "node", "left").select("node", "rid", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("rid").alias("component_id"))

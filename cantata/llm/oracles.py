@@ -48,7 +48,7 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 
 SECRETS = f"""
 WITH base AS ({" UNION ALL ".join((_spans("assign", 0, _ASSIGN, 1, 8), _spans("access", 1, "AKIA[A-Z0-9]+", 0, 16), _spans("hex", 2, "[0-9a-f]+", 0, 32)))}),
-opaque AS (SELECT * FROM ({_spans("opaque", 3, "[A-Za-z0-9+/_=-]{24,}", 0, 24)}) WHERE regexp_matches(value[:64], '[0-9]') AND regexp_matches(value[:64], '[A-Z]') AND regexp_matches(value[:64], '[a-z]')),
+opaque AS (SELECT * FROM ({_spans("opaque", 3, "[A-Za-z0-9+/_=-]{24,}", 0, 24)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')),
 apart AS (SELECT * FROM opaque o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start < o.stop AND o.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM apart),
 owners AS (SELECT value, count(DISTINCT source) AS owners FROM every GROUP BY value),

@@ -180,11 +180,11 @@ def _rows_of(c: tuple[int, int, bool]) -> Column:
     return F.get("bins", F.lit(f)) > k if above else F.get("bins", F.lit(f)) <= k
 
 
-def learn(labelled: DataFrame, scratch: Scratch) -> list[Rule]:
-    """labelled: features and bad. The rules, in order, each a conjunction that marks bad rows."""
+def learn(labelled: DataFrame, scratch: Scratch, size: int) -> list[Rule]:
+    """labelled: features and bad, of a table with so many rows. The rules, in order, each a conjunction that marks bad rows."""
     rows = labelled.select("features", "bad", (F.pmod(F.xxhash64("features"), F.lit(3)) == 0).alias("prune"))
     cuts = _thresholds(rows)
-    rest = scratch.keep(_binned(rows, cuts), "binned")
+    rest = scratch.keep(_binned(rows, cuts), "binned", size)
     rules: list[Rule] = []
     for _ in range(MAX_RULES):
         conditions: list[tuple[int, int, bool]] = []
@@ -239,9 +239,10 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """One row a document: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and rule
     (the number of the first rule that marks it, or null)."""
     scratch = Scratch(docs.sparkSession)
-    measured = scratch.keep(statistics(docs, text_col, (id_col,)), "statistics")
+    size = docs.count()
+    measured = scratch.keep(statistics(docs, text_col, (id_col,)), "statistics", size)
     known = labels.where(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.min("quality") <= 0).alias("bad"))
-    rules = learn(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), scratch)
+    rules = learn(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), scratch, size)
     number = F.lit(None).cast("int")
     for k, r in reversed(list(enumerate(rules, 1))):
         number = F.when(r.expression(F.col("features")), k).otherwise(number)

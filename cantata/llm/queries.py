@@ -23,7 +23,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), tokens=False, digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True).drop("ids", "offsets")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Kind that the method adds.
-OPAQUE = ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])(?=[a-z0-9+/_=-]{0,63}[A-Z])(?=[A-Z0-9+/_=-]{0,63}[a-z])[A-Za-z0-9+/_=-]{24,}", 0, 24)
+#: Kind that the method adds, and what each of its values must hold.
+OPAQUE = ("opaque", r"[A-Za-z0-9+/_=-]{24,}", 0, 24)
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 #: Distinct owners from which a value is a widely copied example.
 EXAMPLE_OWNERS = 3
 
@@ -52,6 +53,14 @@ def spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: i
     return F.element_at(F.transform(F.array(found), lambda m: F.when(F.size(m) == 0, F.array().cast(_SPANS)).otherwise(located(m))), 1)
 
 
+def mixed(span: Column) -> Column:
+    """Whether the span's whole value has a character of every class."""
+    out = F.lit(True)
+    for x in MIXED:
+        out = out & span["value"].rlike(x)
+    return out
+
+
 def render(rows: Column) -> Column:
     """kind:start:end by start, then kind, comma-joined."""
     ordered = F.sort_array(F.transform(rows, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
@@ -71,10 +80,10 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
         text.alias("text"),
     )
     base = F.concat(*(spans(F.col("text"), i, *k) for i, k in enumerate(KINDS)))
-    df = df.select(*kept, "row", "repo", "owner", base.alias("base"), spans(F.col("text"), len(KINDS), *OPAQUE).alias("more"))
+    df = df.select(*kept, "row", "repo", "owner", base.alias("base"), F.filter(spans(F.col("text"), len(KINDS), *OPAQUE), mixed).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     hashed = F.transform(F.concat("base", apart), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")))
-    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates")
+    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates", docs.count())
     spread = df.select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
     owned = spread.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     frequency = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))

@@ -1,24 +1,28 @@
 """Operator 10: verbatim repeats of WINDOW bytes and more, by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered only as far as WINDOW bytes, most significant digit first, and a pass goes on with what is not yet alone:
-equal groups after the last pass are exactly the repeated windows. To keep the passes small they work on sampled suffixes
-and fan out again at the end, which loses nothing:
+equal groups after the last pass are exactly the repeated windows. To keep the passes small, those over the whole corpus work on sampled suffixes
+and fan out to all windows at the end, which loses nothing:
 
 * Each window holds GRAM-byte grams; the one with the smallest hash is its anchor. Equal windows have equal anchors at equal
   places, so a repeated window lies in a group of repeated anchors. About one suffix in 31 starts with an anchor.
 * Pass 1, first digit: suffixes at anchors by their GRAM bytes. Anchors that occur once go.
 * Pass 2, next digit: the surviving suffixes by their context, all bytes of the windows that have the anchor. Of equal contexts
   the earliest place is the first; at every other place each window is a repeat.
-* Pass 3, last digit: where one anchor has several contexts, the windows of each context's first place are ordered among
-  each other, and those that also start earlier are found. Anchors with over HOT contexts go window by window through an
-  aggregate that combines before the shuffle.
+* Pass 3: where one anchor has several contexts, the windows of each context's first place are ordered among each other: what has a
+  window hash of its own is alone and goes; the rest is sorted by its bytes, eight at a time from the first to the last, and what
+  becomes alone goes after each pass. Windows that also start earlier are found in the groups that are left. Anchors with over HOT contexts
+  go window by window through an aggregate that combines before the shuffle.
+
+Digits of passes 1 and 2 travel as 64-bit hashes (an anchor's with its context's, 128 bits for a context); every eight bytes of them go through a finalizer
+(common.mix), so that texts with equal values don't come in families. Pass 3 compares bytes, except for hot anchors, whose windows have 128 bits.
 
 What the passes tell a document's scan (repeated anchors; first places) is broadcast while it has at most LIMIT bytes;
 beyond that it reaches the documents through a shuffled join on their identity.
 
 Defined cases: a null or empty text has no bytes and nothing removed. Documents are ordered by id, nulls last, then by a
 hash of the text; rows with equal id and text are one document and get equal results. Texts shorter than a window stay as
-they are.
+they are. A very long text is scanned alone, in one task. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import CHUNK_BYTES, Scratch, chunks, frugal, mix, partitions, powers, prefix_hash, span_hash, text_buffer
+from cantata.llm.common import Scratch, chunks, eights, frugal, mix, partitions, text_buffer
 
 WINDOW = 100
+#: 8 times a power of two.
 GRAM = 32
+#: Text bytes that are scanned at once; a longer document is scanned alone.
+CHUNK_BYTES = 1 << 18
+#: Windows that pass 3 orders at once, unless one anchor has more.
+ORDERED = 1 << 18
 #: Bytes of a broadcast lookup.
 LIMIT = 64 << 20
 #: Contexts of an anchor above which windows are grouped one by one.
@@ -62,6 +71,16 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     return out
 
 
+def _doubled(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes (8 times a power of two) from each place on; of no use where fewer are left."""
+    out, have = mix(eights(data)), 8
+    while have < size:
+        if len(out) > have:
+            out[:-have] = mix(out[:-have] * _ODD + out[have:])
+        have *= 2
+    return out
+
+
 def _tails(offsets: np.ndarray, size: int) -> np.ndarray:
     """Places from which fewer than `size` bytes of the document are left."""
     length = np.minimum(np.diff(offsets), size - 1)
@@ -76,15 +95,8 @@ class Scan:
         self.window, self.width = window, window - gram + 1
         self.data, self.offsets = data, offsets
         n = len(data)
-        self.prefix = prefix_hash(data)
-        _, down = powers(n)
-        hashes = np.zeros(n, np.uint64)
-        if n >= gram:
-            x = (self.prefix[gram:] - self.prefix[:-gram]) * down[: n - gram + 1]
-            x ^= x >> np.uint64(32)
-            x *= _ODD
-            x ^= x >> np.uint64(29)
-            hashes[: n - gram + 1] = x
+        self.gram_size = gram
+        self.hashes = hashes = _doubled(data, gram)
         order = (hashes >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
         order[_tails(offsets, gram)] = np.uint32(0xFFFFFFFF)
         least = _sliding(order, self.width, np.minimum, 0xFFFFFFFF)
@@ -103,8 +115,13 @@ class Scan:
         return np.maximum(self.offsets[self.doc], self.at - self.width + 1), np.minimum(self.offsets[self.doc + 1], self.at + self.window)
 
     def context_hash(self) -> np.ndarray:
+        """Of all its bytes, by grams one after the other, the last one where it ends; and of the anchor's place in it."""
         a, b = self.contexts()
-        return mix(span_hash(self.prefix, a, b) * _ODD + (self.at - a).astype(np.uint64))
+        out = mix((b - a).astype(np.uint64) * _ODD + (self.at - a).astype(np.uint64))
+        for k in range(0, int((b - a).max(initial=0)), self.gram_size):
+            some = a + k < b
+            out[some] = mix(out[some] * _ODD + self.hashes[np.minimum(a[some] + k, b[some] - self.gram_size)])
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the windows that have the anchor."""
@@ -139,8 +156,9 @@ def _numbers(column) -> np.ndarray:
 class Dedup:
     """The passes over one table of documents."""
 
-    def __init__(self, docs: DataFrame, text_col: str, id_col: str, window: int, gram: int, limit: int, hot: int):
+    def __init__(self, docs: DataFrame, text_col: str, id_col: str, window: int, gram: int, limit: int, hot: int, digests: bool):
         self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession)
+        self.digests, self.rows = digests, docs.count()
         self.window, self.gram, self.limit, self.hot = window, gram, limit, hot
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
@@ -160,7 +178,7 @@ class Dedup:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         seen = self.docs.select("text").mapInArrow(frugal(run), "h bigint, n bigint")
-        return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
+        return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated", self.rows)
 
     def known(self, df: DataFrame, column: str) -> np.ndarray:
         got = df.select(column).toArrow().column(column)
@@ -203,15 +221,15 @@ class Dedup:
         else:
             flagged = self.of_anchors().join(repeated, "h", "left_semi")
             places = flagged.groupBy("d", "t").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-            self.docs = self.scratch.keep(self.docs.join(places, ["d", "t"], "left"), "docs")
+            self.docs = self.scratch.keep(self.docs.join(places, ["d", "t"], "left"), "docs", self.rows)
             self.flagged = True
             flagged = self.of_anchors()
         # Pass 2.
-        first = self.scratch.keep(flagged.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first")
+        first = self.scratch.keep(flagged.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first", self.rows)
         several = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-        open_ = self.scratch.keep(first.join(several, "h"), "open")
+        open_ = self.scratch.keep(first.join(several, "h"), "open", self.rows)
         # Pass 3.
-        found = self.scratch.keep(self.windows(open_), "found")
+        found = self.scratch.keep(self.windows(open_), "found", self.rows)
         return self.removal(first, found)
 
     def told(self, rows: DataFrame, columns: list[str], row_bytes: int):
@@ -267,12 +285,12 @@ class Dedup:
             return pa.RecordBatch.from_arrays([*map(pa.array, arrays), context], names=["h", "c", "d", "t", "pos", "size", "near", "far", "lead", "context"])
 
         rows = self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int, size bigint, near int, far int, lead int, context binary", docs)
-        rows = self.scratch.keep(rows, "contexts")
+        rows = self.scratch.keep(rows, "contexts", self.rows)
         few = rows.where(F.col("size") <= hot).repartition(partitions(self.spark), "h").sortWithinPartitions("h").mapInArrow(frugal(_ordered(window, width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
-        each = rows.where(F.col("size") > hot).mapInArrow(frugal(_exploded(window)), "h bigint, c bigint, d bigint, t bigint, pos int, back int, w bigint")
+        each = rows.where(F.col("size") > hot).mapInArrow(frugal(_exploded(window)), "h bigint, c bigint, d bigint, t bigint, pos int, back int, w bigint, v bigint")
         place = F.struct("d", "t", "pos")
-        least = each.groupBy("h", "back", "w").agg(F.min(place).alias("least"))
-        late = each.join(least, ["h", "back", "w"]).where(place > F.col("least")).groupBy("h", "c", "d", "t", "pos").agg(F.collect_set("back").alias("backs"))
+        least = each.groupBy("h", "back", "w", "v").agg(F.min(place).alias("least"))
+        late = each.join(least, ["h", "back", "w", "v"]).where(place > F.col("least")).groupBy("h", "c", "d", "t", "pos").agg(F.collect_set("back").alias("backs"))
         many = late.mapInArrow(frugal(_bits(width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
         return few.unionByName(many)
 
@@ -290,8 +308,9 @@ class Dedup:
         else:
             both = first.join(found, ["h", "c", "d", "t", "pos"], "left").select("d", "t", "pos", F.coalesce("gone", F.lit(bytearray(empty))).alias("gone"))
             docs = self.by_document(both, ["gone"])
+        digests = self.digests
         schema = T.StructType(
-            [T.StructField("id", self.docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType(), False))]
+            [T.StructField("id", self.docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()) if self.digests else T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType(), False))]
         )
 
         def select(s, d, t, rows):
@@ -334,44 +353,106 @@ class Dedup:
             rest = s.data[~covered].tobytes()
             size = np.diff(s.offsets)
             ends = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
-            kept = [rest[x:y] for x, y in zip(ends, ends[1:])]
+            kept = (rest[x:y] for x, y in zip(ends, ends[1:]))
+            kept = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if digests else pa.array(list(kept), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("id")), pa.array(size), pa.array(removed), pa.array(np.diff(bound)), pa.array(kept, pa.binary()), pa.ListArray.from_arrays((2 * bound).astype(np.int32), flat)], names=schema.names
+                [rows.column(rows.schema.get_field_index("id")), pa.array(size), pa.array(removed), pa.array(np.diff(bound)), kept, pa.ListArray.from_arrays((2 * bound).astype(np.int32), flat)], names=schema.names
             )
 
         return self.places(select, schema, docs, extra=True)
 
 
+class Windows:
+    """The windows of some contexts: h, c, d, t, pos, near, far, lead of each context, and its bytes."""
+
+    def __init__(self, table: list[np.ndarray], context: list[bytes], window: int):
+        self.h, _, _, _, _, near, far, lead = table
+        size = np.array([len(x) for x in context], np.int64)
+        self.data, self.window = np.frombuffer(b"".join(context), np.uint8), window
+        begin = np.cumsum(size) - size
+        count = (far - near + 1).astype(np.int64)
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        self.back = np.repeat(near - (np.cumsum(count) - count), count) + np.arange(len(self.row))
+        self.start = np.repeat(begin + lead, count) - self.back
+
+    def hashes(self) -> np.ndarray:
+        """Of each window's bytes: two halves that may overlap, each by doubling."""
+        half = 8
+        while 4 * half <= self.window:
+            half *= 2
+        whole = _doubled(self.data, half)
+        out = mix(whole[self.start])
+        for k in range(half, self.window, half):
+            out = mix(out * _ODD + whole[self.start + min(k, self.window - half)])
+        return out
+
+    def digits(self):
+        """The windows' bytes from the first to the last, eight at a time; the last eight may overlap."""
+        wide = eights(self.data)
+        for k in range(0, self.window, 8):
+            yield lambda some, k=k: wide[self.start[some] + min(k, self.window - 8)].byteswap()
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of the keys (the last key first), and for each of these the number of its group of equal keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for x in keys:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    return order, np.cumsum(new)
+
+
+def _not_alone(group: np.ndarray) -> np.ndarray:
+    """group: ascending numbers. Which of them stand twice or more."""
+    same = np.zeros(len(group) + 1, bool)
+    same[1:-1] = group[1:] == group[:-1]
+    return same[1:] | same[:-1]
+
+
 def _ordered(window: int, width: int):
     """Groups of contexts with one anchor (adjacent rows): which windows of each also start at an earlier place."""
 
     def bits(table: list[np.ndarray], context: list[bytes]):
-        h, c, d, t, pos, near, far, lead = table
-        order = np.lexsort([pos, t, d])
+        h, c, d, t, pos = table[:5]
+        by_place, rank_of = _groups([pos, t, d])
         rank = np.empty(len(h), np.int64)
-        later = np.zeros(len(h), bool)
-        later[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (d, t, pos)])
-        rank[order] = np.cumsum(later)
-        size = np.array([len(x) for x in context], np.int64)
-        begin = np.cumsum(size) - size
-        prefix = prefix_hash(np.frombuffer(b"".join(context), np.uint8))
-        count = (far - near + 1).astype(np.int64)
-        row = np.repeat(np.arange(len(h)), count)
-        back = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = begin[row] + lead[row] - back
-        key = mix(mix(h.view(np.uint64)[row] + back.astype(np.uint64)) * _ODD + span_hash(prefix, start, start + window))
-        by = np.lexsort([rank[row], key])
-        sorted_key = key[by]
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-        leader = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+        rank[by_place] = rank_of
+        w = Windows(table, context, window)
+        key = mix(mix(h.view(np.uint64)[w.row] + w.back.astype(np.uint64)) * _ODD + w.hashes())
+        order, group = _groups([key])
+        some = _not_alone(group)
+        order, group = order[some], group[some]
+        for digit in w.digits():  # most significant first; group stays the number of what is equal so far
+            if not len(order):
+                break
+            by, now = _groups([digit(order), group])
+            order, some = order[by], _not_alone(now)
+            order, group = order[some], now[some]
         late = np.zeros((len(h), 8 * -(-width // 8)), np.uint8)
-        again = by[rank[row[by]] > rank[row[by[leader]]]]
-        late[row[again], back[again]] = 1
+        if len(order):
+            by = np.lexsort([rank[w.row[order]], group])
+            order, group = order[by], group[by]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = group[1:] != group[:-1]
+            leader = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+            again = order[rank[w.row[order]] > rank[w.row[leader]]]
+            late[w.row[again], w.back[again]] = 1
         some = np.flatnonzero(late.any(1))
         packed = np.packbits(late[some], axis=1, bitorder="little")
         return pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (h, c, d, t, pos)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["h", "c", "d", "t", "pos", "gone"])
 
+    def pieces(table):
+        """Whole anchors, of about ORDERED windows together."""
+        h = np.asarray(table.column("h"))
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        many = np.cumsum(np.asarray(table.column("far")).astype(np.int64) - np.asarray(table.column("near")) + 1)[ends - 1]
+        begin = done = 0
+        for k, end in enumerate(ends.tolist()):
+            if k + 1 == len(ends) or many[k + 1] - done > ORDERED:
+                yield table.slice(begin, end - begin)
+                begin, done = end, many[k]
+
     def run(batches):
         held = None
         for batch in batches:
@@ -382,7 +463,8 @@ def _ordered(window: int, width: int):
             h = np.asarray(table.column("h"))
             cut = len(h) - int((h[::-1] == h[-1]).cumprod().sum())
             if cut:
-                yield bits(*_unpack(table.slice(0, cut)))
+                for part in pieces(table.slice(0, cut)):
+                    yield bits(*_unpack(part))
             held = table.slice(cut)
         if held is not None and held.num_rows:
             yield bits(*_unpack(held))
@@ -399,16 +481,13 @@ def _exploded(window: int):
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
-                (h, c, d, t, pos, near, far, lead), context = _unpack(pa.Table.from_batches([batch.slice(s, 2048)]))
-                size = np.array([len(x) for x in context], np.int64)
-                begin = np.cumsum(size) - size
-                prefix = prefix_hash(np.frombuffer(b"".join(context), np.uint8))
-                count = (far - near + 1).astype(np.int64)
-                row = np.repeat(np.arange(len(h)), count)
-                back = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                start = begin[row] + lead[row] - back
-                w = span_hash(prefix, start, start + window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[row]) for x in (h, c, d, t, pos)), pa.array(back.astype(np.int32)), pa.array(w)], names=["h", "c", "d", "t", "pos", "back", "w"])
+                table, context = _unpack(pa.Table.from_batches([batch.slice(s, 2048)]))
+                w = Windows(table, context, window)
+                other = np.zeros(len(w.row), np.uint64)
+                every = np.arange(len(w.row))
+                for digit in w.digits():
+                    other = mix(other * np.uint64(0xC2B2AE3D27D4EB4F) + digit(every))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[w.row]) for x in table[:5]), pa.array(w.back.astype(np.int32)), pa.array(w.hashes().view(np.int64)), pa.array(other.view(np.int64))], names=["h", "c", "d", "t", "pos", "back", "w", "v"])
 
     return run
 
@@ -425,10 +504,12 @@ def _bits(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
-    """One row a document: its id, n_bytes, n_removed, n_spans, kept (the bytes that remain) and spans (starts and ends of the removed runs, one after the other)."""
-    return Dedup(docs, text_col, id_col, window, gram, limit, hot).run().withColumnRenamed("id", id_col)
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT, hot: int = HOT, digests: bool = False) -> DataFrame:
+    """One row a document: its id, n_bytes, n_removed, n_spans, kept (the bytes that remain; with digests kept_sha256 instead) and spans (starts and
+    ends of the removed runs, one after the other)."""
+    return Dedup(docs, text_col, id_col, window, gram, limit, hot, digests).run().withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Of what remove_repeats() gives with digests."""
+    return found.select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")

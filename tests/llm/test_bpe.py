@@ -33,7 +33,8 @@ def test_same_ids_as_the_library(codec, reference):
     texts += ["", "a" * 3000, "'" * 700, " " * 1000, "ab" * 1500, "it's we'll they'RE 's", "  's\n's", "<|endoftext|>"]
     for t, ids in zip(texts, codec.encode_many(*buffers(texts))):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
-        assert codec.decode(ids) == t.encode()
+        ids = np.frombuffer(ids, "<u4").astype(np.int32)
+        assert codec.decode(ids, codec.offsets(ids)) == t.encode()
 
 
 def test_long_pieces_merge_the_same(codec):
@@ -61,3 +62,18 @@ def test_tables(spark, reference):
     back = bpe.decode(bpe.encode(df, vocabulary_path()), vocabulary_path()).collect()
     assert [r.text for r in back] == [t or "" for _, t, _ in rows]
     assert bpe.encode(df.where("false"), vocabulary_path()).count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark, reference):
+    raw = [b"ok \xff\xfe x", b"\xe4\xb8", b"plain", b"", b"\x80abc\xc3"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text").coalesce(1)
+    want = [x.decode("utf-8", "replace") for x in raw]
+    out = bpe.encode(df, vocabulary_path(), digests=True).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in out] == [reference.encode_ordinary(t) for t in want]
+    assert [r.decoded_sha256 for r in out] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+
+
+def test_long_text(spark, reference):
+    text = "It's 12 naïve words,\n" * 40_000
+    r = bpe.encode(spark.createDataFrame([(1, text), (2, "end")], "doc_id long, text string"), vocabulary_path()).where("doc_id = 1").first()
+    assert list(r.ids) == reference.encode_ordinary(text) and r.offsets[-1] == len(text.encode())

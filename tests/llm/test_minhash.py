@@ -50,3 +50,23 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30) if i % 10 != 9] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in minhash.components(edges, Scratch(spark), "t").collect()}
     assert got == {i: i // 10 * 10 for i in range(30) if i % 10} | {50: 40, 60: 40}
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_equal_sums_of_powers(spark):
+    word, other = thue_morse(10)
+    check(spark, [(1, " ".join([word] * 6)), (2, " ".join([other] * 6)), (3, " ".join([word] * 5))], 5)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i * i % 99991}" for i in range(60_000))
+    docs = [(1, long), (2, long + " more"), (3, long[: len(long) // 2])]
+    check(spark, docs, 5)
+    df = spark.createDataFrame([(*d, 0, "n", 5, "k") for d in docs], "doc_id long, text string, id int, node string, n int, kept string")
+    assert {r.doc_id: r.component_id for r in minhash.cluster(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -36,3 +36,10 @@ def test_ownership_separates_examples_from_live_values(spark):
 
 def test_empty(spark):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string"))).count() == 0
+
+
+def test_opaque_values_are_judged_whole(spark):
+    late, plain = "z" * 70 + "B7" + "y" * 60, "z" * 140
+    docs = [(1, f"x {late} {plain}", "s"), (2, f"{late}.{late[:-1]}", "s")]
+    out = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string"))).collect()}
+    assert out == {1: f"opaque:2:{2 + len(late)}", 2: f"opaque:0:{len(late)},opaque:{len(late) + 1}:{2 * len(late)}"}

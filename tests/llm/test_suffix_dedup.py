@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def check(spark, docs, **options):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = sorted((tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, **options)).collect()), key=str)
+    got = sorted((tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, digests=True, **options)).collect()), key=str)
     assert got == sorted(brute.repeats(docs, options.get("window", 100)), key=str)
 
 
@@ -38,6 +38,27 @@ def test_whole_table(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()])
 
 
+def test_texts_with_equal_sums_of_powers(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo 2 ** 64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, word), (2, other), (3, "x" + word[:1024] + "y" + other[1024:] + "z")])
+
+
+def test_long_texts_ties_and_other_columns(spark, monkeypatch):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(300_000))
+    docs = [(1, long), (2, long[100_000:100_300]), (2, "tail " + long[50:250]), (2, "tail " + long[50:250]), (3, long[-99:])]
+    check(spark, docs)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "ORDERED", 50)
+    check(spark, corpus(rng))
+    df = spark.createDataFrame([(1, "a" * 300, 7, 8, "t", b"k")], "doc_id long, text string, id long, d long, t string, kept binary")
+    assert [tuple(r)[:4] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df, digests=True)).collect()] == [(1, 300, 299, 1)]
+
+
 def test_empty_and_spans(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string, kept string")).count() == 0
     rng = random.Random(1)
