@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a file of an intermediate table should hold at least.
+#: Rows of the input that a file of an intermediate table should stand for at least.
 ROWS_PER_FILE = 5000
 
 _OWN_DIRS: dict[str, str] = {}
@@ -57,7 +57,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """rows: how many df has at most, where that is known; then it goes to no more files than one for ROWS_PER_FILE rows."""
+        """rows: how many rows the input has that df is made from, where that is known; then df goes to no more files than one for ROWS_PER_FILE of these."""
         path = self.path(name)
         if rows is not None:
             df = df.coalesce(rows // ROWS_PER_FILE + 1)

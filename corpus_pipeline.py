@@ -28,7 +28,7 @@ def identity() -> Column:
 
 def without(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """docs but those whose id and text hash are in rows (columns doc_id and hash). The rows are broadcast while they are few."""
-    gone = scratch.keep(rows.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "gone")
+    gone = scratch.keep(rows.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "gone", docs.count())
     return docs.join(small_side(gone, gone.count(), 56), F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__hash")), "left_anti")
 
 
@@ -69,7 +69,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     runs = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), joined)
-    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), "__hash", runs.alias("__runs")).dropDuplicates(["__id", "__hash"]), "found")
+    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), "__hash", runs.alias("__runs")).dropDuplicates(["__id", "__hash"]), "found", docs.count())
     size = found.agg(F.count("*").alias("n"), F.sum(F.size("__runs")).alias("runs")).first()
     found = small_side(found, size.n, 64 + 16 * (size.runs or 0) // max(size.n, 1))
 
@@ -87,8 +87,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of the ids and of what they decode to."""
-    return bpe.encode(docs, vocabulary_path(), digests=True, token_offsets=False)
+    """Token ids and offsets of each document, with the digests of the ids and of what they decode to."""
+    return bpe.encode(docs, vocabulary_path(), digests=True)
 
 
 STAGES = [
