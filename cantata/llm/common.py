@@ -20,6 +20,32 @@ ARROW_BATCH_BYTES = 2 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def release() -> None:
+    """Gives memory that has been freed back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def gathered(df: DataFrame, column: str) -> np.ndarray:
+    """A column of numbers on the driver, without more than one copy of it. Its size has been checked before."""
+    chunks_ = df.select(column).toArrow().column(0).chunks
+    out = np.empty(sum(len(x) for x in chunks_), np.int64)
+    at = 0
+    while chunks_:
+        x = chunks_.pop(0)
+        out[at : at + len(x)] = np.asarray(x)
+        at += len(x)
+        del x
+    release()
+    return out
+
+
 def frugal(run):
     """Wraps a function on batches, to bound memory: batches are limited in bytes, and when a task is done its worker gives the memory that
     it has freed back to the system, so that workers that wait for the next task don't hold what the last one needed."""
@@ -31,11 +57,7 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return wrapped
 
@@ -49,6 +71,23 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20)
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+#: Parts that the rows of a frequent key are dealt to.
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """A join on a key that a good part of left's rows may share: these go to SALTS tasks by a hash of the column `spread`, to each of which right's rows go."""
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def measured_side(df: DataFrame, size, limit: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows, each of `size` (a column) and 100 bytes, stay under the limit; else as it is."""
+    total = df.agg(F.sum(F.coalesce(size, F.lit(0)) + 100)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string array and its n + 1 offsets; a null counts as empty."""
     import pyarrow as pa
@@ -66,6 +105,23 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def strings(column) -> list[str]:
+    """Texts of an Arrow string array; a null counts as empty, and bytes that aren't UTF-8 become U+FFFD."""
+    import pyarrow as pa
+
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the values."""
+    if not len(sorted_values) or not len(x):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
     """Row ranges (i, j) whose texts have at most so many bytes together, one row at least."""
     i, n = 0, len(offsets) - 1

@@ -4,14 +4,14 @@ The documents that a task reads are cut into shards of bounded size. Each shard
 array holds the shard's suffixes in order of their words. A suffix whose first two words (its first, where a test window
 has one word only) start no test window can't match one, so it is left out before sorting; no match is lost by that.
 Every test suffix with a whole window in it is then binary-searched in each shard's array: the range of suffixes that
-agree on the window gives all places of it, and from each place the match is run on word by word for the longest verbatim
-match. Documents lie in one shard each, so nothing is shuffled.
+agree on the window gives all places of it, whose words are then compared byte by byte; from each place the match is run on word by word for the
+longest verbatim match. A shard searches only the windows whose first words it has. Documents lie in one shard each, so nothing is shuffled.
 
-The benchmark is gathered on the driver in blocks of at most BLOCK_BYTES of text, counted first; the documents pass the
-blocks one after another and carry what was found along.
+The benchmark is gathered on the driver in blocks of at most BLOCK_BYTES of text, counted first, and shipped as arrays (some eight times the text);
+the documents pass the blocks one after another and carry what was found along.
 
 Defined cases: a null text has no words and no hits; a benchmark text without words has no window; a null item id is the
-empty string among the ids; repeated items count once per id; a long document forms a shard of its own.
+empty string among the ids; repeated items count once per id; a very long document forms a shard of its own; bytes that aren't UTF-8 are letters.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from cantata.llm.common import ALNUM_OR_WIDE, LOWER, chunks, frugal, mix, text_b
 #: Words of a window.
 WINDOW = 10
 #: Text bytes of the benchmark that the driver gathers at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Text bytes of a shard.
 SHARD_BYTES = 1 << 20
 FILTER_BITS = 22
@@ -36,11 +36,28 @@ FILTER_BITS = 22
 _EVEN = np.uint64(0xA0761D6478BD642F)
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray):
-    """Word hashes of lower-cased texts, and each text's first word (n + 1)."""
-    low = LOWER[data]
-    starts, ends, first = words(low, offsets, ALNUM_OR_WIDE)
-    return word_hashes(low, starts, ends), first
+class Words:
+    """The words of lower-cased texts: bytes, places, hashes, and each text's first word (n + 1)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low = LOWER[data]
+        self.starts, self.ends, self.first = words(self.low, offsets, ALNUM_OR_WIDE)
+        self.h = word_hashes(self.low, self.starts, self.ends)
+
+    def texts(self, at: int, count: int) -> list[bytes]:
+        return [self.low[a:b].tobytes() for a, b in zip(self.starts[at : at + count].tolist(), self.ends[at : at + count].tolist())]
+
+    def equal(self, at: np.ndarray, sought: list[bytes]) -> np.ndarray:
+        """At which of these places the words stand, byte by byte."""
+        ok = np.ones(len(at), bool)
+        for k, word in enumerate(sought):
+            some = np.flatnonzero(ok)
+            start = self.starts[at[some] + k]
+            fits = self.ends[at[some] + k] - start == len(word)
+            ok[some[~fits]] = False
+            some, start = some[fits], start[fits]
+            ok[some] = (self.low[start[:, None] + np.arange(len(word))] == np.frombuffer(word, np.uint8)).all(1)
+        return ok
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -51,7 +68,7 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 class TestSet:
-    """Windows of a block of items: distinct word sequences, each with the items that have it."""
+    """Windows of a block of items, as arrays: distinct word sequences, each with the items that have it and its places."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.window = window
@@ -59,29 +76,64 @@ class TestSet:
         place = {name: k for k, name in enumerate(self.names)}
         raw = [(t or "").encode() for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        h, first = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        self.words = h
-        found: dict[bytes, list] = {}
-        for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
-            size = min(window, b - a)
-            for s in range(a, b - size + 1) if size else ():
-                found.setdefault(h[s : s + size].tobytes(), [size, s, set(), []])
-                found[h[s : s + size].tobytes()][2].add(place[items[k][0]])
-                found[h[s : s + size].tobytes()][3].append((s, b))
-        rows = list(found.values())
-        self.size = np.array([r[0] for r in rows], np.int64)
-        self.keys = np.zeros((len(rows), window), np.uint64)
-        for k, r in enumerate(rows):
-            self.keys[k, : r[0]] = h[r[1] : r[1] + r[0]]
-        self.items = [sorted(r[2]) for r in rows]
-        #: Places of a window among the test words, with the end of its item: where a match may run on.
-        self.tails = [r[3] for r in rows]
-        one = self.size == 1
-        self.single = np.unique(self.keys[one, 0])
-        self.double = np.unique(mix(self.keys[~one, 0] * _EVEN + self.keys[~one, 1])) if (~one).any() else np.zeros(0, np.uint64)
+        w = self.words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        count = np.diff(w.first)
+        size = np.minimum(count, window)
+        each = np.where(count > 0, count - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), each)
+        at = w.first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(each) - each, each)
+        size, stop = size[item], w.first[1:][item]
+        owner = np.array([place[i] for i, _ in items], np.int32)[item] if len(items) else np.zeros(0, np.int32)
+        order = np.lexsort([*self._keys(at, size).T[::-1], size])
+        at, size, stop, owner = at[order], size[order], stop[order], owner[order]
+        keys = self._keys(at, size)
+        new = np.ones(len(at), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1) | (size[1:] != size[:-1])
+        del keys
+        text = None
+        for k in range(len(at)):  # equal hashes are one window if their words are equal, too
+            if new[k]:
+                text = None
+                continue
+            text = text or w.texts(at[k - 1], size[k - 1])
+            new[k] = w.texts(at[k], size[k]) != text
+            if new[k]:
+                text = None
+        begin = np.flatnonzero(new)
+        #: The first place of each window, its words, and the range of its places.
+        self.at, self.size, self.begin = at[begin].astype(np.int32), size[begin].astype(np.int8), np.append(begin, len(at)).astype(np.int32)
+        #: Places: first word, end of the item, and item.
+        self.start, self.stop, self.owner = at.astype(np.int32), stop.astype(np.int32), owner
+        #: Windows by their first two words (their one word), as sorted hashes.
+        h = w.h
+        lead = np.where(self.size == 1, h[self.at], mix(h[self.at] * _EVEN + h[np.minimum(self.at + 1, max(len(h) - 1, 0))])) if len(self.at) else np.zeros(0, np.uint64)
+        self.leads = []
+        for some in (np.flatnonzero(self.size == 1), np.flatnonzero(self.size > 1)):
+            some = some[np.argsort(lead[some], kind="stable")]
+            self.leads.append((lead[some], some.astype(np.int32)))
+        self.single, self.double = (np.unique(x) for x, _ in self.leads)
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.double >> np.uint64(64 - FILTER_BITS)).astype(np.intp)] = True
 
+    def _keys(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The word hashes of windows, zeros behind a short one."""
+        k = np.arange(self.window)
+        if not len(at):
+            return np.zeros((0, self.window), np.uint64)
+        return np.where(k < size[:, None], self.words.h[np.minimum(at[:, None].astype(np.int64) + k, len(self.words.h) - 1)], np.uint64(0))
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        return self._keys(self.at[windows], self.size[windows])
+
+    def led_by(self, single: np.ndarray, double: np.ndarray) -> np.ndarray:
+        """Windows that begin with one of these words or pairs (distinct hashes)."""
+        out = []
+        for (lead, window), x in zip(self.leads, (single, double)):
+            lo, hi = np.searchsorted(lead, x), np.searchsorted(lead, x, side="right")
+            count = hi - lo
+            out.append(window[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        return np.concatenate(out)
+
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
@@ -93,15 +145,18 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Shard:
     """Suffix array over the word stream of some documents, of the suffixes that can start a test window."""
 
-    def __init__(self, h: np.ndarray, first: np.ndarray, test: TestSet):
+    def __init__(self, found: Words, test: TestSet):
+        self.words, h, first = found, found.h, found.first
         self.h = h
         self.end = np.repeat(first[1:], np.diff(first))  # of each word's document
         pair = _pairs(h)
         ok = test.bits[(pair >> np.uint64(64 - FILTER_BITS)).astype(np.intp)]
         at = np.flatnonzero(ok)
         at = at[(at + 1 < self.end[at]) & _member(test.double, pair[at])]
-        if len(test.single):
-            at = np.union1d(at, np.flatnonzero(_member(test.single, h)))
+        alone = np.flatnonzero(_member(test.single, h)) if len(test.single) else at[:0]
+        self.windows = test.led_by(np.unique(h[alone]), np.unique(pair[at]))
+        if len(alone):
+            at = np.union1d(at, alone)
         place = at[:, None] + np.arange(test.window)
         inside = place < self.end[at][:, None]
         key = np.where(inside, h[np.minimum(place, max(len(h) - 1, 0))], np.uint64(0)) if len(at) else np.zeros((0, test.window), np.uint64)
@@ -110,15 +165,16 @@ class Shard:
         self.suffix, self.key, self.length = at[order], key[order], length[order]
 
     def search(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
-        """For every window, the range of the suffix array whose suffixes begin with it."""
-        wild = np.arange(test.window) >= test.size[:, None]
+        """For every window that can be here (self.windows), the range of the suffix array whose suffixes begin with it."""
+        sought_keys, size = test.keys(self.windows), test.size[self.windows]
+        wild = np.arange(test.window) >= size[:, None]
 
         def bound(right: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(test.size), np.int64), np.full(len(test.size), len(self.suffix), np.int64)
+            lo, hi = np.zeros(len(size), np.int64), np.full(len(size), len(self.suffix), np.int64)
             while (open_ := lo < hi).any():
                 k = np.flatnonzero(open_)
                 mid = (lo[k] + hi[k]) // 2
-                mine, sought = self.key[mid], test.keys[k]
+                mine, sought = self.key[mid], sought_keys[k]
                 differs = (mine != sought) & ~wild[k]
                 d = differs.argmax(1)
                 some = differs[np.arange(len(k)), d]
@@ -131,14 +187,14 @@ class Shard:
         return bound(False), bound(True)
 
 
-def _longest(shard: Shard, suffix: int, size: int, tails, test: TestSet) -> int:
+def _longest(shard: Shard, suffix: int, w: int, test: TestSet) -> int:
     """Words that agree from a place of a window on, at the best of its places in the test set."""
-    best = size
+    best = int(test.size[w])
     limit = int(shard.end[suffix]) - suffix
-    for s, stop in tails:
+    for s, stop in zip(test.start[test.begin[w] : test.begin[w + 1]].tolist(), test.stop[test.begin[w] : test.begin[w + 1]].tolist()):
         n = min(limit, stop - s)
         if n > best:
-            differs = shard.h[suffix : suffix + n] != test.words[s : s + n]
+            differs = shard.h[suffix : suffix + n] != test.words.h[s : s + n]
             d = int(differs.argmax()) if differs.any() else n
             best = max(best, d)
     return best
@@ -177,20 +233,24 @@ def _scan(df: DataFrame, test: TestSet, carried: list[str]) -> DataFrame:
             before = batch.column(k + 1)
             for i, j in chunks(offsets, SHARD_BYTES):
                 part = offsets[i : j + 1]
-                h, first = _hashes(data[part[0] : part[-1]], part - part[0])
+                mine = Words(data[part[0] : part[-1]], part - part[0])
+                first = mine.first
                 hits: dict[int, tuple[list, set, int]] = {}
-                if len(test.size) and len(h):
-                    shard = Shard(h, first, test)
+                if len(test.size) and len(mine.h):
+                    shard = Shard(mine, test)
                     lo, hi = shard.search(test)
-                    for w in np.flatnonzero(lo < hi).tolist():
+                    for k_ in np.flatnonzero(lo < hi).tolist():
+                        w = int(shard.windows[k_])
                         size = int(test.size[w])
-                        at = shard.suffix[lo[w] : hi[w]]
+                        at = shard.suffix[lo[k_] : hi[k_]]
+                        at = at[mine.equal(at, test.words.texts(int(test.at[w]), size))]
+                        owners = set(test.owner[test.begin[w] : test.begin[w + 1]].tolist())
                         for d, s in zip((np.searchsorted(first, at, side="right") - 1).tolist(), at.tolist()):
                             spans, items, best = hits.get(d, ([], set(), 0))
                             start = s - int(first[d])
                             spans.append((start, start + size))
-                            items.update(test.items[w])
-                            hits[d] = (spans, items, max(best, _longest(shard, s, size, test.tails[w], test)))
+                            items |= owners
+                            hits[d] = (spans, items, max(best, _longest(shard, s, w, test)))
                 count = np.diff(first).tolist()
                 rows = []
                 old = before.slice(i, j - i)

@@ -1,17 +1,22 @@
-"""Operator 8: main text of web pages by markup and a host suffix array.
+"""Operator 8: main text of web pages by a host suffix array, with markup as the prior.
 
-Markup decides where it speaks: an article or main element is the main text, without the menus, forms, asides, comments and so
-on that stand in it; blocks in such elements are never main text. What markup leaves open is decided by repetition: all
-blocks of a host's pages but the declared main text form token streams, a suffix array (prefix doubling, as deep as
-DEPTH tokens) finds the token runs that stand on several pages, and an open block that such runs cover by half is
-boilerplate. Open blocks that stay are main text on pages that declare none. Repetition doesn't touch declared main
-text: articles may quote each other. How many words outside it repeat is a column of the result.
+A page is parsed once into its visible blocks. All blocks but declared main text form the page's token stream. The host suffix array holds
+every suffix of the streams of a host's pages, ordered as deep as DEPTH tokens; it is distributed: a suffix goes to its host and the hash of
+these tokens, so suffixes that meet there are the neighbours that agree through DEPTH tokens, and the distinct pages among them are counted
+by aggregates that combine before the shuffle, over the whole host however many pages it has. Runs on LEAST_PAGES
+pages and more are repeated; longer repeated substrings are unions of such runs. What is decided:
 
-A host's pages are dealt to shards of about SHARD_PAGES pages, by a hash, so a host of any size makes many tasks; what a template
-repeats on a host repeats in its shards.
+* A block outside declared main text is boilerplate if repeated runs cover half of it, and goes.
+* Rare boilerplate, which doesn't repeat, goes by markup: menus, forms, asides, comments and so on, by element, role and class name.
+* Declared main text (article, main) stays, as articles of a host quote and copy each other; but a block of it that stands on TEMPLATE_SHARE of the
+  host's pages (of TEMPLATE_PAGES at least) is part of the host's template and goes.
+* Pages that declare no main text keep the blocks that are left.
+
+The repeated runs are shipped to the pages while they have at most LIMIT bytes; beyond that each page's runs are joined with them.
 
 Defined cases: a null or empty page has an empty text. Tags may be unclosed or misnested; a script or comment without an end
-runs to the page's end. A null URL belongs to the host "". Equal pages get equal texts.
+runs to the page's end; a tag whose quotes leave it no end ends at the next ">", and "<" without any ">" behind it is text. Parsing takes time in proportion to the page, however long. A
+null URL belongs to the host "". Pages equal in URL and content are one page, and get equal texts. Bytes that aren't UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -25,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import Scratch, frugal, partitions, small_side
+from cantata.llm.common import Scratch, frugal, member, mix, small_side, strings, word_hashes
 from cantata.llm.url_filter import host_and_path
 
 #: Tokens that a repeated run has at least.
 DEPTH = 8
-#: Pages of a shard, about.
-SHARD_PAGES = 256
-#: Distinct pages of a shard that a run stands on at least.
+#: Distinct pages of a host that a repeated run stands on at least.
 LEAST_PAGES = 2
+#: Share of the host's pages from which a block of declared main text belongs to the template, and pages that the host must have.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 8
+#: Bytes of the repeated runs that are shipped to the pages.
+LIMIT = 32 << 20
 
 #: Elements by what they mean for the text.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "head", "title", "textarea", "select", "iframe", "object", "canvas", "audio", "video", "map")
@@ -48,10 +55,9 @@ HINTS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile("[>\"']")
+_END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 
@@ -76,10 +82,68 @@ def _kind(name: str, attributes: str, in_main: bool) -> str:
     return "main" if name in MAIN else ""
 
 
+class Tags:
+    """Tags of a page from the left to the right, in time proportional to its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.stop = max(self.last.values())
+        self.failed: set[int] = set()  # quotes from which no end of a tag is reached
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends a tag; at: behind its name. Quotes are skipped; if that leaves no end, it is the next ">"."""
+        page, tried, k = self.page, [], at
+        while k <= self.stop:
+            m = _SPECIAL.search(page, k)
+            if m is None or m.start() in self.failed:
+                break
+            if m[0] == ">":
+                return m.start()
+            tried.append(m.start())
+            k = 1 + (page.find(m[0], m.end()) if m.start() < self.last[m[0]] else m.start())
+        self.failed.update(tried)
+        return page.find(">", at)
+
+    def __iter__(self):
+        """(start, end, name, closing, attributes); name is empty for comments and the like, and for hidden elements, whose content is included."""
+        page, at = self.page, 0
+        while (i := page.find("<", at)) >= 0:
+            at = i + 1
+            if page.startswith("<!--", i):
+                k = page.find("-->", i + 4)
+                at = len(page) if k < 0 else k + 3
+                yield i, at, "", False, ""
+                continue
+            if i > self.last[">"]:
+                if page.find("<!--", i) < 0:
+                    return
+                continue
+            closing = page.startswith("/", i + 1)
+            m = _NAME.match(page, i + 1 + closing)
+            if m is None:
+                if closing or page[i + 1 : i + 2] in ("!", "?"):
+                    at = page.find(">", i) + 1
+                    yield i, at, "", False, ""
+                continue
+            k = self.end(m.end())
+            name, attributes = m[0].lower(), page[m.end() : k]
+            at = k + 1
+            if name in _END_OF and not closing:
+                if not (name in ("svg", "math") and attributes.endswith("/")):
+                    over = _END_OF[name].search(page, at)
+                    at = len(page) if over is None else over.end()
+                yield i, at, "", False, ""
+            else:
+                yield i, at, name, closing, attributes
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(OPEN, MAIN_TEXT or CUT, text) of each block that can be seen, in page order; CUT: in an element that is never main text."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, str]] = []
+    outer: list[int] = []  # places of what isn't inline
+    count: dict[str, int] = {}  # open elements by name
     depth = {"chrome": 0, "main": 0, "": 0}
     parts: list[str] = []
     state = (False, False)
@@ -100,10 +164,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            depth[stack.pop()[1]] -= 1
-
-    def innermost(names, through) -> int | None:
-        for k in range(len(stack) - 1, -1, -1):
+            name, kind = stack.pop()
+            depth[kind] -= 1
+            count[name] -= 1
+        while outer and outer[-1] >= upto:
+            outer.pop()
+
+    def innermost(names, through=()) -> int | None:
+        """The innermost of these elements, none but inline ones and those in through within it."""
+        for k in reversed(outer):
             if stack[k][0] in names:
                 return k
             if stack[k][0] not in through:
@@ -111,31 +180,33 @@ def blocks(page: str) -> list[tuple[int, str]]:
         return None
 
     end = 0
-    for m in _TAG.finditer(page):
-        if m.start() > end:
-            add(page[end : m.start()])
-        end = m.end()
-        name = (m[3] or "").lower()
+    for start, stop, name, closing, attributes in Tags(page):
+        if start > end:
+            add(page[end:start])
+        end = stop
         if not name:
             continue
         if name not in INLINE:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+        if closing:
+            if count.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             continue
         if name in VOID:
             continue
         if name not in INLINE:
-            if (k := innermost(("p",), INLINE)) is not None:
+            if (k := innermost(("p",))) is not None:
                 close(k)
-            if name in SELF_CLOSING and (k := innermost(SELF_CLOSING[name], INLINE | {"p"})) is not None:
+            if name in SELF_CLOSING and (k := innermost(SELF_CLOSING[name], ("p",))) is not None:
                 close(k)
-        kind = _kind(name, m[4], depth["main"] > 0)
+            outer.append(len(stack))
+        kind = _kind(name, attributes, depth["main"] > 0)
         stack.append((name, kind))
         depth[kind] += 1
+        count[name] = count.get(name, 0) + 1
     if end < len(page):
         add(page[end:])
     flush()
@@ -147,136 +218,206 @@ def main_text(found: list[tuple[int, str]]) -> str:
 
 
 
-def repeated(streams: list[list[str]], depth: int = DEPTH, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
-    """Of each page's tokens, which lie in a run of `depth` tokens that stands on so many pages: suffixes sorted by prefix doubling."""
-    place: dict[str, int] = {}
-    flat = np.array([place.setdefault(w, len(place)) for s in streams for w in s], np.int64)
-    size = np.array([len(s) for s in streams], np.int64)
-    first = np.concatenate([[0], np.cumsum(size)])
-    n = len(flat)
-    page = np.repeat(np.arange(len(streams)), size)
-    left = first[1:][page] - np.arange(n)  # tokens to the page's end
-    rank, have = flat, 1
-    while have < depth and n:
-        step = min(have, depth - have)
-        ahead = np.full(n, -1, np.int64)
-        inside = left > step
-        ahead[inside] = rank[np.flatnonzero(inside) + step]
-        order = np.lexsort([ahead, rank])
-        new = np.ones(n, np.int64)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        have += step
-    covered = np.zeros(n + 1, np.int64)
-    whole = np.flatnonzero(left >= depth)
-    if len(whole):
-        order = whole[np.lexsort([page[whole], rank[whole]])]
-        fresh_group = np.ones(len(order), bool)
-        fresh_group[1:] = rank[order][1:] != rank[order][:-1]
-        fresh_page = fresh_group.copy()
-        fresh_page[1:] |= page[order][1:] != page[order][:-1]
-        group = np.cumsum(fresh_group) - 1
-        pages = np.bincount(group, weights=fresh_page)
-        hit = order[pages[group] >= least_pages]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + depth, -1)
-    inside = np.cumsum(covered[:n]) > 0
-    return [inside[a:b] for a, b in zip(first.tolist(), first[1:].tolist())]
-
-
 #: Stands before each block in a stream, so that short blocks repeat with their neighbours.
 BORDER = "\0"
+#: Kinds of rows in the suffix array: a run of a stream, a whole block of declared main text.
+RUN, BLOCK = 0, 1
 
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
-def boilerplate(pages: list[list[str]]) -> list[tuple[list[bool], int]]:
-    """pages: the blocks outside main text of each page of a shard. Which of them runs that repeat across pages cover by half, and the words in such runs."""
-    streams = [[w for b in p for w in (BORDER, *b.split(" "))] for p in pages]
-    out = []
-    for p, inside in zip(pages, repeated(streams)):
-        at, mine, covered = 0, [], 0
-        for b in p:
-            n = 1 + len(b.split(" "))
-            mine.append(2 * int(inside[at : at + n].sum()) >= n)
-            covered += int(inside[at + 1 : at + n].sum())
-            at += n
-        out.append((mine, covered))
-    return out
 
+class Streams:
+    """Token streams of some pages: the blocks outside declared main text, each behind a border; and whole blocks of main text."""
 
-def _parsed(pages: DataFrame, wanted: str, kept: list[str]) -> DataFrame:
-    """streams: key, host, blocks outside main text and which of them are open. main: kept columns, key and text of pages that declare
-    main text. rest: kept columns, key and open blocks of the others."""
-    key, strings = T.StructField("key", T.LongType()), T.ArrayType(T.StringType(), False)
-    mine = [pages.schema[c] for c in kept]
-    fields = {
-        "streams": [key, T.StructField("host", T.StringType()), T.StructField("blocks", strings), T.StructField("is_open", T.ArrayType(T.BooleanType(), False))],
-        "main": [*mine, key, T.StructField("text", T.StringType())],
-        "rest": [*mine, key, T.StructField("blocks", strings)],
-    }[wanted]
+    def __init__(self, pages: list[list[tuple[int, str]]], hosts: np.ndarray, depth: int = DEPTH):
+        tokens, size, blocks_of, self.main = [], [], [], []
+        for i, page in enumerate(pages):
+            n = 0
+            for kind, text in page:
+                if kind == MAIN_TEXT:
+                    self.main.append((i, text))
+                else:
+                    mine = [BORDER, *text.split(" ")]
+                    tokens += mine
+                    blocks_of.append(len(mine))
+                    n += len(mine)
+            size.append(n)
+        self.size = np.array(size, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.block = np.concatenate([[0], np.cumsum(blocks_of)]).astype(np.int64)  # first token of each block, and the end
+        self.page = np.repeat(np.arange(len(pages)), self.size)
+        self.depth = depth
+        h = _hashes(tokens)
+        n = len(h)
+        self.at = np.flatnonzero(self.first[1:][self.page] - np.arange(n) >= depth) if n else np.zeros(0, np.int64)
+        run = mix(hosts[self.page[self.at]] + np.uint64(RUN))
+        for k in range(depth):
+            run = mix(run * _STEP + h[self.at + k])
+        self.run = run
+        self.main_page = np.array([i for i, _ in self.main], np.int64)
+        self.main_run = mix(mix(hosts[self.main_page] + np.uint64(BLOCK)) * _STEP + _hashes([t for _, t in self.main])) if self.main else np.zeros(0, np.uint64)
+
+    def covered(self, repeated: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a repeated run; repeated: of each run."""
+        step = np.zeros(len(self.page) + 1, np.int64)
+        np.add.at(step, self.at[repeated], 1)
+        np.add.at(step, self.at[repeated] + self.depth, -1)
+        return np.cumsum(step[:-1]) > 0
+
+    def verdicts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which blocks of the streams are boilerplate, and how many words of each page lie in repeated runs."""
+        inside = self.covered(repeated)
+        total = np.concatenate([[0], np.cumsum(inside)])
+        most = 2 * (total[self.block[1:]] - total[self.block[:-1]]) >= np.diff(self.block)
+        inside[self.block[:-1]] = False  # borders are no words
+        total = np.concatenate([[0], np.cumsum(inside)])
+        return most, total[self.first[1:]] - total[self.first[:-1]]
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(x) for x in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(x) for x in raw], np.int64), ends)
+
+
+def _parsed(pages: DataFrame, kept: list[str]) -> DataFrame:
+    """Kept columns, key, host, the blocks and their kinds."""
+    fields = [*(pages.schema[c] for c in kept), T.StructField("key", T.LongType()), T.StructField("host", T.LongType()), T.StructField("kinds", T.BinaryType()), T.StructField("blocks", T.ArrayType(T.StringType(), False))]
     k = len(kept)
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                found = [blocks(x or "") for x in part.column(k).to_pylist()]
-                if wanted == "streams":
-                    take = [i for i, f in enumerate(found) if any(kind != MAIN_TEXT for kind, _ in f)]
-                    outside = [[x for x in found[i] if x[0] != MAIN_TEXT] for i in take]
-                    first = [part.column(k + 1), part.column(k + 2)]
-                    last = [pa.array([[t for _, t in f] for f in outside], pa.list_(pa.string())), pa.array([[kind == OPEN for kind, _ in f] for f in outside], pa.list_(pa.bool_()))]
-                else:
-                    take = [i for i, f in enumerate(found) if any(kind == MAIN_TEXT for kind, _ in f) == (wanted == "main")]
-                    first = [*(part.column(c) for c in range(k)), part.column(k + 1)]
-                    last = [pa.array([main_text(found[i]) for i in take], pa.string()) if wanted == "main" else pa.array([[t for kind, t in found[i] if kind == OPEN] for i in take], pa.list_(pa.string()))]
-                if take:
-                    at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([*(c.take(at) for c in first), *last], names=[f.name for f in fields])
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                found = [blocks(x) for x in strings(part.column(k))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in (*range(k), k + 1, k + 2)), pa.array([bytes(kind for kind, _ in f) for f in found], pa.binary()), pa.array([[t.encode("utf-8", "replace").decode() for _, t in f] for f in found], pa.list_(pa.string()))], names=[f.name for f in fields]
+                )
 
     return pages.select(*kept, "html", "key", "host").mapInArrow(frugal(run), T.StructType(fields))
 
 
-def _judged(shards: DataFrame) -> DataFrame:
-    """shards: shard, key, blocks, is_open; rows of a shard together. key, which of the open blocks are boilerplate, and n_boilerplate."""
+def _read(batch) -> tuple[list[list[tuple[int, str]]], np.ndarray, np.ndarray]:
+    """Blocks, hosts and keys of a batch of parsed pages."""
+    at = batch.schema.get_field_index
+    found = [list(zip(k, b)) for k, b in zip(batch.column(at("kinds")).to_pylist(), batch.column(at("blocks")).to_pylist())]
+    return found, np.asarray(batch.column(at("host"))).view(np.uint64), np.asarray(batch.column(at("key")))
+
+
+def _parts(batches, rows: int = 512):
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
 
-    def judge(rows):
-        verdicts = boilerplate([b for _, b, _ in rows])
-        cut = [[v for v, o in zip(mine, is_open) if o] for (mine, _), (_, _, is_open) in zip(verdicts, rows)]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), pa.array(cut, pa.list_(pa.bool_())), pa.array([n for _, n in verdicts], pa.int64())], names=["key", "out", "n_boilerplate"])
+
+def _suffixes(parsed: DataFrame) -> DataFrame:
+    """run, is_block, host, lo, hi, pages: of each batch's runs and main blocks the host, the least and largest page, and how many pages."""
 
     def run(batches):
-        shard, held = None, []
-        for batch in batches:
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard and held:
-                    yield judge(held)
-                    held = []
-                shard = s
-                held.append(row)
-        if held:
-            yield judge(held)
+        for batch in _parts(batches):
+            pages, hosts, keys = _read(batch)
+            s = Streams(pages, hosts)
+            for is_block, value, page in ((False, s.run, s.page[s.at]), (True, s.main_run, s.main_page)):
+                if not len(value):
+                    continue
+                order = np.lexsort([keys[page], value])
+                value, key = value[order], keys[page][order]
+                new = np.ones(len(value), bool)
+                new[1:] = value[1:] != value[:-1]
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(value))
+                fresh = new.copy()
+                fresh[1:] |= key[1:] != key[:-1]
+                columns = [value[begin].view(np.int64), np.full(len(begin), is_block), hosts[page[order][begin]].view(np.int64), key[begin], key[end - 1], np.add.reduceat(fresh.astype(np.int64), begin)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "is_block", "host", "lo", "hi", "pages"])
+
+    return parsed.select("key", "host", "kinds", "blocks").mapInArrow(frugal(run), "run bigint, is_block boolean, host bigint, lo bigint, hi bigint, pages bigint")
+
+
+def _distinct(parsed: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """parsed without repeated pages; only those that repeat are shuffled."""
+    twice = scratch.keep(parsed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice", rows)
+    count = twice.count()
+    if not count:
+        return parsed
+    twice = small_side(twice, count, 16)
+    return parsed.join(twice, "key", "left_anti").unionByName(parsed.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+
+
+def _repeated(parsed: DataFrame, scratch: Scratch, rows: int, least_pages: int) -> DataFrame:
+    """run: of the runs on several pages of their host, and of the blocks of main text on TEMPLATE_SHARE of its pages."""
+    once = _distinct(parsed, scratch, rows)
+    seen = _suffixes(once).groupBy("run", "is_block").agg(F.max("host").alias("host"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pages").alias("pages")).where("lo != hi")
+    seen = scratch.keep(seen, "seen", rows)
+    large = scratch.keep(once.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= TEMPLATE_PAGES), "large", rows)
+    template = seen.where("is_block").join(small_side(large, large.count(), 32), "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("of"))
+    return seen.where(~F.col("is_block") & (F.col("pages") >= least_pages)).select("run").unionByName(template.select("run"))
+
+
+def _judged(parsed: DataFrame, kept: list[str], repeated: np.ndarray | None) -> DataFrame:
+    """Kept columns, text and n_boilerplate. repeated: the sorted repeated runs; None where parsed has each page's own (column mine)."""
+    fields = [*(parsed.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_boilerplate", T.LongType())]
+    shipped = parsed.sparkSession.sparkContext.broadcast(repeated)
+    k = len(kept)
+
+    def run(batches):
+        for batch in _parts(batches):
+            pages, hosts, _ = _read(batch)
+            s = Streams(pages, hosts)
+            known = shipped.value
+            if known is None:
+                own = [np.asarray(x.values).view(np.uint64) for x in batch.column(batch.schema.get_field_index("mine")) if x.is_valid]
+                known = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+            cut, words_ = s.verdicts(member(known, s.run))
+            template = member(known, s.main_run)
+            texts, i, j = [], 0, 0
+            for page in pages:
+                declared, mine = any(kind == MAIN_TEXT for kind, _ in page), []
+                for kind, text in page:
+                    if kind == MAIN_TEXT:
+                        if not template[j]:
+                            mine.append(text)
+                        j += 1
+                    else:
+                        if kind == OPEN and not declared and not cut[i]:
+                            mine.append(text)
+                        i += 1
+                texts.append(" ".join(mine))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k)), pa.array(texts, pa.string()), pa.array(words_.astype(np.int64))], names=[f.name for f in fields])
+
+    return parsed.select(*kept, "key", "host", "kinds", "blocks", *(["mine"] if "mine" in parsed.columns else [])).mapInArrow(frugal(run), T.StructType(fields))
+
+
+def _with_own(parsed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """parsed with mine: each page's repeated runs, by joins on the run and on the page."""
+
+    def run(batches):
+        for batch in _parts(batches):
+            pages, hosts, keys = _read(batch)
+            s = Streams(pages, hosts)
+            both = np.concatenate([keys[s.page[s.at]], keys[s.main_page]]), np.concatenate([s.run, s.main_run]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], names=["key", "run"])
 
-    return shards.select("shard", "key", "blocks", "is_open").mapInArrow(frugal(run), "key bigint, out array<boolean>, n_boilerplate bigint")
+    rows = parsed.select("key", "host", "kinds", "blocks").mapInArrow(frugal(run), "key bigint, run bigint")
+    own = rows.join(repeated, "run", "left_semi").groupBy("key").agg(F.collect_set("run").alias("mine"))
+    return parsed.join(own, "key", "left")
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, limit: int = LIMIT) -> DataFrame:
     """One row a page: the kept columns, text, and n_boilerplate: words outside declared main text in runs that the host's pages repeat."""
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
+    spark, scratch, rows = pages.sparkSession, Scratch(pages.sparkSession), pages.count()
     kept = [f"__k{i}" for i in range(len(keep))]
     page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     host, _ = host_and_path(F.col(url_col).cast("string"))
-    df = pages.select(*(F.col(c).alias(k) for k, c in zip(kept, keep)), page.alias("html"), F.xxhash64(F.col(url_col).cast("string"), page).alias("key"), host.alias("host"))
-    count = scratch.keep(df.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    shard = F.xxhash64("host", F.pmod(F.col("key"), F.ceil(F.col("pages") / SHARD_PAGES)))
-    dealt = _parsed(df, "streams", kept).join(small_side(count, count.count(), 100), "host").select(shard.alias("shard"), "key", "blocks", "is_open").dropDuplicates(["key"])
-    judged = scratch.keep(_judged(dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard")), "judged")
-    verdicts = small_side(judged, judged.count(), 64)
-    # Only pages without declared main text ask for the verdicts on their blocks.
-    stays = F.filter(F.transform("blocks", lambda b, i: F.when(F.coalesce(F.get("out", i), F.lit(False)), None).otherwise(b)), lambda b: b.isNotNull())
-    rest = _parsed(df, "rest", kept).join(verdicts, "key", "left").select(*kept, F.array_join(stays, " ").alias("text"), "n_boilerplate")
-    main = _parsed(df, "main", kept).join(verdicts.select("key", "n_boilerplate"), "key", "left").select(*kept, "text", "n_boilerplate")
-    return main.unionByName(rest).select(*(F.col(k).alias(c) for k, c in zip(kept, keep)), "text", F.coalesce("n_boilerplate", F.lit(0).cast("bigint")).alias("n_boilerplate"))
+    df = pages.select(*(F.col(c).alias(k) for k, c in zip(kept, keep)), page.alias("html"), F.xxhash64(F.col(url_col).cast("string"), page).alias("key"), F.xxhash64(host).alias("host"))
+    parsed = scratch.keep(_parsed(df, kept), "parsed", 4 * rows)  # parsing takes longer than what else is done with a page
+    repeated = scratch.keep(_repeated(parsed, scratch, rows, least_pages), "repeated", rows)
+    if repeated.count() * 8 <= limit:
+        known = np.unique(np.asarray(repeated.toArrow().column("run")).astype(np.int64).view(np.uint64))
+        found = _judged(parsed, kept, known)
+    else:
+        found = _judged(_with_own(parsed, repeated), kept, None)
+    return found.select(*(F.col(k).alias(c) for k, c in zip(kept, keep)), "text", "n_boilerplate")
 
 
 def digest(found: DataFrame) -> DataFrame:

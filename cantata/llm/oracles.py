@@ -85,3 +85,17 @@ reach AS (SELECT id AS a, id AS b FROM s UNION SELECT reach.a, both_ways.b FROM
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(component_id, k.doc_id) AS component_id, coalesce(component_id, k.doc_id) = k.doc_id AS kept
 FROM k LEFT JOIN s ON k.s = s.s LEFT JOIN c ON s.id = c.a"""
+
+
+#: Every window of 100 bytes with its place; those that have an earlier one; their runs; and what lies between these.
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, b[s:s + 99] AS g FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS s FROM d WHERE n >= 100)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 99 AS e FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+  SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM late)) GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(e - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+edges AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS e FROM runs UNION ALL SELECT doc_id, max(e) + 1, NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[edges.a:coalesce(edges.e, n)]), '' ORDER BY edges.a) AS h FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -82,11 +82,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for what it can express. The list of the quality rules, token merges, language models and block structure can't be said in SQL;
-    nor can, over whole tables in good time, windows of bytes. These queries are tested against brute force."""
+    """SQL for what it can express. The list of the quality rules, token merges, cosines over growing sets of stretches, language models and block structure can't be
+    said in SQL. These queries are tested against brute force."""
     return {
         "op3_decontaminate": oracles.DECONTAMINATE,
         "op4_secrets": oracles.SECRETS,
         "op5_url_filter": oracles.url_filter(URL_RULES),
         "op9_minhash": oracles.NEAR_DUPLICATES,
+        "op10_suffix_dedup": oracles.REPEATS,
     }

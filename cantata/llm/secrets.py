@@ -4,7 +4,8 @@ Patterns find candidates in each text; where a pattern matches, splitting the te
 candidate's value is then counted over the whole corpus by distinct repositories and owners. A value that many owners have is a
 widely copied example; one that few have looks live. Besides the base kinds, which always stay, opaque strings (long, with
 capitals, small letters and digits) become spans if they look live. All steps are DataFrame operations; only candidates are
-shuffled, counts are combined before the shuffle, and texts never move.
+shuffled, counts are combined before the shuffle, and texts never move; the counts meet the candidates by a broadcast of checked size, or by a
+salted join, as one value may make up a good part of the candidates.
 
 Defined cases: a null or empty text has no spans. A null owner or repository counts as the empty string. Offsets are code points,
 ends exclusive. Rows are scanned one by one, so repeated rows give repeated results (and one owner).
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import Scratch
+from cantata.llm.common import Scratch, salted_join
 
 #: Kind, pattern, group with the value, characters of that group at least. Fixed values of the base rules; letters of the
 #: keywords stand in either case.
@@ -67,9 +68,9 @@ def render(rows: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), example_owners: int = EXAMPLE_OWNERS, limit: int = 32 << 20) -> DataFrame:
     """One row a row: the kept columns and found, an array of (start, rank, kind, end, owners, live): the base kinds, and opaque strings that look live."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, rows = Scratch(docs.sparkSession), docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [f"__k{i}" for i in range(len(keep))]
     df = docs.select(
@@ -83,12 +84,13 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
     df = df.select(*kept, "row", "repo", "owner", base.alias("base"), F.filter(spans(F.col("text"), len(KINDS), *OPAQUE), mixed).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     hashed = F.transform(F.concat("base", apart), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")))
-    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates", docs.count())
+    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates", rows)
     spread = df.select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
     owned = spread.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    frequency = owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    frequency = scratch.keep(owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "frequency", rows)
     live = F.col("owners") < example_owners
-    judged = spread.join(frequency, "hash").where((F.col("rank") < len(KINDS)) | live)
+    judged = salted_join(spread, frequency, "hash", "row") if frequency.count() * 120 > limit else spread.join(F.broadcast(frequency), "hash")
+    judged = judged.where((F.col("rank") < len(KINDS)) | live)
     judged = judged.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repos", live.alias("live"))).alias("found"))
     kind = judged.schema["found"].dataType
     with_some = df.where(F.size("candidates") > 0).select(*kept, "row").join(judged, "row", "left").select(*kept, F.coalesce("found", F.array().cast(kind)).alias("found"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import Scratch, chunks, eights, frugal, mix, partitions, text_buffer
+from cantata.llm.common import Scratch, chunks, eights, frugal, gathered, mix, partitions, release, text_buffer
 
 WINDOW = 100
 #: 8 times a power of two.
@@ -181,8 +181,9 @@ class Dedup:
         return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated", self.rows)
 
     def known(self, df: DataFrame, column: str) -> np.ndarray:
-        got = df.select(column).toArrow().column(column)
-        return np.sort(np.asarray(got).astype(np.int64).view(np.uint64))
+        out = gathered(df, column).view(np.uint64)
+        out.sort()
+        return out
 
     def places(self, select, schema: str, docs: DataFrame, extra: bool = False) -> DataFrame:
         """Rows that select(scan, d, t, batch row offset, extra column) makes of the repeated anchors of each scan."""
@@ -245,10 +246,16 @@ class Dedup:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(5 + k) for k in range(len(columns)))], names=["key", *columns])
 
         schema = T.StructType([T.StructField("key", T.LongType()), *(rows.schema[c] for c in columns)])
-        table = rows.select("h", "c", "d", "t", "pos", *columns).mapInArrow(frugal(run), schema).toArrow()
-        key = np.asarray(table.column("key")).astype(np.int64).view(np.uint64)
+        keyed = rows.select("h", "c", "d", "t", "pos", *columns).mapInArrow(frugal(run), schema)
+        if not columns:
+            return self.known(keyed, "key"), {}
+        table = keyed.toArrow()
+        key = np.asarray(table.column("key")).view(np.uint64)
         order = np.argsort(key)
-        return key[order], {c: table.column(c).take(pa.array(order)) for c in columns}
+        out = key[order], {c: table.column(c).take(pa.array(order)) for c in columns}
+        del table, key, order
+        release()
+        return out
 
     def by_document(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         told = rows.groupBy("d", "t").agg(F.collect_list(F.struct("pos", *columns)).alias("told"))
@@ -260,6 +267,8 @@ class Dedup:
         window, width, hot = self.window, self.window - self.gram + 1, self.hot
         shipped = None if told is None else self.spark.sparkContext.broadcast((told[0], np.asarray(told[1]["size"]).astype(np.int32)))
         docs = self.docs if told is not None else self.by_document(open_, ["size"])
+        told = None
+        release()
 
         def select(s, d, t, rows):
             c = s.context_hash()
@@ -302,9 +311,11 @@ class Dedup:
         if count <= self.limit:
             keys, _ = self.told(first, [], 8)
             late, gone = self.told(found, ["gone"], 0)
-            bits = np.frombuffer(b"".join(gone["gone"].to_pylist()), np.uint8).reshape(len(late), len(empty)) if len(late) else np.zeros((0, len(empty)), np.uint8)
+            bits = np.frombuffer(b"".join(x.as_buffer() for chunk in gone["gone"].chunks for x in chunk), np.uint8).reshape(len(late), len(empty)) if len(late) else np.zeros((0, len(empty)), np.uint8)
             shipped = self.spark.sparkContext.broadcast((keys, late, bits))
             docs = self.docs
+            del keys, late, bits, gone
+            release()
         else:
             both = first.join(found, ["h", "c", "d", "t", "pos"], "left").select("d", "t", "pos", F.coalesce("gone", F.lit(bytearray(empty))).alias("gone"))
             docs = self.by_document(both, ["gone"])

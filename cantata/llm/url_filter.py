@@ -3,7 +3,7 @@
 A URL's host gives its suffixes at label borders, its path the prefixes of the lengths that rules have; each pair is an expression.
 Expressions meet rules in an equi-join on the first digits of a digest; the full digest is confirmed after the join, and of the
 rules that fit the longest decides. A rule table of a checked size is broadcast. A larger one is joined with the distinct
-expressions, so an expression that a third of the URLs share enters that join once.
+expressions, so an expression that a third of the URLs share enters that join once; what is found goes back to the URLs by a salted join.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and meets no rule. An empty host meets none. Rules with a
 null host or path aren't used; a repeated rule counts once. Of rules of equal length the one with the longer host decides, then
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import small_side
+from cantata.llm.common import salted_join, small_side
 
 #: Hexadecimal digits of the digest that the join compares.
 SHORT = 8
@@ -40,7 +40,7 @@ def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host != "", F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def match(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = ALLOW) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = ALLOW, limit: int = 32 << 20) -> DataFrame:
     """One row a row: the kept columns, host, path, rule (host and path of the rule that decides, or null) and verdict.
 
     rules: host, path, action (allow or block)."""
@@ -60,14 +60,14 @@ def match(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[s
     def meet(left: DataFrame, how: str) -> DataFrame:
         d = F.sha2("expression", 256)
         left = left.withColumns({"d": d, "s": F.substring(d, 1, SHORT)})
-        return left.join(small_side(known, count, 400), (F.col("s") == F.col("short")) & (F.col("d") == F.col("digest")), how)
+        return left.join(small_side(known, count, 400, limit), (F.col("s") == F.col("short")) & (F.col("d") == F.col("digest")), how)
 
     best = F.struct("size", "host_size", "action", "rule")
-    if count * 400 <= 32 << 20:
+    if count * 400 <= limit:
         met = meet(spread, "left")
     else:
         found = meet(spread.select("expression").where("expression is not null").distinct(), "inner").select("expression", "size", "host_size", "action", "rule")
-        met = spread.join(found, "expression", "left")
+        met = salted_join(spread, found, "expression", "row", "left")
     out = met.groupBy("row").agg(*(F.first(c).alias(c) for c in kept), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("rule").isNotNull(), best)).alias("best"))
     return out.select(*(F.col(k).alias(c) for k, c in zip(kept, keep)), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 

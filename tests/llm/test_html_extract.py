@@ -39,14 +39,76 @@ def test_open_blocks_lose_what_repeats_on_the_host(spark):
 
 def test_repeated_runs_against_brute_force():
     rng = random.Random(2)
-    streams = [[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(12)]
-    got = html_extract.repeated(streams, 5, 3)
-    for i, s in enumerate(streams):
-        want = np.zeros(len(s), bool)
-        for k in range(len(s) - 4):
-            if sum(any(t[j : j + 5] == s[k : k + 5] for j in range(len(t) - 4)) for t in streams) >= 3:
-                want[k : k + 5] = True
-        assert (got[i] == want).all()
+    pages = [[(rng.choice([0, 2]), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for _ in range(rng.randint(0, 6))] for _ in range(30)]
+    hosts = np.array([i % 2 for i in range(30)], np.uint64)
+    s = html_extract.Streams(pages, hosts, 5)
+    tokens = [[w for _, b in p for w in (html_extract.BORDER, *b.split(" "))] for p in pages]
+    stands = {}
+    for i, t in enumerate(tokens):
+        for k in range(len(t) - 4):
+            stands.setdefault((i % 2, *t[k : k + 5]), set()).add(i)
+    runs = [(i % 2, *t[k : k + 5]) for i, t in enumerate(tokens) for k in range(len(t) - 4)]
+    assert len(runs) == len(s.run) and len(set(runs)) == len(set(s.run.tolist())) == len(set(zip(runs, s.run.tolist())))
+    hit = np.array([len(stands[r]) >= 3 for r in runs], bool)
+    cut, covered = s.verdicts(hit)
+    at, want_cut, want_covered = 0, [], []
+    for i, (p, t) in enumerate(zip(pages, tokens)):
+        inside = [False] * len(t)
+        for k in range(len(t) - 4):
+            if len(stands[(i % 2, *t[k : k + 5])]) >= 3:
+                inside[k : k + 5] = [True] * 5
+        n, at = 0, 0
+        for _, b in p:
+            m = 1 + len(b.split(" "))
+            want_cut.append(2 * sum(inside[at : at + m]) >= m)
+            n += sum(inside[at + 1 : at + m])
+            at += m
+        want_covered.append(n)
+    assert cut.tolist() == want_cut and covered.tolist() == want_covered
+
+
+def test_a_run_on_two_pages_is_found_on_a_host_of_any_size(spark):
+    notice = "this one notice of seventeen words stands on only two of all the pages of its host"
+    pages = lambda n: [(i, f"http://h.com/{i}", f"<p>own words {i} {i * 7} {i * 13} a{i} b{i} c{i} d{i} e{i}</p>" + (f"<div>{notice}</div>" if i in (0, n - 1) else "")) for i in range(n)]
+    for n, limit in ((2, 1 << 20), (3000, 1 << 20), (300, 0)):
+        df = spark.createDataFrame(pages(n), SCHEMA).repartition(7)
+        got = {r.page_id: (r.text, r.n_boilerplate) for r in html_extract.extract(df, limit=limit).collect()}
+        assert len(got) == n and not any("notice" in t for t, _ in got.values()) and all(f"own words {i} " in t for i, (t, _) in got.items())
+        assert sorted(i for i, (_, k) in got.items() if k) == [0, n - 1] and got[0][1] >= 17
+
+
+def test_template_blocks_in_declared_main_text(spark):
+    rows = [(i, f"http://h.com/{i}", f"<article><p>Read this text number {i}</p><p>Follow us</p>" + ("<p>A quote</p>" if i < 4 else "") + "</article>") for i in range(20)]
+    rows += [(100 + i, f"http://small.com/{i}", "<article><p>Follow us</p></article>") for i in range(3)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Read this text number {i}" + " A quote" * (i < 4) for i in range(20)) and all(got[100 + i] == "Follow us" for i in range(3))
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    for unit in ('<a "', "<a ", '<b ">" ', "<a '", '<a "x" ', "<!--", "<script>", "</x>", "<div><b>", "<li><div><b>", "<p <", '<a x=">', "&", "<svg ", "</ ", "<b></i>"):
+        page = unit * (400_000 // len(unit))
+        began = time.perf_counter()
+        html_extract.blocks(page + '>"')
+        html_extract.blocks(page)
+        assert time.perf_counter() - began < 4, unit
+
+
+def test_odd_markup():
+    get = lambda page: [t for _, t in html_extract.blocks(page)]
+    assert get('a <b title="x>y">c</b> d') == ["a c d"]
+    assert get('a <b title="x>y c</b> d') == ["a y c d"]  # no end but one in quotes: the tag ends there
+    assert get("1 < 2 and 3 <") == ["1 < 2 and 3 <"]
+    assert get("a <b c") == ["a <b c"]
+    assert get("a<!-- b") == get("a<style> b") == ["a"]
+    assert get("a<svg/>b<?x y?>c</ >d") == ["abcd"]
+    assert get("<p>a<p>b<ul><li>c<li>d<p>e<li>f</ul>") == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_bytes_that_are_no_utf8_and_ties(spark):
+    df = spark.createDataFrame([(1, "http://h/", b"<article>a\xff b</article>"), (1, "http://h/", b"<article>a\xff b</article>"), (2, None, b"<p>\xe4</p>")], "page_id long, url string, b binary").selectExpr("page_id", "url", "cast(b as string) as html")
+    assert sorted((r.page_id, r.text) for r in html_extract.extract(df).collect()) == [(1, "a\ufffd b"), (1, "a\ufffd b"), (2, "\ufffd")]
 
 
 def test_pages(spark):

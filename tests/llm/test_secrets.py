@@ -31,6 +31,8 @@ def test_ownership_separates_examples_from_live_values(spark):
     copied, own = "Ab1" * 9, "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh"
     docs = [(i, f"x {copied} y", f"o{i % 5}") for i in range(10)] + [(10, f"x {own} y", "o1"), (11, f"x {own} y", "o1"), (12, "abcdefghijklmnopqrstuvwxyzab", "o2")]
     out = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string"))).collect()}
+    salted = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string"), limit=0)).collect()}
+    assert salted == out
     assert out[10] == out[11] == f"opaque:2:{2 + len(own)}" and all(out[i] == "" for i in (*range(10), 12))
 
 

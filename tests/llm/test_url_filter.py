@@ -31,6 +31,16 @@ def test_large_rule_tables_take_the_shuffled_join(spark):
     assert out == {i: (f"h{i * 10_000}.example.com/en/" if i < 9 else "example.com/") for i in range(20)}
 
 
+def test_frequent_expressions_and_empty_tables(spark):
+    rules = [("com", "/", "allow"), ("a.com", "/x", "block")]
+    df = spark.createDataFrame([(i, "http://a.com/x" if i % 3 else "http://b.com/") for i in range(3000)], "page_id long, url string")
+    out = url_filter.match(df, url_filter.rule_table(spark, rules), limit=0).groupBy("rule", "verdict").count().collect()
+    assert {tuple(r) for r in out} == {("a.com/x", "block", 2000), ("com/", "allow", 1000)}
+    assert url_filter.match(df.where("false"), url_filter.rule_table(spark, rules)).count() == 0 and url_filter.match(df.where("false"), url_filter.rule_table(spark, rules), limit=0).count() == 0
+    long = "http://" + "a." * 300 + "com/" + "x" * 200_000
+    assert url_filter.match(spark.createDataFrame([(1, long)], "page_id long, url string"), url_filter.rule_table(spark, rules)).first().rule == "a.com/x"
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     out = url_filter.match(pages, url_filter.rule_table(spark, URL_RULES)).collect()
