@@ -24,8 +24,8 @@ def to_mono(frames: Column) -> Column:
 
 
 def normalize_peak(x: Column) -> Column:
-    """Divided by the peak if that exceeds 1, then clipped to [-1, 1]. NaN counts as no peak."""
-    peak = F.array_max(F.transform(x, lambda s: F.when(F.isnan(s), F.lit(0.0)).otherwise(F.abs(s).cast("double"))))
+    """Divided by the peak if that exceeds 1, then clipped to [-1, 1]. With a NaN there is no peak, so nothing is divided; NaN stays."""
+    peak = F.when(~F.exists(x, lambda s: F.isnan(s.cast("double"))), F.array_max(F.transform(x, lambda s: F.abs(s).cast("double"))))
     clip = lambda s: F.when(F.isnan(s), s).otherwise(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0)))
     return let(F.coalesce(peak, F.lit(0.0)), lambda p: F.transform(x, lambda s: clip(F.when(p > 1, s / p).otherwise(s.cast("double")))))
 
@@ -41,6 +41,26 @@ def normalize_integers(x: Column, low: float, high: float) -> Column:
     return F.transform(x, lambda s: F.greatest(F.least(scaled(s), F.lit(1.0)), F.lit(-1.0)))
 
 
+def normalize_floats(x: Column) -> Column:
+    """Divided by the peak if that exceeds 1 by more than a millionth, then clipped to [-1, 1]; NaN as in normalize_peak()."""
+    peak = F.when(~F.exists(x, lambda s: F.isnan(s.cast("double"))), F.array_max(F.transform(x, lambda s: F.abs(s).cast("double"))))
+    clip = lambda s: F.when(F.isnan(s), s).otherwise(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0)))
+    return let(F.coalesce(peak, F.lit(0.0)), lambda p: F.transform(x, lambda s: clip(F.when(p > 1 + 1e-6, s / (p + 1e-12)).otherwise(s.cast("double")))))
+
+
+def normalize_frames(frames: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Mono signal of frames (array<array<number>>): samples are brought to [-1, 1] and clipped before the mean of each frame. low, high: the
+    range of an integer type; none for floating samples, whose peak is that of all channels."""
+    width = F.size(F.get(frames, F.lit(0)))
+    flat = F.flatten(frames)
+    flat = normalize_floats(flat) if low is None else normalize_integers(flat, low, high)
+
+    def means(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(frames) - 1), lambda i: F.aggregate(F.slice(x, i * width + 1, width), F.lit(0.0), lambda a, s: a + s) / width)
+
+    return F.when(F.size(frames) == 0, F.array().cast("array<double>")).otherwise(let(flat, means))
+
+
 def resample_span(x: Column, rate: int, target: int) -> Column:
     """Linear resampling over equally spaced points with both ends included; the length is rounded half to even."""
     n = F.size(x)
@@ -123,6 +143,26 @@ def mask_positions(mask: Column) -> Column:
     return counted["out"]
 
 
+def segment_positions(offsets: Column, lengths: Column, total: Column) -> Column:
+    """Segments of a sequence of text and sound: (kind, first, size), each of which begins where the one before it ends. offsets and
+    lengths: of the sounds, in any order. A sound that overlaps another or runs over the end of the sequence is an error."""
+    sounds = F.array_sort(F.arrays_zip(offsets.cast("array<bigint>").alias("offset"), lengths.cast("array<bigint>").alias("size")))
+    segment = lambda kind, first, size: F.struct(F.lit(kind).alias("kind"), first.alias("first"), size.alias("size"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<kind:string,first:bigint,size:bigint>>").alias("out"), F.lit(False).alias("bad"))
+
+    def step(a: Column, s: Column) -> Column:
+        text = F.when(s["offset"] > a["at"], F.array_append(a["out"], segment("text", a["at"], s["offset"] - a["at"]))).otherwise(a["out"])
+        return F.struct((s["offset"] + s["size"]).alias("at"), F.array_append(text, segment("sound", s["offset"], s["size"])).alias("out"), (a["bad"] | (s["offset"] < a["at"])).alias("bad"))
+
+    def finish(a: Column) -> Column:
+        wrong = a["bad"] | (a["at"] > total)
+        error = F.raise_error(F.lit("positions don't match the sequence's length")).cast("array<struct<kind:string,first:bigint,size:bigint>>")
+        rest = F.when(a["at"] < total, F.array_append(a["out"], segment("text", a["at"], total - a["at"]))).otherwise(a["out"])
+        return F.when(wrong, error).otherwise(rest)
+
+    return F.aggregate(sounds, start, step, finish)
+
+
 def pool_mean(vectors: Column, mask: Column) -> Column:
     """Mean of the vectors whose mask is 1, by component; the divisor is 1 at least."""
     total = F.greatest(F.aggregate(mask, F.lit(0), lambda a, m: a + m), F.lit(1))

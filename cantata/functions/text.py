@@ -66,8 +66,21 @@ def collapse_patterns(c: Column, repeats: int = REPEATS, longest: int = LONGEST_
     return F.regexp_replace(c, rf"(?s)(?=.{{{2 * repeats}}})(.{{1,{longest}}}?)\1{{{repeats - 1},}}", "$1")
 
 
+def may_loop(c: Column) -> Column:
+    """Whether ten characters stand again at a distance of up to LONGEST_PERIOD, looked for at every tenth place: so it is wherever
+    collapse_patterns() changes something, as 2 * REPEATS characters or more of a loop hold such a place. Linear, and false for nearly all texts."""
+    step = LONGEST_PERIOD // 2
+
+    def found(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        ahead = lambda i: F.concat(part(i).substr(F.lit(2), F.lit(step)), part(i + 1), part(i + 2))
+        return F.exists(F.transform(parts, lambda p, i: (F.length(p) == step) & F.contains(ahead(i), p)), lambda x: x)
+
+    return let(F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0)), found)
+
+
 def fix_repetitions(c: Column) -> Column:
-    return collapse_patterns(collapse_runs(c))
+    return let(collapse_runs(c), lambda s: F.when(may_loop(s), collapse_patterns(s)).otherwise(s))
 
 
 def parse_output(raw: Column, forced: Column | None = None) -> Column:
@@ -93,6 +106,26 @@ def parse_output(raw: Column, forced: Column | None = None) -> Column:
     return let(strip(F.coalesce(raw, empty)), repaired)
 
 
+def register_functions(spark) -> None:
+    """parse_asr_output(raw, forced) and fix_repetitions(text) as SQL functions of the session: the same rules in SQL, inside the JVM."""
+    bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    stripped = lambda c: f"regexp_replace({c}, r'\\A[{SPACE}]+|[{SPACE}]+\\z', '')"
+    runs = f"regexp_replace(x, r'(?s)(.)\\1{{{REPEATS},}}', '$1')"
+    loops = f"regexp_replace(s, r'(?s)(?=.{{{2 * REPEATS}}})(.{{1,{LONGEST_PERIOD}}}?)\\1{{{REPEATS - 1},}}', '$1')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fix_repetitions(x STRING) RETURNS STRING RETURN {bound(runs, 's', loops)}")
+    result = "named_struct('language', {}, 'text', {})".format
+    tag, prefix = f"'{TEXT_TAG}'", f"'{LANGUAGE_PREFIX}'"
+    lines = f"filter(transform(split(left(t, instr(t, {tag}) - 1), r'{LINE_END}'), y -> {stripped('y')}), y -> startswith(lower(y), {prefix}))"
+    name = stripped(f"substring(get(l, 0), {len(LANGUAGE_PREFIX) + 1})")
+    named = bound(lines, "l", f"coalesce({bound(name, 'n', 'concat(upper(left(n, 1)), lower(substring(n, 2)))')}, '')")
+    text = stripped(f"substring(t, instr(t, {tag}) + {len(TEXT_TAG)})")
+    none = f"contains(lower(left(t, instr(t, {tag}) - 1)), '{LANGUAGE_PREFIX}none')"
+    tagged = f"CASE WHEN instr(t, {tag}) = 0 THEN {result(chr(39) * 2, 't')} WHEN {none} THEN {result(chr(39) * 2, text)} ELSE {result(named, text)} END"
+    whole = f"CASE WHEN s = '' THEN {result(chr(39) * 2, chr(39) * 2)} WHEN forced != '' THEN {result('forced', 'fix_repetitions(s)')} ELSE {bound('fix_repetitions(s)', 't', tagged)} END"
+    source = "coalesce(raw, '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_asr_output(raw STRING, forced STRING DEFAULT NULL) RETURNS STRUCT<language: STRING, text: STRING> RETURN {bound(stripped(source), 's', whole)}")
+
+
 def clean_token(c: Column) -> Column:
     """Letters, numbers and the apostrophe."""
     return F.regexp_replace(c, DROPPED, "")
@@ -187,6 +220,10 @@ def language_listing(names: Column) -> Column:
 
 def roll_back(words: Column, count: int, least: int = 0) -> Column:
     """The words but for the last `count`; further back while what stays ends in an incomplete character."""
-    kept = F.greatest(F.size(words) - count, F.lit(least))
-    whole = F.filter(F.transform(F.sequence(F.lit(0), kept), lambda k: F.when(~F.contains(F.array_join(F.slice(words, 1, k), " "), F.lit(REPLACEMENT)), k)), lambda k: k.isNotNull())
-    return F.slice(words, 1, F.coalesce(F.array_max(whole), F.lit(0)))
+
+    def kept(w: Column) -> Column:
+        bad = F.array_position(F.transform(w, lambda x: F.contains(x, F.lit(REPLACEMENT))), F.lit(True)).cast("int")
+        size = F.greatest(F.size(w) - count, F.lit(least))
+        return F.slice(w, 1, F.when(bad > 0, F.least(size, bad - 1)).otherwise(size))
+
+    return let(words, kept)

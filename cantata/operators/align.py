@@ -75,8 +75,12 @@ def repair_times(df: DataFrame, times: str, out: str) -> DataFrame:
 
 def pair_words(words: Column, times_ms: Column) -> Column:
     """Word i with times 2i and 2i + 1, in seconds rounded to milliseconds."""
-    seconds = lambda i: F.round(F.get(times_ms, i) / 1000.0, 3)
-    return F.transform(words, lambda w, i: F.struct(w.alias("text"), seconds(2 * i).alias("start_time"), seconds(2 * i + 1).alias("end_time")))
+
+    def paired(t: Column) -> Column:
+        seconds = lambda i: F.round(F.get(t, i) / 1000.0, 3)
+        return F.transform(words, lambda w, i: F.struct(w.alias("text"), seconds(2 * i).alias("start_time"), seconds(2 * i + 1).alias("end_time")))
+
+    return let(times_ms, paired)
 
 
 def shift(items: Column, offset_sec: Column) -> Column:

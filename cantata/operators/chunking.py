@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantata.model import MIN_CHUNK_SECONDS
+from cantata.storage import Scratch
 
 
 def quiet_cuts(x: np.ndarray, rate: int, longest: float, reach: float = 5.0, window_ms: float = 100.0) -> list[int]:
@@ -91,9 +92,11 @@ def batch_number(position: Column, size: int | None, zero_is_error: bool = False
 
 def with_positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
     """Position of each row in the order of a column, from 0, without one task for all rows: rows are range-partitioned, and each
-    partition counts on from the rows of those before it."""
+    partition counts on from the rows of those before it. The partitions are written once: their borders are sampled, so a second run could
+    draw others. Rows with equal values come in any order."""
     spark = df.sparkSession
     parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    parts = Scratch(spark).keep(parts, "ordered")
     within = F.col("__i") - F.shiftleft(F.col("__p").cast("bigint"), 33)
     counts = parts.groupBy("__p").agg(F.count("*").alias("n")).collect()  # a row a partition
     before, total = [], 0
@@ -104,6 +107,18 @@ def with_positions(df: DataFrame, order: str, name: str = "position") -> DataFra
     return parts.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + within).drop("__p", "__i", "__s")
 
 
+def pad_batches(df: DataFrame, batch: str, samples: str) -> DataFrame:
+    """df with every signal padded with zeros to the longest of its batch, and mask: 1 for what the signal had, 0 for padding. A null
+    signal is an empty one. Only lengths are gathered by batch."""
+    x = F.coalesce(F.col(samples), F.array().cast(df.schema[samples].dataType))
+    longest = df.groupBy(F.col(batch).alias("__batch")).agg(F.max(F.size(x)).alias("__longest"))
+    zero = F.lit(0).cast(df.schema[samples].dataType.elementType)
+    out = df.join(longest, F.col(batch).eqNullSafe(F.col("__batch")))
+    rest = F.col("__longest") - F.size(x)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(x)), F.array_repeat(F.lit(0), rest))
+    return out.select(*(F.concat(x, F.array_repeat(zero, rest)).alias(c) if c == samples else F.col(c) for c in df.columns), mask.alias("mask"))
+
+
 def broadcast_request(df: DataFrame, context: list[str], language: list[str | None], count: int) -> DataFrame:
     """Adds context and language to numbered requests (orig_index): lists of one value go to all, others must have a value for each."""
     for name, values in (("context", context), ("language", language)):

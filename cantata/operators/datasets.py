@@ -23,9 +23,9 @@ def prepare_turns(df: DataFrame, default_prompt: str, left_ms: float, right_ms:
     )
 
 
-def prepare_transcripts(df: DataFrame, prefix: Column) -> DataFrame:
-    """Transcript rows: prompt, audio, target and the text before the target."""
-    return df.select(F.coalesce("prompt", F.lit("")).alias("prompt"), "audio", F.col("text").alias("target"), prefix.alias("prefix_text"))
+def prepare_transcripts(df: DataFrame, prefix: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Transcript rows: kept columns, prompt, audio, target and the text before the target."""
+    return df.select(*keep, F.coalesce("prompt", F.lit("")).alias("prompt"), "audio", F.col("text").alias("target"), prefix.alias("prefix_text"))
 
 
 def full_text(prefix: Column, target: Column, end: str) -> Column:

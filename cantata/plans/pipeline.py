@@ -47,9 +47,11 @@ def apply_model(df: DataFrame, model: Callable[[pd.DataFrame], list], inputs: li
     return df.mapInPandas(run, schema)
 
 
-def transcribe(requests: DataFrame, model: Callable[[pd.DataFrame], list], aligner: Callable[[pd.DataFrame], list] | None = None, with_times: bool = False, batch: int | None = None) -> DataFrame:
+def transcribe(requests: DataFrame, model: Callable[[pd.DataFrame], list] | str, aligner: Callable[[pd.DataFrame], list] | None = None, with_times: bool = False, batch: int | None = None) -> DataFrame:
     """requests: orig_index, samples (mono, SAMPLE_RATE), context, language. The model takes chunk and prompt and gives raw text;
-    the aligner takes chunk and words and gives two times a word, in milliseconds. One row a request: orig_index, language, text, time_stamps."""
+    the aligner takes chunk and words and gives two times a word, in milliseconds. A model may be the name of a registered backend.
+    One row a request: orig_index, language, text, time_stamps."""
+    model = backend(model) if isinstance(model, str) else model
     if with_times and aligner is None:
         raise ValueError("word times need an aligner")
     longest = MAX_ALIGN_SECONDS if with_times else MAX_TRANSCRIBE_SECONDS

@@ -109,14 +109,18 @@ def integer_normalize(spark, sf):
     x = F.transform("x", lambda v: F.round(v * 20000))
     pcm = F.transform(x, lambda v: F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0)))
     byte = F.transform(x, lambda v: F.pmod(v, F.lit(256.0)))
-    df = signals(spark, sf).select("vec_id", rounded(F.concat(F.slice(S.from_int16(pcm), 1, 4), F.slice(S.normalize_integers(pcm, -32768, 32767), 1, 4), F.slice(S.normalize_integers(byte, 0, 255), 1, 4))).alias("y"))
-    return spread(df, "vec_id")
+    frames = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.get(x, 2 * i), F.get(x, 2 * i + 1)))
+    parts = (S.from_int16(pcm), S.normalize_integers(pcm, -32768, 32767), S.normalize_integers(byte, 0, 255), S.normalize_frames(frames, -32768, 32767), S.normalize_frames(frames))
+    return spread(signals(spark, sf).select("vec_id", rounded(F.concat(*parts)).alias("y")), "vec_id")
 
 
 INTEGER_SQL = f"""
 WITH x AS (SELECT vec_id, list_transform({DOUBLES}, lambda v: round(v * 20000)) AS x FROM embeddings),
-y AS (SELECT vec_id, list_transform(x[1:4], lambda v: least(greatest(v, -32768), 32767) / 32768.0) AS a, list_transform(x[1:4], lambda v: ((v % 256 + 256) % 256 - 128) / 128.0) AS b FROM x)
-SELECT vec_id, CAST(unnest(range(12)) AS INTEGER) AS pos, unnest(list_transform(a || a || b, lambda v: round(CAST(v AS DOUBLE), 6) + 0.0)) AS value FROM y"""
+p AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) AS p FROM x),
+y AS (SELECT vec_id, list_transform(x, lambda v: least(greatest(v, -32768), 32767) / 32768.0) AS a, list_transform(x, lambda v: ((v % 256 + 256) % 256 - 128) / 128.0) AS b,
+  list_transform(x, lambda v: least(greatest(v / 32768.0, -1.0), 1.0)) AS c, list_transform(x, lambda v: least(greatest(CASE WHEN p > 1 + 1e-6 THEN v / (p + 1e-12) ELSE v END, -1.0), 1.0)) AS d FROM p),
+z AS (SELECT vec_id, a || a || b || list_transform(range(32), lambda i: (c[2 * i + 1] + c[2 * i + 2]) / 2) || list_transform(range(32), lambda i: (d[2 * i + 1] + d[2 * i + 2]) / 2) AS z FROM y)
+SELECT vec_id, CAST(unnest(range(256)) AS INTEGER) AS pos, unnest(list_transform(z, lambda v: round(CAST(v AS DOUBLE), 6) + 0.0)) AS value FROM z"""
 
 
 def resample_linear(spark, sf):
@@ -198,17 +202,33 @@ SELECT conv_id, CAST(max(position) OVER (PARTITION BY conv_id) + 1 - sum(m) OVER
 
 
 def segment_positions(spark, sf):
-    """Turns as segments of text and sound: each begins where the ones before it end."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("bigint").alias("size"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("conv_id", "turn", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"), "size")
+    """A conversation as one sequence: each turn is a sound behind turn % 3 text tokens, and two more tokens end it."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(align.in_order(F.struct((F.col("turn") % 3).alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size")), F.col("turn")).alias("turns"))
+    ends = S.cumulative(F.transform("turns", lambda x: x["text"] + x["size"]))
+    rows = rows.withColumn("ends", ends)
+    offsets = F.transform("turns", lambda x, i: F.get("ends", i) + x["text"])
+    segments = S.segment_positions(offsets, F.transform("turns", lambda x: x["size"]), F.array_max("ends") + 2)
+    return rows.select("conv_id", F.posexplode(segments).alias("pos", "s")).select("conv_id", "pos", "s.kind", "s.first", "s.size")
 
 
 SEGMENT_SQL = """
-SELECT conv_id, turn, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, size
-FROM (SELECT conv_id, turn, CAST(greatest(length(coalesce(text, '')), 1) AS BIGINT) AS size FROM conversations)"""
+WITH t AS (SELECT conv_id, turn, CAST(turn % 3 AS BIGINT) AS n, CAST(length(coalesce(text, '')) AS BIGINT) AS size FROM conversations),
+e AS (SELECT *, CAST(sum(n + size) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS stop FROM t),
+s AS (SELECT conv_id, turn, 0 AS part, 'text' AS kind, stop - size - n AS first, n AS size FROM e WHERE n > 0 UNION ALL SELECT conv_id, turn, 1, 'sound', stop - size, size FROM e
+  UNION ALL SELECT conv_id, max(turn) + 1, 0, 'text', max(stop), 2 FROM e GROUP BY conv_id)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS INTEGER) AS pos, kind, first, size FROM s"""
+
+
+def batch_padding(spark, sf):
+    """Signals of different lengths in batches of eight, padded to the longest of the batch."""
+    df = signals(spark, sf).select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), F.slice("x", 1, (F.col("vec_id") % 50).cast("int")).alias("x"))
+    out = chunking.pad_batches(df, "batch", "x")
+    return out.select("vec_id", "batch", F.size("x").alias("n"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("valid"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+PADDING_SQL = f"""
+SELECT vec_id, vec_id // 8 AS batch, CAST(max(vec_id % 50) OVER (PARTITION BY vec_id // 8) AS INTEGER) AS n, CAST(vec_id % 50 AS INTEGER) AS valid,
+  round(list_reduce({DOUBLES}[1:vec_id % 50], lambda a, b: a + b, CAST(0 AS DOUBLE)), 6) + 0.0 AS total FROM embeddings"""
 
 
 def label_mask(spark, sf):
@@ -234,16 +254,33 @@ SELECT user_id, max(step) AS step, 'checkpoint-' || max(step) AS path, CAST(sum(
 
 
 def timestamp_repair(spark, sf):
-    df = signals(spark, sf).select("vec_id", F.transform(F.slice("x", 1, 24), lambda v, i: (F.round(v * 400) + i * 60).cast("bigint")).alias("t"))
+    df = signals(spark, sf).select("vec_id", F.transform("x", lambda v, i: (F.round(v * 400) + i * 60).cast("bigint")).alias("t"))
     return spread(align.repair_times(df, "t", "y"), "vec_id")
 
 
+# n: length of the longest rising subsequence that ends at each place, p: the place before it there (0 for none); by the quadratic rule.
+REPAIR_SQL = f"""
+WITH RECURSIVE s AS (SELECT vec_id, list_transform({DOUBLES}, lambda v, i: CAST(round(v * 400) + (i - 1) * 60 AS BIGINT)) AS t FROM embeddings),
+d AS (
+  SELECT vec_id, t, CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS n, [CAST(0 AS BIGINT)] AS p FROM s
+  UNION ALL
+  SELECT vec_id, t, i + 1, list_append(n, m + 1), list_append(p, CASE WHEN m = 0 THEN 0 ELSE list_position(fits, m) END) FROM (
+    SELECT *, list_max(fits) AS m FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN t[j] <= t[i + 1] THEN n[j] ELSE 0 END) AS fits FROM d WHERE i < len(t)))),
+b AS (
+  SELECT vec_id, t, p, CAST(list_position(n, list_max(n)) AS BIGINT) AS place, [CAST(list_position(n, list_max(n)) AS BIGINT)] AS good FROM d WHERE i = len(t)
+  UNION ALL
+  SELECT vec_id, t, p, p[place], list_prepend(p[place], good) FROM b WHERE p[place] > 0),
+x AS (SELECT vec_id, t, k, list_max(list_filter(good, lambda q: q <= k)) AS l, list_min(list_filter(good, lambda q: q >= k)) AS r FROM (SELECT vec_id, t, good, unnest(range(1, len(t) + 1)) AS k FROM b WHERE p[place] = 0))
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS pos, CAST(CASE WHEN l = r THEN t[k] WHEN l IS NULL THEN t[r] WHEN r IS NULL THEN t[l] WHEN r - l - 1 <= 2 THEN CASE WHEN k - l <= r - k THEN t[l] ELSE t[r] END
+  ELSE trunc(t[l] + (t[r] - t[l]) / CAST(r - l AS DOUBLE) * (k - l)) END AS BIGINT) AS value FROM x"""
+
+
 def token_times(spark, sf):
     """Predictions at marker tokens, chunk numbers of rising values, and rows dealt to placeholders."""
     tokens = F.transform("x", lambda v: F.pmod(F.floor(v * 1000), F.lit(4)).cast("int"))
-    df = signals(spark, sf).select("vec_id", F.slice(tokens, 1, 16).alias("t"))
+    df = signals(spark, sf).select("vec_id", tokens.alias("t"))
     steps = F.transform("t", lambda v, i: (i * 7 + v * 3).cast("bigint"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i * 10)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * 10)
     return df.select(
         "vec_id", F.array_join(S.marked_times(F.col("t"), steps, 1, 80.0), ",").alias("times"), F.array_join(S.range_chunks(F.array_sort(steps), 20), ",").alias("chunks"),
         F.array_join(S.scatter(F.col("t"), 2, rows), ",", "-").alias("scattered"),
@@ -251,13 +288,13 @@ def token_times(spark, sf):
 
 
 TOKEN_SQL = f"""
-WITH t AS (SELECT vec_id, list_transform({DOUBLES}[1:16], lambda v: ((CAST(floor(v * 1000) AS BIGINT) % 4) + 4) % 4) AS t FROM embeddings),
+WITH t AS (SELECT vec_id, list_transform({DOUBLES}, lambda v: ((CAST(floor(v * 1000) AS BIGINT) % 4) + 4) % 4) AS t FROM embeddings),
 s AS (SELECT vec_id, t, list_transform(t, lambda v, i: (i - 1) * 7 + v * 3) AS s FROM t)
 SELECT vec_id,
-  array_to_string(list_transform(list_filter(range(1, 17), lambda i: t[i] = 1), lambda i: CAST(s[i] * CAST(80 AS DOUBLE) AS VARCHAR)), ',') AS times,
+  array_to_string(list_transform(list_filter(range(1, 65), lambda i: t[i] = 1), lambda i: CAST(s[i] * CAST(80 AS DOUBLE) AS VARCHAR)), ',') AS times,
   array_to_string(list_reduce(list_transform(list_sort(s), lambda v: {{'k': v, 'o': CAST([] AS BIGINT[])}}),
     lambda a, v: {{'k': CASE WHEN v.k >= a.k * 20 THEN a.k + 1 ELSE a.k END, 'o': list_append(a.o, CASE WHEN v.k >= a.k * 20 THEN a.k ELSE a.k - 1 END)}}, {{'k': 1, 'o': CAST([] AS BIGINT[])}}).o, ',') AS chunks,
-  array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN t[i] = 2 THEN CAST((len(list_filter(t[:i], lambda u: u = 2)) - 1) * 10 AS VARCHAR) ELSE '-' END), ',') AS scattered FROM s"""
+  array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN t[i] = 2 THEN CAST((len(list_filter(t[:i], lambda u: u = 2)) - 1) * 10 AS VARCHAR) ELSE '-' END), ',') AS scattered FROM s"""
 
 
 def stream_rechunk(spark, sf):
@@ -330,9 +367,10 @@ QUERIES = {
     "binary_metrics": (binary_metrics, METRICS_SQL),
     "position_ids": (position_ids, POSITION_SQL),
     "segment_positions": (segment_positions, SEGMENT_SQL),
+    "batch_padding": (batch_padding, PADDING_SQL),
     "label_mask": (label_mask, MASK_SQL),
     "latest_checkpoint": (latest_checkpoint, CHECKPOINT_SQL),
-    "timestamp_repair": (timestamp_repair, None),
+    "timestamp_repair": (timestamp_repair, REPAIR_SQL),
     "token_times": (token_times, TOKEN_SQL),
     "stream_rechunk": (stream_rechunk, RECHUNK_SQL),
     "session_expiry": (session_expiry, EXPIRY_SQL),

@@ -75,15 +75,16 @@ _MIXED_SQL = "(VALUES " + ", ".join(f"({i}, {O.sql_text(t)})" for i, t in MIXED)
 
 
 def tokenize_cjk(spark, sf):
-    df = spark.createDataFrame(MIXED, "id int, t string")
+    """Rows of mixed scripts, which the tables lack, and the documents."""
+    df = spark.createDataFrame(MIXED, "id bigint, t string").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t")))
     return df.select("id", F.array_join(X.words_spaced(F.col("t")), "|").alias("spaced"), F.array_join(X.words_mixed(F.col("t")), "|").alias("mixed"))
 
 
 # RE2 has no lookahead: a run of kept characters is cut at ideographs afterwards.
 CJK_SQL = f"""
-SELECT id, array_to_string({O.words_spaced('t')}, '|') AS spaced,
+SELECT CAST(id AS BIGINT) AS id, array_to_string({O.words_spaced('t')}, '|') AS spaced,
   array_to_string(flatten(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}'']+'), lambda x: regexp_extract_all(x, '[{X.CJK}]|[^{X.CJK}]+'))), '|') AS mixed
-FROM {_MIXED_SQL}"""
+FROM (SELECT id, t FROM {_MIXED_SQL} UNION ALL SELECT doc_id + 1000, coalesce(text, '') FROM documents)"""
 
 
 def merge_languages(spark, sf):
@@ -206,17 +207,31 @@ SELECT * FROM (VALUES (0, 'Forced Aligner Demo', 'bfloat16', 'a,b', CAST(10 AS B
 def results_json(spark, sf):
     """Results of recognized documents as JSON, blank texts left out, and the rolled-back prefix of each."""
     df = align.worth_aligning(table(spark, sf, "documents").select("doc_id", "lang", X.strip(F.col("text")).alias("t")), "t")
-    words = F.slice(X.words_spaced(F.col("t")), 1, 12)
-    back = F.from_json(files.result_json(F.col("lang"), F.substring("t", 1, 40)), "language string, text string")
-    return df.select("doc_id", back["language"].alias("language"), back["text"].alias("text"), F.array_join(X.roll_back(words, 5), " ").alias("prefix"))
+    df = df.select("doc_id", F.from_json(files.result_json(F.col("lang"), F.col("t")), "language string, text string").alias("r"), F.array_join(X.roll_back(X.words_spaced(F.col("t")), 5), " ").alias("prefix"))
+    return df.select("doc_id", "r.language", "r.text", "prefix")
 
 
 RESULTS_SQL = f"""
-SELECT doc_id, coalesce(lang, '') AS language, t[:40] AS text, array_to_string(w[:greatest(len(w) - 5, 0)], ' ') AS prefix
-FROM (SELECT doc_id, lang, t, {O.words_spaced('t')}[:12] AS w FROM (SELECT doc_id, lang, {O.strip('text')} AS t FROM documents)) WHERE t != ''"""
+SELECT doc_id, coalesce(lang, '') AS language, t AS text, array_to_string(w[:greatest(len(w) - 5, 0)], ' ') AS prefix
+FROM (SELECT doc_id, lang, t, {O.words_spaced('t')} AS w FROM (SELECT doc_id, lang, {O.strip('text')} AS t FROM documents)) WHERE t != ''"""
+
+
+def transcript_rows(spark, sf):
+    """Documents as training rows, and the text that the trainer sees. The language is the prompt, every third row has none."""
+    prefix = X.text_prompt(F.lit(AUDIO_PREFIX), F.when(F.col("doc_id") % 2 == 0, "German"))
+    df = table(spark, sf, "documents").select("doc_id", F.col("source").alias("audio"), "text", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("prompt"))
+    rows = datasets.prepare_transcripts(df, prefix, keep=("doc_id",))
+    return rows.withColumn("full_text", datasets.full_text(F.col("prefix_text"), F.col("target"), "<end>"))
+
+
+TRANSCRIPT_SQL = f"""
+SELECT *, prefix_text || target || '<end>' AS full_text FROM (
+  SELECT doc_id, CASE WHEN doc_id % 3 != 0 THEN coalesce(lang, '') ELSE '' END AS prompt, source AS audio, text AS target,
+    '{AUDIO_PREFIX}' || CASE WHEN doc_id % 2 = 0 THEN 'language German<asr_text>' ELSE '' END AS prefix_text FROM documents)"""
 
 
 QUERIES = {
+    "transcript_rows": (transcript_rows, TRANSCRIPT_SQL),
     "parse_output": (parse_output, PARSE_SQL),
     "language_name": (language_name, LANGUAGE_SQL),
     "collapse_repeats": (collapse_repeats, COLLAPSE_SQL),

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import shutil
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantata.functions.text import SPACE, strip
-from cantata.model import SIDECAR_FILES
+from cantata.model import SAMPLE_RATE, SIDECAR_FILES
 
 PCM_TYPE = "application/octet-stream"
 
@@ -33,35 +31,89 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def decode_wave(df: DataFrame, content: str, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """16-bit PCM wave bytes to sr and samples (mean over channels). Bytes that aren't such a wave give nulls."""
+def wave_samples(raw: bytes | None):
+    """Rate and samples (mean over channels) of a wave file of 8, 16, 24 or 32-bit PCM; other bytes give (None, None)."""
     import io
     import wave
 
     import numpy as np
+
+    try:
+        with wave.open(io.BytesIO(raw)) as w:
+            width, channels, frames = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+            if width == 1:  # unsigned
+                x = (np.frombuffer(frames, np.uint8).astype(np.float64) - 128) / 128
+            else:  # each sample goes to the top of 32 bits
+                whole = np.zeros((len(frames) // width, 4), np.uint8)
+                whole[:, 4 - width :] = np.frombuffer(frames, np.uint8)[: len(whole) * width].reshape(-1, width)
+                x = whole.view("<i4")[:, 0] / 2147483648
+            return w.getframerate(), x[: len(x) // channels * channels].reshape(-1, channels).mean(1).astype(np.float32)
+    except (wave.Error, EOFError, TypeError):
+        return None, None
+
+
+def decode_wave(df: DataFrame, content: str, keep: tuple[str, ...] = ("path",), decoder=wave_samples) -> DataFrame:
+    """Audio bytes to sr and samples. decoder: bytes to rate and mono samples, or (None, None); PCM waves if none is given."""
     import pyarrow as pa
 
     fields = [*(df.schema[c] for c in keep), T.StructField("sr", T.IntegerType()), T.StructField("samples", T.ArrayType(T.FloatType()))]
     k = len(keep)
 
-    def one(raw):
-        try:
-            with wave.open(io.BytesIO(raw)) as w:
-                if w.getsampwidth() != 2:
-                    return None, None
-                x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()) / 32768
-                return w.getframerate(), x.mean(1).astype(np.float32)
-        except (wave.Error, EOFError, TypeError):
-            return None, None
-
     def run(batches):
         for batch in batches:
-            got = [one(x) for x in batch.column(k).to_pylist()]
+            got = [decoder(x) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k)), pa.array([r for r, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.float32()))], names=[f.name for f in fields])
 
     return df.select(*keep, content).mapInArrow(run, T.StructType(fields))
 
 
+def load_audio(df: DataFrame, source: str, keep: tuple[str, ...], audio_files: DataFrame | None = None, fetch=None, decoder=wave_samples, resampler=None, target: int = SAMPLE_RATE) -> DataFrame:
+    """One loader for a column of mixed inputs: kept columns, kind, error, and samples: mono, at the target rate, the peak brought to 1.
+
+    URLs go to fetch (a list of URLs to a list of bytes or None), base64 is decoded, paths are looked up in audio_files (path and content, as
+    read_audio() gives them; the path as it stands in the column, or with a scheme). resampler: samples, rate and target to samples, for
+    other rates than the target. What can't be loaded has null samples and says why."""
+    import pyarrow as pa
+
+    from cantata.functions.signal import normalize_peak
+    from cantata.sources import routing
+
+    rows = df.select(*keep, F.col(source).alias("__source"), routing.route(F.col(source)).alias("kind"), routing.base64_bytes(F.when(routing.route(F.col(source)) == routing.BASE64, F.col(source))).alias("__bytes"))
+    if audio_files is not None:
+        plain = lambda c: F.regexp_replace(c, r"\A[a-z0-9]+:(//)?(?=/)", "")
+        found = audio_files.select(plain(F.col("path")).alias("__path"), F.col("content").alias("__content")).dropDuplicates(["__path"])
+        rows = rows.join(found, (F.col("kind") == routing.PATH) & (plain(F.col("__source")) == F.col("__path")), "left").withColumn("__bytes", F.coalesce("__bytes", "__content")).drop("__path", "__content")
+    fields = [*(rows.schema[c] for c in (*keep, "kind")), T.StructField("error", T.StringType()), T.StructField("__samples", T.ArrayType(T.FloatType()))]
+    k = len(keep)
+
+    def one(kind, source, raw):
+        if kind == routing.URL and fetch is None:
+            return "URLs need a fetcher", None
+        if raw is None:
+            return ("not fetched" if kind == routing.URL else "no such audio"), None
+        rate, samples = decoder(raw)
+        if rate is None:
+            return "not decoded", None
+        if rate != target:
+            if resampler is None:
+                return f"a rate of {rate} needs a resampler", None
+            samples = resampler(samples, rate, target)
+        return None, samples
+
+    def run(batches):
+        for batch in batches:
+            sources, kinds, raw = (batch.column(k + i).to_pylist() for i in range(3))
+            if fetch is not None:
+                at = [i for i, kind in enumerate(kinds) if kind == routing.URL]
+                for i, got in zip(at, fetch([sources[i] for i in at]) if at else ()):
+                    raw[i] = got
+            got = [one(*x) for x in zip(kinds, sources, raw)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k)), batch.column(k + 1), pa.array([e for e, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(pa.float32()))], names=[f.name for f in fields])
+
+    out = rows.select(*keep, "__source", "kind", "__bytes").mapInArrow(run, T.StructType(fields))
+    return out.select(*keep, "kind", "error", F.when(F.col("__samples").isNotNull(), normalize_peak(F.col("__samples"))).cast("array<float>").alias("samples"))
+
+
 def pcm_error(mime: Column, payload: Column) -> Column:
     """Why a push of 32-bit samples is refused, or null."""
     return F.when(F.coalesce(mime, F.lit("")) != PCM_TYPE, F.lit("wrong content type")).when(payload.isNull() | (F.octet_length(payload) % 4 != 0), F.lit("length is not a multiple of 4"))
@@ -77,28 +129,61 @@ def result_json(language: Column, text: Column) -> Column:
     return F.to_json(F.struct(F.coalesce(language, F.lit("")).alias("language"), F.coalesce(text, F.lit("")).alias("text")))
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML shows it."""
+    for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
 def timestamp_cards(items: Column, samples: Column, rate: int, encode) -> Column:
     """HTML with a card for each word and its audio slice; words without times, or with an empty slice, are left out.
     encode: samples to a data URL."""
     at = lambda t: F.bround(t * rate).cast("int")
     whole = F.filter(items, lambda x: x["start_time"].isNotNull() & x["end_time"].isNotNull() & (x["end_time"] > x["start_time"]) & (F.least(at(x["end_time"]), F.size(samples)) > at(x["start_time"])))
-    card = lambda x: F.concat(F.lit('<div class="word"><b>'), x["text"], F.lit('</b><audio controls src="'), encode(F.slice(samples, at(x["start_time"]) + 1, at(x["end_time"]) - at(x["start_time"]))), F.lit('"></audio></div>'))
+    card = lambda x: F.concat(F.lit('<div class="word"><b>'), escaped(x["text"]), F.lit('</b><audio controls src="'), encode(F.slice(samples, at(x["start_time"]) + 1, at(x["end_time"]) - at(x["start_time"]))), F.lit('"></audio></div>'))
     return F.array_join(F.transform(whole, card), "")
 
 
-def copy_sidecars(source: str, target: str) -> list[str]:
+def write_results(df: DataFrame, path: str, language: str = "language", text: str = "text", mode: str = "append") -> None:
+    """Results as JSON lines with language and text."""
+    df.select(result_json(F.col(language), F.col(text)).alias("value")).write.mode(mode).text(path)
+
+
+def sink_results(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Starts a stream's query that appends its results as JSON lines; trigger: as for the stream writer (availableNow=True for what there is now)."""
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: write_results(rows, path))
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The path as Hadoop has it, its file system and the configuration; so any store that Spark can read will do."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return at, at.getFileSystem(conf), conf
+
+
+def copy_sidecars(spark: SparkSession, source: str, target: str) -> list[str]:
     """Copies the files that stand beside saved weights, those that exist; their names."""
-    Path(target).mkdir(parents=True, exist_ok=True)
-    found = [n for n in SIDECAR_FILES if (Path(source) / n).exists()]
-    for n in found:
-        shutil.copy2(Path(source) / n, Path(target) / n)
+    folder, to, conf = _file_system(spark, target)
+    to.mkdirs(folder)
+    found = []
+    for name in SIDECAR_FILES:
+        at, of, _ = _file_system(spark, f"{source}/{name}")
+        if of.exists(at):
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(of, at, to, _file_system(spark, f"{target}/{name}")[0], False, True, conf)
+            found.append(name)
     return found
 
 
-def save_config(config: dict, folder: str, name: str = "config.json") -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / name).write_text(json.dumps(config, ensure_ascii=False, indent=2, sort_keys=True))
+def save_config(spark: SparkSession, config: dict, folder: str, name: str = "config.json") -> None:
+    at, to, _ = _file_system(spark, f"{folder}/{name}")
+    out = to.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(config, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
 
 
-def load_config(folder: str, name: str = "config.json") -> dict:
-    return json.loads((Path(folder) / name).read_text())
+def load_config(spark: SparkSession, folder: str, name: str = "config.json") -> dict:
+    return json.loads(spark.read.text(f"{folder}/{name}", wholetext=True).first().value)

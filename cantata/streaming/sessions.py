@@ -1,20 +1,25 @@
 """Sessions of pushed samples: cut into chunks of equal length while they arrive, flushed at their end or after a pause.
 
-The stream's rows are (session_id, seq, samples, last). State lives per session in Spark's state store, so pushes to one session
+The stream's rows are (session_id, seq, samples, last), or EVENTS where a model recognizes each chunk. State lives per session in Spark's state store, so pushes to one session
 never race and a restart goes on from the checkpoint. The batch forms give the same chunks from tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cantata.model import LANGUAGES, SAMPLE_RATE
+from cantata.functions.signal import resample_step
+from cantata.functions.text import parse_output
+from cantata.model import LANGUAGE_PREFIX, LANGUAGES, SAMPLE_RATE, TEXT_TAG
+from cantata.operators.align import in_order
 
 IDLE_SECONDS = 600
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,9 +58,8 @@ class StreamSettings:
         if finishing:
             return words[: max(1, kept)]
         kept = max(0, kept)
-        while kept and "�" in " ".join(words[:kept]):
-            kept -= 1
-        return words[:kept]
+        bad = next((i for i, w in enumerate(words) if "�" in w), kept)
+        return words[: min(kept, bad)]
 
 
 class Rechunker(StatefulProcessor):
@@ -108,6 +112,118 @@ class Rechunker(StatefulProcessor):
         pass
 
 
+#: What a row of a session's input asks for.
+START, PUSH, END = "start", "push", "end"
+EVENTS = "session_id string, seq bigint, action string, samples array<float>"
+RESULTS = "session_id string, chunk_id bigint, n_samples bigint, raw string, final boolean, error string"
+
+
+def pieces(text: str) -> list[str]:
+    """Words with the white space before each; joined they are the text again."""
+    return re.findall(r"\s*\S+|\s+\Z", text)
+
+
+class Recognizer(StatefulProcessor):
+    """Runs an injected model over sessions: start opens one, push adds samples, end flushes and removes it.
+
+    For each full chunk the model gets all samples heard so far and the prompt with the part of its last output that the settings
+    keep; what it gives is appended to that part, and the result replaces the one before. A push or an end of a session that isn't
+    open is answered with an error. Samples wait in list state, a push an entry, so a push writes no more than itself."""
+
+    def __init__(self, model: Callable[[np.ndarray, str], str], settings: StreamSettings, context: str = "", idle_seconds: int | None = IDLE_SECONDS, split: Callable[[str], list[str]] = pieces):
+        self.model, self.settings, self.split = model, settings, split
+        self.prompt = context + (f"{LANGUAGE_PREFIX}{settings.language}{TEXT_TAG}" if settings.language else "")
+        self.idle_ms = None if idle_seconds is None else idle_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "chunk_id bigint, heard bigint, waiting bigint, raw string")
+        self.samples = handle.getListState("samples", "part array<float>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out: list[tuple] = []
+        for action, samples in zip(events["action"], events["samples"]):
+            if action == START:
+                self._close()
+                self.session.update((0, 0, 0, ""))
+            elif not self.session.exists():
+                out.append((key[0], None, 0, None, False, "unknown session"))
+            elif action == END:
+                out += self._finish(key)
+            else:
+                out += self._push(key, np.zeros(0, np.float32) if samples is None else np.asarray(samples, np.float32))
+        if self.idle_ms is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            if self.session.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms + 1)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._finish(key) if self.session.exists() else [])
+
+    def _push(self, key, samples: np.ndarray) -> list[tuple]:
+        number, heard, waiting, raw = self.session.get()
+        if len(samples):
+            self.samples.appendValue((samples.tolist(),))
+        waiting += len(samples)
+        out = []
+        if waiting >= self.settings.chunk:
+            audio = self._audio()
+            while waiting >= self.settings.chunk:
+                heard, waiting = heard + self.settings.chunk, waiting - self.settings.chunk
+                raw = self._result(audio[:heard], number, raw, False)
+                out.append((key[0], number, heard, raw, False, None))
+                number += 1
+        self.session.update((number, heard, waiting, raw))
+        return out
+
+    def _finish(self, key) -> list[tuple]:
+        number, heard, waiting, raw = self.session.get()
+        if waiting:
+            raw = self._result(self._audio(), number, raw, True)
+            number, heard = number + 1, heard + waiting
+        self._close()
+        return [(key[0], number - 1 if number else None, heard, raw, True, None)]
+
+    def _audio(self) -> np.ndarray:
+        return np.concatenate([np.asarray(x[0], np.float32) for x in self.samples.get()])
+
+    def _result(self, audio: np.ndarray, number: int, raw: str, finishing: bool) -> str:
+        kept = "".join(self.settings.prefix_words(number, self.split(raw), finishing))
+        return kept + self.model(audio, self.prompt + kept)
+
+    def _close(self) -> None:
+        self.session.clear()
+        self.samples.clear()
+
+    def _frame(self, rows):
+        return pd.DataFrame(rows, columns=["session_id", "chunk_id", "n_samples", "raw", "final", "error"]).astype({"chunk_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def recognize_stream(events: DataFrame, model: Callable[[np.ndarray, str], str], settings: StreamSettings, context: str = "", idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
+    """events: a stream of EVENTS. A row for each chunk, and one with final where a session ends: session_id, chunk_id, n_samples (heard so far),
+    language, text, final, error. The latest row of a session is its result. model: samples and prompt to text. One model call serves one session
+    and gives no word times; sessions run side by side."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    out = events.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Recognizer(model, settings, context, idle_seconds), outputStructType=RESULTS, outputMode="Update", timeMode="None" if idle_seconds is None else "ProcessingTime")
+    parsed = parse_output(F.col("raw"), F.lit(settings.language).cast("string"))
+    return out.withColumn("p", F.when(F.col("error").isNull(), parsed)).select("session_id", "chunk_id", "n_samples", "p.language", "p.text", "final", "error")
+
+
+def client_pushes(blocks: DataFrame, key: str, order: str, samples: str, rate: int, settings: StreamSettings) -> DataFrame:
+    """What a client sends of the blocks that it records at another rate: each block is resampled by steps, and the samples are pushed in full
+    chunks, the rest last: key, seq, samples. A recording's blocks come together in one array, so they are one client's."""
+    resampled = blocks.select(key, order, resample_step(F.col(samples), rate, settings.rate).alias("x"))
+    whole = resampled.groupBy(key).agg(F.flatten(in_order(F.col("x"), F.col(order))).alias("x")).where(F.size("x") > 0)
+    starts = F.sequence(F.lit(0), F.size("x") - 1, F.lit(settings.chunk))
+    return whole.select(key, F.posexplode(F.transform(starts, lambda s: F.slice("x", s + 1, F.lit(settings.chunk)))).alias("seq", "samples"))
+
+
 def rechunk_stream(pushes: DataFrame, chunk: int, idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
     """pushes: a stream of (session_id string, seq bigint, samples array<double>, last boolean). Without idle_seconds sessions end by
     their last push only; a run to the end of a finite input needs that, as timers would keep it waiting."""

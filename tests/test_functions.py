@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -87,6 +88,8 @@ def test_signals(spark):
     assert one(spark, S.to_mono(F.array(arr(1, 2, 3), arr(3, 2, 1)))) == [2.0, 2.0, 2.0]
     assert one(spark, S.to_mono(F.array(arr(1, 3), arr(2, 2), arr(0, 4)))) == [2.0, 2.0, 2.0]
     assert one(spark, S.normalize_peak(arr(4, -2))) == [1.0, -0.5] and one(spark, S.normalize_peak(arr(0.5, -0.2))) == [0.5, -0.2]
+    nan = one(spark, S.normalize_peak(arr(float("nan"), 2, 1)))
+    assert math.isnan(nan[0]) and nan[1:] == [1.0, 1.0]
     assert one(spark, S.normalize_peak(F.array().cast("array<double>"))) == []
     x = np.sin(np.arange(64) / 5)
     got = one(spark, S.resample_span(arr(*x), 64, 48))
@@ -97,3 +100,44 @@ def test_signals(spark):
     assert one(spark, S.marked_times(F.array(*map(F.lit, [7, 1, 7])), F.array(*map(F.lit, [3, 4, 5])), 7, 80.0)) == [240.0, 400.0]
     assert one(spark, S.argmax(arr(1, 3, 3))) == 1
     assert one(spark, S.pool_last(F.array(arr(1), arr(2), arr(3)), F.array(*map(F.lit, [1, 1, 0])))) == [2.0]
+
+
+def test_frames_are_clipped_before_the_mean(spark):
+    frames = lambda *x: F.array(*(F.array(*(F.lit(float(v)) for v in f)) for f in x))
+    assert one(spark, S.normalize_frames(frames((40000, 0), (-32768, 16384)), -32768, 32767)) == [0.5, -0.25]
+    assert [round(v, 9) for v in one(spark, S.normalize_frames(frames((4, 0), (-2, 2))))] == [0.5, 0.0]
+    assert one(spark, S.normalize_frames(frames((1.0000005, 0)))) == [0.5]
+    assert one(spark, S.normalize_frames(F.array().cast("array<array<double>>"))) == []
+
+
+def test_segments(spark):
+    at = lambda *x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    got = one(spark, S.segment_positions(at(7, 2), at(3, 4), F.lit(12)))
+    assert [tuple(r) for r in got] == [("text", 0, 2), ("sound", 2, 4), ("text", 6, 1), ("sound", 7, 3), ("text", 10, 2)]
+    assert [tuple(r) for r in one(spark, S.segment_positions(at(), at(), F.lit(3)))] == [("text", 0, 3)]
+    for offsets, lengths, total in (((2, 4), (3, 1), 9), ((2,), (5,), 6)):
+        with pytest.raises(Exception, match="positions don't match"):
+            one(spark, S.segment_positions(at(*offsets), at(*lengths), F.lit(total)))
+
+
+def test_loops_are_looked_for_where_they_may_be(spark):
+    """may_loop() is true wherever the collapse changes a text."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(400):
+        unit = "".join(rng.choice("abé") for _ in range(rng.randint(1, 20)))
+        texts.append("".join(rng.choice("xyz") for _ in range(rng.randint(0, 25))) + unit * rng.randint(18, 23) + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 45))))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(X.may_loop(F.col("t")).alias("m"), (X.collapse_patterns(F.col("t")) != F.col("t")).alias("c")).collect()
+    assert all(r.m for r in rows if r.c) and any(r.c for r in rows)
+    assert not any(r.m for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(X.may_loop(F.col("text")).alias("m")).limit(20).collect())
+
+
+def test_registered_functions(spark):
+    X.register_functions(spark)
+    raws = [None, " ", "language English<asr_text>Hello", "language cHINese\n<asr_text> x ", "plain text", "language None<asr_text> hi ", "LANGUAGE french<asr_text>a<asr_text>b", "noise\nlanguage english\nlanguage french<asr_text>t", "junk<asr_text>t", "language <asr_text>q", "z" * 30 + "<asr_text>" + "ab" * 40]
+    df = spark.createDataFrame([(r, f) for r in raws for f in (None, "", "German")], "raw string, forced string")
+    df.createOrReplaceTempView("raw_outputs")
+    got = spark.sql("SELECT raw, forced, parse_asr_output(raw, forced) AS p, parse_asr_output(raw) AS q FROM raw_outputs").collect()
+    want = df.select("raw", "forced", X.parse_output(F.col("raw"), F.col("forced")).alias("p"), X.parse_output(F.col("raw")).alias("q")).collect()
+    assert got == want

@@ -1,3 +1,5 @@
+import base64
+import io
 import random
 import wave
 
@@ -109,8 +111,110 @@ def test_files(spark, tmp_path):
     (tmp_path / "y.wav").write_bytes(b"no wave")
     got = {r.path[-5:]: (r.sr, r.samples) for r in files.decode_wave(files.read_audio(spark, f"{tmp_path}/*.wav"), "content").collect()}
     assert got == {"x.wav": (8000, [0.25, -0.25]), "y.wav": (None, None)}
-    files.save_config({"b": 1}, str(tmp_path / "c"))
-    assert files.load_config(str(tmp_path / "c")) == {"b": 1} and files.copy_sidecars(str(tmp_path / "c"), str(tmp_path / "d")) == ["config.json"]
+    files.save_config(spark, {"b": 1}, str(tmp_path / "c"))
+    assert files.load_config(spark, str(tmp_path / "c")) == {"b": 1} and files.copy_sidecars(spark, str(tmp_path / "c"), str(tmp_path / "d")) == ["config.json"]
+    assert files.load_config(spark, str(tmp_path / "d")) == {"b": 1}
+
+
+def wave_bytes(rate, width, frames):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(len(frames[0])), w.setsampwidth(width), w.setframerate(rate)
+        w.writeframes(b"".join((x + 128 if width == 1 else x).to_bytes(width, "little", signed=width > 1) for f in frames for x in f))
+    return out.getvalue()
+
+
+def test_waves_of_all_widths():
+    for width in (1, 2, 3, 4):
+        half = 1 << (8 * width - 2)
+        rate, x = files.wave_samples(wave_bytes(8000, width, [(half, 0), (-half, -half)]))
+        assert rate == 8000 and x.tolist() == [0.25, -0.5]
+    assert files.wave_samples(b"RIFF") == (None, None) and files.wave_samples(None) == (None, None)
+
+
+def test_load_audio_of_mixed_inputs(spark, tmp_path):
+    mono, fast = wave_bytes(16000, 2, [(16384,), (-8192,)]), wave_bytes(8000, 2, [(16384,), (-8192,)])
+    (tmp_path / "a.wav").write_bytes(mono)
+    rows = [(0, f"{tmp_path}/a.wav"), (1, "data:audio/wav;base64," + base64.b64encode(mono).decode()), (2, "https://h/x"), (3, "https://h/none"), (4, "missing.wav"), (5, "data:audio/wav;base64," + base64.b64encode(fast).decode()), (6, "data:audio/wav;base64,AAAA"), (7, None)]
+    df = spark.createDataFrame(rows, "id int, audio string")
+    fetch = lambda urls: [mono if u.endswith("/x") else None for u in urls]
+    resample = lambda x, rate, target: x.repeat(target // rate)
+    out = {r.id: r for r in files.load_audio(df, "audio", ("id",), files.read_audio(spark, str(tmp_path)), fetch, resampler=resample).collect()}
+    assert [out[i].kind for i in range(8)] == ["path", "base64", "url", "url", "path", "base64", "base64", "path"]
+    assert all(out[i].samples == [0.5, -0.25] for i in (0, 1, 2)) and out[5].samples == [0.5, 0.5, -0.25, -0.25]
+    assert [out[i].error for i in (3, 4, 6, 7)] == ["not fetched", "no such audio", "not decoded", "no such audio"] and all(out[i].samples is None for i in (3, 4, 6, 7))
+    bare = {r.id: r.error for r in files.load_audio(df, "audio", ("id",)).collect()}
+    assert bare[2] == "URLs need a fetcher" and bare[5] == "a rate of 8000 needs a resampler"
+
+
+def test_result_sink_and_cards(spark, tmp_path):
+    df = spark.createDataFrame([("a", "English", 'x "y"'), ("b", None, None)], "id string, language string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    files.sink_results(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", availableNow=True).awaitTermination()
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(['{"language":"English","text":"x \\"y\\""}', '{"language":"","text":""}'])
+    items = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(a).cast("double").alias("start_time"), F.lit(b).cast("double").alias("end_time")) for t, a, b in (("<b>&", 0.0, 0.2), ("none", None, 1.0), ("empty", 0.3, 0.3), ("late", 9.0, 9.5))))
+    cards = spark.range(1).select(files.timestamp_cards(items, F.array(*map(F.lit, range(10))), 10, lambda x: F.array_join(x, "-"))).first()[0]
+    assert cards == '<div class="word"><b>&lt;b&gt;&amp;</b><audio controls src="0-1"></audio></div>'
+
+
+def test_positions_over_many_partitions(spark):
+    """Borders of range partitions are sampled; without adaptive joins of partitions, too, each position comes once."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = chunking.with_positions(spark.range(0, 300_000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("k"), "id"), "k")
+        r = df.agg(F.count_distinct("position").alias("n"), F.min("position").alias("a"), F.max("position").alias("b")).first()
+        assert (r.n, r.a, r.b) == (300_000, 0, 299_999)
+        ordered = df.orderBy("position").select("k").collect()
+        assert all(a.k <= b.k for a, b in zip(ordered, ordered[1:]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_padding(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (2, 0, [4.0]), (3, 1, None), (4, None, [5.0])], "id int, b int, x array<float>")
+    got = {r.id: (r.x, r["mask"]) for r in chunking.pad_batches(df, "b", "x").collect()}
+    assert got == {1: ([1, 2, 3], [1, 1, 1]), 2: ([4, 0, 0], [1, 0, 0]), 3: ([], []), 4: ([5], [1])}
+
+
+def heard(audio, prompt):
+    """A model that says how much it heard, and what it was shown."""
+    return f" w{len(audio)}" if prompt else f"language English<asr_text>w{len(audio)}"
+
+
+def test_recognizing_sessions(spark, tmp_path):
+    settings = sessions.StreamSettings(chunk_seconds=4 / 16000, unfixed_chunks=2, unfixed_tokens=1)
+    one = [("s", "start", None), ("s", "push", [0.0] * 3), ("s", "push", [0.0] * 15), ("s", "push", None), ("s", "end", None), ("s", "push", [0.0]), ("t", "push", [1.0] * 9), ("u", "start", None), ("u", "end", None)]
+    rows = [(k, i, a, x) for i, (k, a, x) in enumerate(one)]
+    spark.createDataFrame(rows, sessions.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = sessions.run_to_end(sessions.recognize_stream(spark.readStream.schema(sessions.EVENTS).parquet(f"{tmp_path}/in"), heard, settings, idle_seconds=None), f"{tmp_path}/out").collect()
+    raw, want = "", []
+    for number, n in enumerate((4, 8, 12, 16, 18)):
+        words = sessions.pieces(raw)
+        kept = "" if number < 2 else "".join(words[: max(1 if n == 18 else 0, len(words) - 1)])
+        raw = kept + heard([0] * n, kept)
+        language, text = raw.removeprefix("language ").split("<asr_text>") if "<asr_text>" in raw else ("", raw.strip())
+        want.append((number, n, language, text, n == 18))
+    assert sorted((r.chunk_id, r.n_samples, r.language, r.text, r.final) for r in out if r.session_id == "s" and r.error is None) == want
+    assert [(r.session_id, r.error) for r in sorted(out) if r.error] == [("s", "unknown session"), ("t", "unknown session")]
+    assert [(r.chunk_id, r.text, r.final) for r in out if r.session_id == "u"] == [(None, "", True)]
+
+
+def test_client_pushes(spark):
+    settings = sessions.StreamSettings(chunk_seconds=4 / 16000)
+    df = spark.createDataFrame([("a", 1, [float(i) for i in range(6, 12)]), ("a", 0, [float(i) for i in range(6)]), ("b", 0, [])], "k string, o int, x array<double>")
+    got = sorted((r.k, r.seq, len(r.samples)) for r in sessions.client_pushes(df, "k", "o", "x", 32000, settings).collect())
+    assert got == [("a", 0, 4), ("a", 1, 2)]
+    assert sorted(sum((r.samples for r in sessions.client_pushes(df, "k", "o", "x", 32000, settings).orderBy("seq").collect()), [])) == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+
+
+def test_backends_by_name(spark):
+    pipeline.register_backend("counting", lambda f: [f"language English<asr_text>n {len(c)}" for c in f["chunk"]])
+    df = spark.createDataFrame([(0, [0.1] * 10, "", None)], "orig_index bigint, samples array<float>, context string, language string")
+    assert pipeline.transcribe(df, "counting").first().text == "n 10"
+    with pytest.raises(ValueError):
+        pipeline.transcribe(df, "none")
 
 
 def test_rechunking_does_not_depend_on_the_pushes(spark, tmp_path):
