@@ -110,9 +110,9 @@ def register_functions(spark) -> None:
     """parse_asr_output(raw, forced) and fix_repetitions(text) as SQL functions of the session: the same rules in SQL, inside the JVM."""
     bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     stripped = lambda c: f"regexp_replace({c}, r'\\A[{SPACE}]+|[{SPACE}]+\\z', '')"
-    runs = f"regexp_replace(x, r'(?s)(.)\\1{{{REPEATS},}}', '$1')"
-    loops = f"regexp_replace(s, r'(?s)(?=.{{{2 * REPEATS}}})(.{{1,{LONGEST_PERIOD}}}?)\\1{{{REPEATS - 1},}}', '$1')"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fix_repetitions(x STRING) RETURNS STRING RETURN {bound(runs, 's', loops)}")
+    runs = lambda c: f"regexp_replace({c}, r'(?s)(.)\\1{{{REPEATS},}}', '$1')"
+    fixed = lambda c: f"regexp_replace({runs(c)}, r'(?s)(?=.{{{2 * REPEATS}}})(.{{1,{LONGEST_PERIOD}}}?)\\1{{{REPEATS - 1},}}', '$1')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fix_repetitions(x STRING) RETURNS STRING RETURN {fixed('x')}")
     result = "named_struct('language', {}, 'text', {})".format
     tag, prefix = f"'{TEXT_TAG}'", f"'{LANGUAGE_PREFIX}'"
     lines = f"filter(transform(split(left(t, instr(t, {tag}) - 1), r'{LINE_END}'), y -> {stripped('y')}), y -> startswith(lower(y), {prefix}))"
@@ -121,7 +121,7 @@ def register_functions(spark) -> None:
     text = stripped(f"substring(t, instr(t, {tag}) + {len(TEXT_TAG)})")
     none = f"contains(lower(left(t, instr(t, {tag}) - 1)), '{LANGUAGE_PREFIX}none')"
     tagged = f"CASE WHEN instr(t, {tag}) = 0 THEN {result(chr(39) * 2, 't')} WHEN {none} THEN {result(chr(39) * 2, text)} ELSE {result(named, text)} END"
-    whole = f"CASE WHEN s = '' THEN {result(chr(39) * 2, chr(39) * 2)} WHEN forced != '' THEN {result('forced', 'fix_repetitions(s)')} ELSE {bound('fix_repetitions(s)', 't', tagged)} END"
+    whole = f"CASE WHEN s = '' THEN {result(chr(39) * 2, chr(39) * 2)} WHEN forced != '' THEN {result('forced', fixed('s'))} ELSE {bound(fixed('s'), 't', tagged)} END"
     source = "coalesce(raw, '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_asr_output(raw STRING, forced STRING DEFAULT NULL) RETURNS STRUCT<language: STRING, text: STRING> RETURN {bound(stripped(source), 's', whole)}")
 

@@ -197,7 +197,7 @@ def test_recognizing_sessions(spark, tmp_path):
         language, text = raw.removeprefix("language ").split("<asr_text>") if "<asr_text>" in raw else ("", raw.strip())
         want.append((number, n, language, text, n == 18))
     assert sorted((r.chunk_id, r.n_samples, r.language, r.text, r.final) for r in out if r.session_id == "s" and r.error is None) == want
-    assert [(r.session_id, r.error) for r in sorted(out) if r.error] == [("s", "unknown session"), ("t", "unknown session")]
+    assert [(r.session_id, r.error) for r in sorted(out, key=str) if r.error] == [("s", "unknown session"), ("t", "unknown session")]
     assert [(r.chunk_id, r.text, r.final) for r in out if r.session_id == "u"] == [(None, "", True)]
 
 
