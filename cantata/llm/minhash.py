@@ -23,7 +23,7 @@ At similarity 0.8 a pair shares no band of the default signature with probabilit
 Defined cases: a null text, or one without words, has an empty set, is linked with nothing and stays. A text with fewer
 words than a shingle has one shingle, the whole sequence. The component's id is the smallest id of its rows that isn't
 null (null if there is none); a row stays if its id is the component's. Rows that repeat an id with an equal set therefore stay or
-go together.
+go together. A very long text is handled whole, in one task. Bytes that aren't UTF-8 are letters. Other columns are not read.
 """
 
 from __future__ import annotations

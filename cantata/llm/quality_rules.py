@@ -8,7 +8,8 @@ one ordered conditional expression.
 
 All steps are DataFrame operations. Statistics are computed once and written to the shared folder.
 
-Defined cases: a null or empty text has statistics 0, too few words, and fails the base rules. Rows are judged one by one.
+Defined cases: a null or empty text has statistics 0, too few words, and fails the base rules. Rows are judged one by one, whole
+however long they are, with memory in proportion to a text's words.
 Labels that are null, or whose id has no document, aren't used; an id labelled twice counts with its smallest label. Without
 labels of both kinds the list is empty and everything that passes the base rules stays.
 """

@@ -8,7 +8,7 @@ shuffled, counts are combined before the shuffle, and texts never move; the coun
 salted join, as one value may make up a good part of the candidates.
 
 Defined cases: a null or empty text has no spans. A null owner or repository counts as the empty string. Offsets are code points,
-ends exclusive. Rows are scanned one by one, so repeated rows give repeated results (and one owner).
+ends exclusive. Rows are scanned one by one, whole however long they are, so repeated rows give repeated results (and one owner).
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ and fan out to all windows at the end, which loses nothing:
 Digits of passes 1 and 2 travel as 64-bit hashes (an anchor's with its context's, 128 bits for a context); every eight bytes of them go through a finalizer
 (common.mix), so that texts with equal values don't come in families. Pass 3 compares bytes, except for hot anchors, whose windows have 128 bits.
 
-What the passes tell a document's scan (repeated anchors; first places) is broadcast while it has at most LIMIT bytes;
-beyond that it reaches the documents through a shuffled join on their identity.
+At the end all spans that go are merged by document, and cut out. What the passes tell a document's scan (repeated anchors; places whose contexts are needed) is
+broadcast while it has at most LIMIT bytes, the merged spans while they have BROADCAST bytes; beyond that they reach the documents through a
+shuffled join on their identity.
 
 Defined cases: a null or empty text has no bytes and nothing removed. Documents are ordered by id, nulls last, then by a
 hash of the text; rows with equal id and text are one document and get equal results. Texts shorter than a window stay as
@@ -44,8 +45,8 @@ GRAM = 32
 CHUNK_BYTES = 1 << 18
 #: Windows that pass 3 orders at once, unless one anchor has more.
 ORDERED = 1 << 18
-#: Bytes of a broadcast lookup.
-LIMIT = 64 << 20
+#: Bytes of a broadcast lookup, and of the spans of all documents.
+LIMIT, BROADCAST = 64 << 20, 32 << 20
 #: Contexts of an anchor above which windows are grouped one by one.
 HOT = 16384
 
@@ -185,8 +186,8 @@ class Dedup:
         out.sort()
         return out
 
-    def places(self, select, schema: str, docs: DataFrame, extra: bool = False) -> DataFrame:
-        """Rows that select(scan, d, t, batch row offset, extra column) makes of the repeated anchors of each scan."""
+    def places(self, select, schema: str, docs: DataFrame) -> DataFrame:
+        """Rows that select(scan, d, t, rows) makes of the repeated anchors of each scan."""
         window, gram, repeated, flagged = self.window, self.gram, self.repeated, self.flagged
 
         def run(batches):
@@ -204,34 +205,65 @@ class Dedup:
                     if out is not None and out.num_rows:
                         yield out
 
-        columns = ["d", "t", "text", *(["places"] if flagged else []), *(["id"] if "id" in docs.columns and extra else []), *(["told"] if "told" in docs.columns else [])]
+        columns = ["d", "t", "text", *(["places"] if flagged else []), *(["told"] if "told" in docs.columns else [])]
         return docs.select(*columns).mapInArrow(frugal(run), schema)
 
-    def of_anchors(self) -> DataFrame:
+    def of_anchors(self, whole: bool) -> DataFrame:
+        """Places of repeated anchors; whole: with their contexts, and near and far, from which the windows that have them start."""
+
         def select(s, d, t, _):
             where = s.at - s.offsets[s.doc]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (s.gram.view(np.int64), s.context_hash().view(np.int64), d[s.doc], t[s.doc], where.astype(np.int32))], names=["h", "c", "d", "t", "pos"])
+            columns = {"d": d[s.doc], "t": t[s.doc], "pos": where.astype(np.int32)}
+            if whole:
+                lo, hi = s.windows()
+                columns = {"h": s.gram.view(np.int64), "c": s.context_hash().view(np.int64)} | columns | {"near": (s.at - hi).astype(np.int32), "far": (s.at - lo).astype(np.int32)}
+            else:
+                columns = {"h": s.gram.view(np.int64)} | columns
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
-        return self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int", self.docs)
+        return self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int, near int, far int" if whole else "h bigint, d bigint, t bigint, pos int", self.docs)
 
     def run(self) -> DataFrame:
         repeated = self.anchors()
         if repeated.count() * 8 <= self.limit:
             self.repeated = self.spark.sparkContext.broadcast(self.known(repeated, "h"))
-            flagged = self.of_anchors()
         else:
-            flagged = self.of_anchors().join(repeated, "h", "left_semi")
+            flagged = self.of_anchors(False).join(repeated, "h", "left_semi")
             places = flagged.groupBy("d", "t").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
             self.docs = self.scratch.keep(self.docs.join(places, ["d", "t"], "left"), "docs", self.rows)
             self.flagged = True
-            flagged = self.of_anchors()
         # Pass 2.
-        first = self.scratch.keep(flagged.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first", self.rows)
+        places = self.scratch.keep(self.of_anchors(True), "places", self.rows)
+        first = self.scratch.keep(places.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first", self.rows)
         several = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
         open_ = self.scratch.keep(first.join(several, "h"), "open", self.rows)
         # Pass 3.
-        found = self.scratch.keep(self.windows(open_), "found", self.rows)
-        return self.removal(first, found)
+        found = self.windows(open_)
+        return self.removal(self.spans(places, first, found))
+
+    def spans(self, places: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+        """(d, t, spans): starts and ends of the runs that go, one after the other. At a place that isn't its context's first all windows go."""
+        window = self.window
+        of = first.select("h", "c", F.col("d").alias("d1"), F.col("t").alias("t1"), F.col("pos").alias("pos1"))
+        late = places.join(of, ["h", "c"]).where("not (d = d1 and t = t1 and pos = pos1)").select("d", "t", (F.col("pos") - F.col("far")).cast("bigint").alias("a"), (F.col("pos") - F.col("near") + window).cast("bigint").alias("e"))
+
+        def runs(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                d, t, pos = (_numbers(batch.column(k)) for k in range(3))
+                bits = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), np.uint8).reshape(len(d), -1)
+                k, back = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+                start = np.ones(len(k), bool)
+                start[1:] = (k[1:] != k[:-1]) | (back[1:] != back[:-1] + 1)
+                begin = np.flatnonzero(start)
+                end = np.append(begin[1:], len(k)) - 1
+                at = k[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(t[at]), pa.array(pos[at] - back[end]), pa.array(pos[at] - back[begin] + window)], names=["d", "t", "a", "e"])
+
+        some = found.select("d", "t", "pos", "gone").mapInArrow(frugal(runs), "d bigint, t bigint, a bigint, e bigint")
+        every = late.unionByName(some).repartition(partitions(self.spark), "d", "t").sortWithinPartitions("d", "t", "a")
+        return self.scratch.keep(every.mapInArrow(frugal(_merged), "d bigint, t bigint, spans array<bigint>"), "spans", self.rows)
 
     def told(self, rows: DataFrame, columns: list[str], row_bytes: int):
         """Rows about places (h, c, d, t, pos and more) to broadcast: their keys, sorted, and the other columns; None if they are too many.
@@ -295,6 +327,8 @@ class Dedup:
 
         rows = self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int, size bigint, near int, far int, lead int, context binary", docs)
         rows = self.scratch.keep(rows, "contexts", self.rows)
+        if shipped is not None:
+            shipped.destroy()
         few = rows.where(F.col("size") <= hot).repartition(partitions(self.spark), "h").sortWithinPartitions("h").mapInArrow(frugal(_ordered(window, width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
         each = rows.where(F.col("size") > hot).mapInArrow(frugal(_exploded(window)), "h bigint, c bigint, d bigint, t bigint, pos int, back int, w bigint, v bigint")
         place = F.struct("d", "t", "pos")
@@ -303,74 +337,65 @@ class Dedup:
         many = late.mapInArrow(frugal(_bits(width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")
         return few.unionByName(many)
 
-    def removal(self, first: DataFrame, found: DataFrame) -> DataFrame:
-        width, window = self.window - self.gram + 1, self.window
-        empty = b"\0" * (-(-width // 8))
-        count = first.count() * 8 + found.count() * 24
-        shipped = None
-        if count <= self.limit:
-            keys, _ = self.told(first, [], 8)
-            late, gone = self.told(found, ["gone"], 0)
-            bits = np.frombuffer(b"".join(x.as_buffer() for chunk in gone["gone"].chunks for x in chunk), np.uint8).reshape(len(late), len(empty)) if len(late) else np.zeros((0, len(empty)), np.uint8)
-            shipped = self.spark.sparkContext.broadcast((keys, late, bits))
-            docs = self.docs
-            del keys, late, bits, gone
-            release()
-        else:
-            both = first.join(found, ["h", "c", "d", "t", "pos"], "left").select("d", "t", "pos", F.coalesce("gone", F.lit(bytearray(empty))).alias("gone"))
-            docs = self.by_document(both, ["gone"])
+    def removal(self, spans: DataFrame) -> DataFrame:
+        size = spans.agg(F.sum(F.size("spans") * 8 + 64)).first()[0] or 0
+        docs = self.docs.select("id", "d", "t", "text").join(F.broadcast(spans) if size <= BROADCAST else spans, ["d", "t"], "left")
         digests = self.digests
         schema = T.StructType(
-            [T.StructField("id", self.docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()) if self.digests else T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType(), False))]
+            [T.StructField("id", self.docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()) if digests else T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType(), False))]
         )
 
-        def select(s, d, t, rows):
-            lo, hi = s.windows()
-            pos = s.at - s.offsets[s.doc]
-            if shipped is not None:
-                keys, late, bits = shipped.value
-                key = place_key(s.gram, s.context_hash(), d[s.doc], t[s.doc], pos)
-                is_first = _member(keys, key)
-                has = np.flatnonzero(_member(late, key))
-                gone = bits[np.searchsorted(late, key[has])]
-            else:
-                listed = {(k, x["pos"]): x["gone"] for k, l in enumerate(rows.column(rows.schema.get_field_index("told")).to_pylist()) for x in l or ()}
-                mine = [listed.get(x) for x in zip(s.doc.tolist(), pos.tolist())]
-                is_first = np.array([x is not None for x in mine], bool)
-                has = np.flatnonzero(is_first)
-                gone = np.frombuffer(b"".join(mine[k] for k in has.tolist()), np.uint8).reshape(len(has), len(empty))
-            n = len(s.data)
-            step = np.zeros(n + 1, np.int32)
-            np.add.at(step, lo[~is_first], 1)
-            np.add.at(step, hi[~is_first] + window, -1)
-            k, back = np.nonzero(np.unpackbits(gone, axis=1, bitorder="little")[:, :width])
-            start = s.at[has][k] - back
-            np.add.at(step, start, 1)
-            np.add.at(step, start + window, -1)
-            covered = np.cumsum(step[:n]) > 0
-            edge = np.zeros(n + 1, np.int64)
-            np.cumsum(covered, out=edge[1:])
-            opens = covered.copy()
-            opens[1:] &= ~covered[:-1]
-            inner = s.offsets[:-1][s.offsets[:-1] < n]
-            opens[inner] = covered[inner]
-            closes = covered.copy()
-            closes[:-1] &= ~covered[1:] | opens[1:]
-            a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-            bound = np.searchsorted(a, s.offsets)
-            doc = np.repeat(np.arange(len(d)), np.diff(bound))
-            flat = np.stack([a - s.offsets[doc], b - s.offsets[doc]], 1).ravel() if len(a) else np.zeros(0, np.int64)
-            removed = edge[s.offsets[1:]] - edge[s.offsets[:-1]]
-            rest = s.data[~covered].tobytes()
-            size = np.diff(s.offsets)
-            ends = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
-            kept = (rest[x:y] for x, y in zip(ends, ends[1:]))
-            kept = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if digests else pa.array(list(kept), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("id")), pa.array(size), pa.array(removed), pa.array(np.diff(bound)), kept, pa.ListArray.from_arrays((2 * bound).astype(np.int32), flat)], names=schema.names
-            )
-
-        return self.places(select, schema, docs, extra=True)
+        def run(batches):
+            for batch in batches:
+                data, offsets = text_buffer(batch.column(1))
+                size = np.diff(offsets)
+                gone = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(2)]
+                kept = []
+                for k, cuts in enumerate(gone):
+                    edges = [0, *cuts.tolist(), int(size[k])]
+                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                    rest = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2])]) if len(cuts) else raw
+                    kept.append(hashlib.sha256(rest).hexdigest() if digests else rest)
+                count = np.array([len(x) // 2 for x in gone], np.int64)
+                removed = np.array([int((x[1::2] - x[::2]).sum()) for x in gone], np.int64)
+                flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(2 * count)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *gone]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), pa.array(count), pa.array(kept, pa.string() if digests else pa.binary()), flat], names=schema.names)
+
+        return docs.select("id", "text", "spans").mapInArrow(frugal(run), schema)
+
+
+def _merged(batches):
+    """Rows (d, t, a, e) by document and start: (d, t, spans) with the union of each document's spans; spans that touch are one."""
+
+    def merged(table):
+        d, t, a, e = (np.asarray(table.column(c)).astype(np.int64) for c in ("d", "t", "a", "e"))
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        doc = np.cumsum(new) - 1
+        lift = doc * (int(e.max()) + 1)  # documents one after the other, so that one running maximum serves all
+        reach = np.maximum.accumulate(e + lift)
+        fresh = new.copy()
+        fresh[1:] |= a[1:] + lift[1:] > reach[:-1]
+        begin = np.flatnonzero(fresh)
+        end = np.append(begin[1:], len(d)) - 1
+        flat = np.stack([a[begin], reach[end] - lift[end]], 1).ravel()
+        lead = np.flatnonzero(new)
+        count = np.bincount(doc[begin], minlength=len(lead))
+        return pa.RecordBatch.from_arrays([pa.array(d[lead]), pa.array(t[lead]), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(2 * count)]).astype(np.int32), flat)], names=["d", "t", "spans"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        d, t = np.asarray(table.column("d")), np.asarray(table.column("t"))
+        cut = len(d) - int(((d == d[-1]) & (t == t[-1]))[::-1].cumprod().sum())
+        if cut:
+            yield merged(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield merged(held)
 
 
 class Windows:

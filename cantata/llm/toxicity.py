@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, partitions, text_buffer, word_hashes, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal, mix, partitions, release, text_buffer, word_hashes, words
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -251,7 +251,11 @@ def _counted(sample: DataFrame) -> Trainer:
     seen = sample.where("role < 2").select("role", "__text").mapInArrow(frugal(run), "before bigint, word bigint, ordinary bigint, toxic bigint")
     got = seen.groupBy("before", "word").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic")).toArrow()
     before, word, ordinary, toxic = (np.asarray(got.column(c)) for c in got.column_names)
-    return Trainer(before.view(np.uint64), word.view(np.uint64), np.stack([ordinary, toxic], 1))
+    del got
+    out = Trainer(before.view(np.uint64), word.view(np.uint64), np.stack([ordinary, toxic], 1))
+    del before, word, ordinary, toxic
+    release()
+    return out
 
 
 def _placed(sample: DataFrame, trainer: Trainer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -268,15 +272,18 @@ def _placed(sample: DataFrame, trainer: Trainer) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([places[a:b].tobytes() for a, b in zip(first.tolist(), first[1:].tolist())], pa.binary())], names=["label", "places"])
 
     got = sample.where("role = 2").select("label", "__text").mapInArrow(frugal(run), "label int, places binary").toArrow()
-    raw = got.column("places").to_pylist()
+    shipped.destroy()
+    raw, y = got.column("places").to_pylist(), np.asarray(got.column("label")).astype(float)
+    del got
     first = np.concatenate([[0], np.cumsum([len(x) // 12 for x in raw])]).astype(np.int64)
-    places = np.frombuffer(b"".join(raw), "<i4").reshape(-1, 3)
-    return np.asarray(got.column("label")).astype(float), first, places[:, 0], places[:, 1], places[:, 2]
+    places = np.ascontiguousarray(np.frombuffer(b"".join(raw), "<i4").reshape(-1, 3).T)
+    del raw
+    release()
+    return y, first, *places
 
 
 def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame:
-    """word, n: of each word (its hash) in all documents, how many distinct words and text starts it follows. hot: sorted hashes of frequent words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(hot)
+    """word, n: of each word (its hash) in all documents, how many distinct words and text starts it follows. hot: sorted hashes of frequent words (at most 1 / HOT_SHARE)."""
     packed = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("words", "counts", "pairs"))])
 
     def distinct(word, pair, bucket):
@@ -309,7 +316,7 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
 
     def pack(held):
         word, pair = together(held)
-        wide = lookup(shipped.value, word) >= 0
+        wide = lookup(hot, word) >= 0
         bucket = (np.where(wide, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
         word, pair, bucket, begin = distinct(word, pair >> np.uint64(16), bucket)
         low = pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -378,10 +385,14 @@ def _shared(docs: DataFrame, vocabulary: np.ndarray, hot: np.ndarray, text_col:
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([words_, total])], names=["place", "n"])
 
     rows = _continuations(docs, hot, text_col).mapInArrow(frugal(run), "place bigint, n bigint").toArrow()
+    shipped.destroy()
     place, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("place", "n"))
     seen = np.zeros(len(vocabulary), np.int64)
     seen[place[place >= 0]] = n[place >= 0]
-    return (seen + 1.0) / (n[place < 0].sum() + 1.0)
+    below = n[place < 0].sum() + 1.0
+    del rows, place, n
+    release()
+    return (seen + 1.0) / below
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", id_col: str = "doc_id") -> Model | None:
@@ -415,7 +426,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
     now = best((k, NO_PAIRS, n) for k in CUTOFFS for n in STRETCHES)
     k, _, n, _ = now[1]
     now = min(now, best((k, c, n) for c in CUTOFFS), key=lambda x: x[0])
-    return trainer.model(shared, *now[1])
+    model = trainer.model(shared, *now[1])
+    del trainer, places, word, history, pair, shared, tried, best
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

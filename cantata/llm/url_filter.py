@@ -7,7 +7,7 @@ expressions, so an expression that a third of the URLs share enters that join on
 
 Defined cases: a null URL, or one without "://", has an empty host and path and meets no rule. An empty host meets none. Rules with a
 null host or path aren't used; a repeated rule counts once. Of rules of equal length the one with the longer host decides, then
-"block". Repeated rows are judged one by one.
+"block". Repeated rows are judged one by one; a URL has an expression for each label of its host and each length of a rule's path, however long it is.
 """
 
 from __future__ import annotations
