@@ -5,10 +5,11 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantata.functions.text import is_blank, let, strip
+from cantata.operators.chunking import with_positions
 
 #: Longest anomaly that copies its neighbours; longer ones are interpolated.
 SHORT_ANOMALY = 2
@@ -116,9 +117,11 @@ def merged_items(items: Column, order: Column) -> Column:
 
 
 def merge_languages_rows(df: DataFrame, key: str, order: str, language: str) -> DataFrame:
-    """The same from rows by windows, for groups too long for one array: neighbours are compared where they lie. Groups without a
-    language keep their row, with the empty string."""
+    """The same from rows, for groups of any length: rows are numbered over all groups, and each is compared with the one before it by a
+    join on the number, so no group comes together before equal neighbours have gone. Groups without a language keep their row, with the empty string."""
     named = df.select(key, order, strip(F.coalesce(F.col(language), F.lit(""))).alias("l")).where("l != ''")
-    before = F.lag("l").over(Window.partitionBy(key).orderBy(order))
-    kept = named.withColumn("b", before).where("b is null or b != l").groupBy(key).agg(F.array_join(in_order(F.col("l"), F.col(order)), ",").alias("languages"))
-    return df.select(key).distinct().join(kept, key, "left").select(key, F.coalesce("languages", F.lit("")).alias("languages"))
+    placed = with_positions(named.withColumn("__o", F.struct(key, order)), "__o", "__at").drop("__o")
+    before = placed.select((F.col("__at") + 1).alias("__at"), F.col(key).alias("__key"), F.col("l").alias("b"))
+    kept = placed.join(before, "__at", "left").where(F.col("b").isNull() | ~F.col(key).eqNullSafe(F.col("__key")) | (F.col("b") != F.col("l"))).groupBy(key).agg(F.array_join(in_order(F.col("l"), F.col(order)), ",").alias("languages"))
+    every = df.select(F.col(key).alias("__key")).distinct().join(kept, F.col("__key").eqNullSafe(F.col(key)), "left")
+    return every.select(F.col("__key").alias(key), F.coalesce("languages", F.lit("")).alias("languages"))

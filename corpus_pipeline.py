@@ -33,7 +33,7 @@ def without(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go. Rows are judged by their texts: others with the same or no id stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     judged = toxicity.score(docs.withColumn("hash", text_hash()), model, keep=("doc_id", "hash"))
     return without(docs, judged.where("score >= 0.5"), Scratch(spark))
@@ -50,14 +50,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verbatim window of a benchmark item go."""
+    """Documents with a verbatim window of a benchmark item go. Rows are judged by their texts: others with the same or no id stay."""
     keep = ("doc_id", "hash")
     found = decontaminate.digest(decontaminate.find(docs.withColumn("hash", text_hash()), table(spark, sf_dir, "benchmark"), keep=keep), keep)
     return without(docs, found.where("contaminated"), Scratch(spark))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked and their documents stay; n_chars follows the text. Overlapping spans are masked as one."""
+    """Secrets are masked and their documents stay; n_chars follows the text. Overlapping spans are masked as one. Rows are masked by id
+    and text, so repeated ids and null ones make no difference."""
     scratch, columns = Scratch(spark), docs.columns
     mark = F.xxhash64(F.col("text"))
     found = secrets.scan(docs.select("doc_id", "source", "text", mark.alias("__hash")), keep=("doc_id", "__hash")).where(F.size("found") > 0)
