@@ -46,6 +46,8 @@ MAX_MODEL_BYTES = 128 << 20
 HELD_PAIRS = 1 << 21
 #: Groups that the corpus's words are dealt to. The pairs of a word that makes up more than HOT_SHARE of the sample go to all of them.
 BUCKETS, HOT_SHARE = 4096, 1e-3
+#: Parts in which a task sorts its pairs: by the first two bits of a word's hash, or by the bucket.
+PARTS = 4
 ORDINARY, TOXIC = 0, 1
 
 _ODD = np.uint64(0xA0761D6478BD642F)
@@ -302,9 +304,20 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
         held.clear()
         return word, pair
 
+    def in_parts(word, pair, part):
+        """Word, pair and part number (below PARTS) of one part after the other, so that what sorting takes is that much less."""
+        for k in range(PARTS):
+            some = np.flatnonzero(part == k)
+            yield word[some], pair[some], some
+
     def merged(held):
+        """Distinct pairs by word, and where each word begins (n + 1)."""
         word, pair = together(held)
-        return distinct(word, pair, np.zeros(len(word), np.uint16))
+        done = [distinct(w, p, np.zeros(len(w), np.uint16)) for w, p, _ in in_parts(word, pair, word >> np.uint64(62))]
+        del word, pair
+        at = np.cumsum([0, *(len(x[0]) for x in done)])
+        begin = np.concatenate([*(x[3][:-1] + a for x, a in zip(done, at)), at[-1:]])
+        return np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done]), None, begin
 
     def planes(x):
         """All first bytes, then all second ones and so on: sorted values have equal high bytes, which the shuffle compresses."""
@@ -318,7 +331,11 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
         word, pair = together(held)
         wide = lookup(hot, word) >= 0
         bucket = (np.where(wide, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
-        word, pair, bucket, begin = distinct(word, pair >> np.uint64(16), bucket)
+        for w, p, some in in_parts(word, pair, bucket // (BUCKETS // PARTS)):
+            if len(w):
+                yield from packed_part(*distinct(w, p >> np.uint64(16), bucket[some]))
+
+    def packed_part(word, pair, bucket, begin):
         low = pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         count = np.diff(begin).astype("<u4")
         lead = word[begin[:-1]]
