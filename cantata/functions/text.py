@@ -111,7 +111,12 @@ def register_functions(spark) -> None:
     bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     stripped = lambda c: f"regexp_replace({c}, r'\\A[{SPACE}]+|[{SPACE}]+\\z', '')"
     runs = lambda c: f"regexp_replace({c}, r'(?s)(.)\\1{{{REPEATS},}}', '$1')"
-    fixed = lambda c: f"regexp_replace({runs(c)}, r'(?s)(?=.{{{2 * REPEATS}}})(.{{1,{LONGEST_PERIOD}}}?)\\1{{{REPEATS - 1},}}', '$1')"
+    patterns = rf"r'(?s)(?=.{{{2 * REPEATS}}})(.{{1,{LONGEST_PERIOD}}}?)\1{{{REPEATS - 1},}}'"
+    step = LONGEST_PERIOD // 2
+    part = "coalesce(get(q, {}), '')".format
+    ahead = f"concat(substring({part('i')}, 2, {step}), {part('i + 1')}, {part('i + 2')})"
+    loops = bound(f"regexp_extract_all(u, r'(?s).{{1,{step}}}', 0)", "q", f"exists(transform(q, (p, i) -> length(p) = {step} AND contains({ahead}, p)), z -> z)")  # as may_loop()
+    fixed = lambda c: bound(runs(c), "u", f"CASE WHEN {loops} THEN regexp_replace(u, {patterns}, '$1') ELSE u END")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fix_repetitions(x STRING) RETURNS STRING RETURN {fixed('x')}")
     result = "named_struct('language', {}, 'text', {})".format
     tag, prefix = f"'{TEXT_TAG}'", f"'{LANGUAGE_PREFIX}'"

@@ -167,14 +167,16 @@ SELECT vec_id, CAST(unnest(range(8)) AS INTEGER) AS pos,
 
 
 def softmax_argmax(spark, sf):
-    logits = F.slice("x", 1, 2)
-    p = S.softmax(logits)
-    return signals(spark, sf).select("vec_id", F.round(F.get(p, F.lit(0)), 6).alias("incomplete_prob"), F.round(F.get(p, F.lit(1)), 6).alias("complete_prob"), F.get(F.array(*map(F.lit, TURN_LABELS)), S.argmax(logits)).alias("label"))
+    """A vector as pairs of logits."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice("x", 2 * i + 1, 2))
+    rows = signals(spark, sf).select("vec_id", F.posexplode(logits).alias("pos", "l")).select("vec_id", "pos", "l", S.softmax(F.col("l")).alias("p"))
+    return rows.select("vec_id", "pos", F.round(F.get("p", F.lit(0)), 6).alias("incomplete_prob"), F.round(F.get("p", F.lit(1)), 6).alias("complete_prob"), F.get(F.array(*map(F.lit, TURN_LABELS)), S.argmax(F.col("l"))).alias("label"))
 
 
 SOFTMAX_SQL = f"""
-WITH l AS (SELECT vec_id, e[1] AS a, e[2] AS b, greatest(e[1], e[2]) AS m FROM (SELECT vec_id, {DOUBLES} AS e FROM embeddings))
-SELECT vec_id, round(exp(a - m) / (exp(a - m) + exp(b - m)), 6) AS incomplete_prob, round(exp(b - m) / (exp(a - m) + exp(b - m)), 6) AS complete_prob, CASE WHEN b > a THEN 'complete' ELSE 'incomplete' END AS label FROM l"""
+WITH r AS (SELECT vec_id, {DOUBLES} AS e, unnest(range(32)) AS pos FROM embeddings),
+l AS (SELECT vec_id, pos, e[2 * pos + 1] AS a, e[2 * pos + 2] AS b, greatest(e[2 * pos + 1], e[2 * pos + 2]) AS m FROM r)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(exp(a - m) / (exp(a - m) + exp(b - m)), 6) AS incomplete_prob, round(exp(b - m) / (exp(a - m) + exp(b - m)), 6) AS complete_prob, CASE WHEN b > a THEN 'complete' ELSE 'incomplete' END AS label FROM l"""
 
 
 def binary_metrics(spark, sf):
@@ -220,15 +222,16 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, part
 
 
 def batch_padding(spark, sf):
-    """Signals of different lengths in batches of eight, padded to the longest of the batch."""
-    df = signals(spark, sf).select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), F.slice("x", 1, (F.col("vec_id") % 50).cast("int")).alias("x"))
+    """Word lengths of documents as signals, in batches of eight, padded to the longest of the batch."""
+    x = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
+    df = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), x.alias("x"))
     out = chunking.pad_batches(df, "batch", "x")
-    return out.select("vec_id", "batch", F.size("x").alias("n"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("valid"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    return out.select("doc_id", "batch", F.size("x").alias("n"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("valid"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-PADDING_SQL = f"""
-SELECT vec_id, vec_id // 8 AS batch, CAST(max(vec_id % 50) OVER (PARTITION BY vec_id // 8) AS INTEGER) AS n, CAST(vec_id % 50 AS INTEGER) AS valid,
-  round(list_reduce({DOUBLES}[1:vec_id % 50], lambda a, b: a + b, CAST(0 AS DOUBLE)), 6) + 0.0 AS total FROM embeddings"""
+PADDING_SQL = """
+WITH x AS (SELECT doc_id, doc_id // 8 AS batch, coalesce(list_transform(string_split(text, ' '), lambda w: length(w)), CAST([] AS BIGINT[])) AS x FROM documents)
+SELECT doc_id, batch, CAST(max(len(x)) OVER (PARTITION BY batch) AS INTEGER) AS n, CAST(len(x) AS INTEGER) AS valid, CAST(coalesce(list_sum(x), 0) AS DOUBLE) AS total FROM x"""
 
 
 def label_mask(spark, sf):
@@ -327,13 +330,16 @@ def stream_state(spark, sf):
 
 
 def pcm_ingest(spark, sf):
-    df = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, "text/plain").otherwise(files.PCM_TYPE).alias("mime"), F.encode(F.repeat(F.lit("x"), (F.col("event_id") % 12).cast("int")), "utf-8").alias("payload"))
+    """Events as pushes: type and properties are the body, and sign-ups come as text."""
+    mime = F.when(F.col("event_type") == "signup", "text/plain").otherwise(files.PCM_TYPE)
+    df = table(spark, sf, "events").select("event_id", mime.alias("mime"), F.encode(F.concat("event_type", "props"), "utf-8").alias("payload"))
     good, bad = files.split_pushes(df, "mime", "payload")
     return good.select(F.lit("accepted").alias("error"), F.octet_length("payload").alias("n")).unionByName(bad.select("error", F.octet_length("payload").alias("n"))).groupBy("error").agg(F.count("*").alias("pushes"), F.sum("n").alias("bytes"))
 
 
 PCM_SQL = """
-SELECT CASE WHEN event_id % 9 = 0 THEN 'wrong content type' WHEN (event_id % 12) % 4 != 0 THEN 'length is not a multiple of 4' ELSE 'accepted' END AS error, count(*) AS pushes, CAST(sum(event_id % 12) AS BIGINT) AS bytes FROM events GROUP BY 1"""
+WITH p AS (SELECT event_type, octet_length(encode(event_type || props)) AS n FROM events)
+SELECT CASE WHEN event_type = 'signup' THEN 'wrong content type' WHEN n % 4 != 0 THEN 'length is not a multiple of 4' ELSE 'accepted' END AS error, count(*) AS pushes, CAST(sum(n) AS BIGINT) AS bytes FROM p GROUP BY 1"""
 
 
 def corpus_stats(spark, sf):

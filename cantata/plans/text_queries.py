@@ -186,22 +186,33 @@ def json_parse(spark, sf):
 
 JSON_SQL = "SELECT event_id, coalesce(list_contains(json_keys(props), 'k'), false) AS had, 'over' AS k, CAST(coalesce(len(json_keys(props)), 0) AS INTEGER) AS n FROM events"
 
-NAMES = ["forced_aligner  demo", "x", "", "áb_cd", "A__b"]
+#: Aliases, paths and labels by the remainder of a part's size.
+ALIASES = {0: " BF16", 1: "half", 2: "fp32", 3: "int8", 4: "Float16"}
+PATHS = {0: ("checkpoint-", ""), 1: ("checkpoint-", "x"), 2: ("a/checkpoint-", ""), 3: ("checkpoint-00", "")}
 
 
 def small_text(spark, sf):
-    """Display names, dtype aliases, language listings, checkpoint names and lenient labels, on literal rows."""
-    rows = [(i, n, d, l, c) for i, (n, d, l, c) in enumerate(zip(NAMES, [" BF16", "half", "fp32", "int8", "Float16"], [["B", "a", "b"], ["x"], [], None, ["Z", "z"]], ["checkpoint-10", "checkpoint-", "checkpoint-9x", "a/checkpoint-1", "checkpoint-007"]))]
-    df = spark.createDataFrame(rows, "id int, name string, dtype string, names array<string>, path string")
-    return df.select(
-        "id", X.display_name(F.col("name")).alias("display"), X.dtype_name(F.col("dtype")).alias("dtype"), F.array_join(X.language_listing(F.col("names")), ",").alias("listing"), X.checkpoint_step(F.col("path")).alias("step"),
-        X.turn_label(F.when(F.col("id") % 2 == 0, " Complete").otherwise("done")).alias("label"),
-    )
+    """Display names, dtype aliases, language listings, checkpoint names and lenient labels, made of the parts' names, types and numbers."""
+    size = F.col("p_size")
+    pick = lambda n, values, f: F.coalesce(*(F.when(size % n == k, f(v)) for k, v in values.items()))
+    names = F.concat(F.split("p_name", " "), F.array("p_type", "p_brand", F.lower("p_type")))
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        X.display_name(F.concat(F.lit("_"), "p_name", F.lit("__ "), F.lower("p_type"))).alias("display"),
+        X.dtype_name(pick(len(ALIASES), ALIASES, F.lit)).alias("dtype"),
+        F.array_join(X.language_listing(F.when(size % 7 != 0, names)), ",").alias("listing"),
+        X.checkpoint_step(pick(len(PATHS), PATHS, lambda v: F.concat(F.lit(v[0]), F.col("p_partkey").cast("string"), F.lit(v[1])))).alias("step"),
+        X.turn_label(F.when(size % 2 == 0, " Complete").otherwise(F.col("p_type"))).alias("label"),
+    )
 
 
-SMALL_SQL = """
-SELECT * FROM (VALUES (0, 'Forced Aligner Demo', 'bfloat16', 'a,b', CAST(10 AS BIGINT), 'complete'), (1, 'X', 'float16', 'x', NULL, NULL), (2, '', 'float32', '', NULL, 'complete'), (3, 'Áb Cd', NULL, NULL, NULL, NULL),
-  (4, 'A B', 'float16', 'z', 7, 'complete')) v(id, display, dtype, listing, step, label)"""
+SMALL_SQL = f"""
+WITH n AS (SELECT *, string_split(p_name, ' ') || [p_type, p_brand, lower(p_type)] AS names FROM part)
+SELECT p_partkey,
+  array_to_string(list_transform(list_filter(regexp_split_to_array(replace('_' || p_name || '__ ' || lower(p_type), '_', ' '), ' +'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), ' ') AS display,
+  CASE p_size % 5 WHEN 0 THEN 'bfloat16' WHEN 1 THEN 'float16' WHEN 2 THEN 'float32' WHEN 4 THEN 'float16' END AS dtype,
+  CASE WHEN p_size % 7 != 0 THEN array_to_string(list_sort(list_distinct(list_transform(names, lambda x: lower(x)))), ',') END AS listing,
+  CASE WHEN p_size % 4 IN (0, 3) THEN p_partkey END AS step, CASE WHEN p_size % 2 = 0 THEN 'complete' END AS label FROM n"""
 
 
 def results_json(spark, sf):

@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import math
+import time
 
 import pytest
 
@@ -21,6 +22,10 @@ def con():
     return c
 
 
+#: No query may take longer on the smallest tables.
+SECONDS = 60
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(v + 0.0)
@@ -29,9 +34,11 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, con, name):
+    began = time.monotonic()
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
+    assert time.monotonic() - began < SECONDS
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
         assert got

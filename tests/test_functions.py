@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -141,3 +142,37 @@ def test_registered_functions(spark):
     got = spark.sql("SELECT raw, forced, parse_asr_output(raw, forced) AS p, parse_asr_output(raw) AS q FROM raw_outputs").collect()
     want = df.select("raw", "forced", X.parse_output(F.col("raw"), F.col("forced")).alias("p"), X.parse_output(F.col("raw")).alias("q")).collect()
     assert got == want
+
+
+def test_scans_against_plain_loops(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(2) for _ in range(n)], sorted(rng.randrange(200) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 7, 8, 9, 40])]
+    df = spark.createDataFrame(rows, "i int, m array<int>, v array<bigint>")
+    out = df.select("i", S.cumulative(F.col("v")).alias("c"), S.mask_positions(F.col("m")).alias("p"), S.range_chunks(F.col("v"), 10).alias("k"), S.scatter(F.col("m"), 1, F.col("v")).alias("s"))
+    for r in out.orderBy("i").collect():
+        _, m, v = rows[r.i]
+        assert r.c == [sum(v[:k]) for k in range(len(v) + 1)]
+        assert r.p == [sum(m[: k + 1]) - 1 if m[k] else 1 for k in range(len(m))]
+        at, chunks = 1, []
+        for x in v:
+            at += x >= at * 10
+            chunks.append(at - 1)
+        assert r.k == chunks
+        assert r.s == [v[sum(m[:k])] if m[k] else None for k in range(len(m))]
+
+
+def test_long_signals_take_linear_time(spark):
+    """Twenty seconds of samples in a row, and a hundred rows of short ones: a bound array is computed once, not for each element."""
+    n, began = 320_000, time.monotonic()
+    x = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i.cast("double")) * 3)
+    frames = F.transform(F.sequence(F.lit(0), F.lit(n // 2 - 1)), lambda i: F.array(i % 7 - 3.0, i % 5 - 2.0))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 2)
+    row = spark.range(1).select(
+        total(S.normalize_peak(x)).alias("a"), total(S.normalize_frames(frames)).alias("b"), total(S.to_mono(frames)).alias("c"), F.size(S.resample_step(x, 48_000, 16_000)).alias("d"), F.size(S.resample_span(x, 48_000, 16_000)).alias("e"),
+        F.element_at(S.cumulative(mask), -1).alias("f"), F.array_max(S.mask_positions(mask)).alias("g"),
+    ).first()
+    k = np.arange(n // 2)
+    assert abs(row.b - np.sum((k % 7 - 3.0) / 3 + (k % 5 - 2.0) / 3) / 2) < 1e-6 and abs(row.c - np.sum(k % 7 - 3.0 + k % 5 - 2.0) / 2) < 1e-6
+    assert (row.d, row.e, row.f, row.g) == (106_667, 106_667, n // 2, n // 2 - 1)
+    assert time.monotonic() - began < 60
