@@ -99,3 +99,26 @@ edges AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a),
 kept AS (SELECT doc_id, string_agg(hex(b[edges.a:coalesce(edges.e, n)]), '' ORDER BY edges.a) AS h FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _assigned(at: str) -> str:
+    return f"SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.*, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i]))) AS d FROM v CROSS JOIN {at} k) GROUP BY r"
+
+
+def _moved(assigned: str, at: str) -> str:
+    floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    sums = f"SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(64)) AS i FROM {assigned}) GROUP BY c, i"
+    return f"SELECT k.c, coalesce(m.x, k.x) AS x FROM {at} k LEFT JOIN (SELECT c, list({floor} ORDER BY i) AS x FROM ({sums}) GROUP BY c) m USING (c)"
+
+
+#: Three rounds, written out.
+CENTROIDS = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16)),
+a1 AS MATERIALIZED ({_assigned('k0')}), k1 AS MATERIALIZED ({_moved('a1', 'k0')}),
+a2 AS MATERIALIZED ({_assigned('k1')}), k2 AS MATERIALIZED ({_moved('a2', 'k1')}),
+a3 AS MATERIALIZED ({_assigned('k2')}), k3 AS MATERIALIZED ({_moved('a3', 'k2')}),
+a4 AS MATERIALIZED ({_assigned('k3')})
+SELECT vec_id, CAST(a4.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a4.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k3.x, ',')) AS centroid_sha256
+FROM a4 JOIN k3 USING (c)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import bpe, decontaminate, html_extract, licenses, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from cantata.llm import bpe, centroids, decontaminate, html_extract, licenses, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "pipeline": pipeline}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "op11_centroid_clustering": op11_centroid_clustering, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -90,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": oracles.url_filter(URL_RULES),
         "op9_minhash": oracles.NEAR_DUPLICATES,
         "op10_suffix_dedup": oracles.REPEATS,
+        "op11_centroid_clustering": oracles.CENTROIDS,
     }
