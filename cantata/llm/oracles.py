@@ -122,3 +122,12 @@ a3 AS MATERIALIZED ({_assigned('k2')}), k3 AS MATERIALIZED ({_moved('a3', 'k2')}
 a4 AS MATERIALIZED ({_assigned('k3')})
 SELECT vec_id, CAST(a4.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a4.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k3.x, ',')) AS centroid_sha256
 FROM a4 JOIN k3 USING (c)"""
+
+#: Turns as the template renders them; RE2 has no lookahead, so marks are escaped one by one.
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<turn:', '\<turn:'), '</turn>', '\</turn>')".format
+CHATS = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<turn:' || replace({_ESCAPED('role')}, '>', '\>') || '>' || chr(10) || {_ESCAPED('text')} || '</turn>' || chr(10))) AS formatted FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c"""
