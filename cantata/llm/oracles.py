@@ -131,3 +131,24 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
   sum(length('<turn:' || replace({_ESCAPED('role')}, '>', '\>') || '>' || chr(10) || {_ESCAPED('text')} || '</turn>' || chr(10))) AS formatted FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c"""
+
+#: zlib's checksum of a decimal number: the shift register over its digits, one bit after the other.
+_CRC32 = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda u, k: CASE WHEN u & 1 = 1 THEN xor(u >> 1, CAST(3988292384 AS BIGINT)) ELSE u >> 1 END)), CAST(4294967295 AS BIGINT))""".format
+#: Prefixes as digests of all turns so far; what lies below a node is found by the prefixes of the nodes' smallest members.
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) - 1 AS p FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_CRC32('conv_id')} % 4 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS part, p, mark, words FROM c JOIN t ON t.conv_id = c.base AND p < h UNION ALL SELECT c.conv_id, 1, p, mark, words FROM c JOIN t ON t.conv_id = c.conv_id AND p >= h),
+q AS (SELECT conv_id, words, row_number() OVER w AS d, md5(string_agg(mark, '') OVER w) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)),
+x AS MATERIALIZED (SELECT conv_id, words, d, k FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, any_value(words) AS words, count(*) AS n_convs FROM x GROUP BY k, d),
+up AS (SELECT DISTINCT a.k, b.k AS parent FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.d = b.d + 1),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+below AS (SELECT a.k, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved FROM m JOIN x a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.k),
+size AS (SELECT conv_id, arg_max(k, d) AS k FROM x GROUP BY conv_id),
+ends AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM size GROUP BY k)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM m JOIN below USING (k) LEFT JOIN up USING (k) LEFT JOIN n p ON p.k = up.parent LEFT JOIN ends ON ends.k = m.k"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import bpe, centroids, chat_format, decontaminate, html_extract, licenses, minhash, oracles, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from cantata.llm import bpe, centroids, chat_format, decontaminate, html_extract, licenses, minhash, oracles, prefix_trie, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
 #: A conversation that speaks the marks of chat templates.
 MARKS_ID, MARKS_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -93,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "op11_centroid_clustering": op11_centroid_clustering, "op13_chat_format": op13_chat_format, "pipeline": pipeline}
+    return {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_secrets": op4_secrets, "op5_url_filter": op5_url_filter, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_html_extract": op8_html_extract, "op9_minhash": op9_minhash, "op10_suffix_dedup": op10_suffix_dedup, "op11_centroid_clustering": op11_centroid_clustering, "op12_prefix_trie": op12_prefix_trie, "op13_chat_format": op13_chat_format, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -106,5 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_minhash": oracles.NEAR_DUPLICATES,
         "op10_suffix_dedup": oracles.REPEATS,
         "op11_centroid_clustering": oracles.CENTROIDS,
+        "op12_prefix_trie": oracles.PREFIX_TRIE,
         "op13_chat_format": oracles.CHATS,
     }
