@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cantata.plans import signal_queries, text_queries
+from cantata.plans import scoring_queries, signal_queries, text_queries
 
 
 def _all() -> dict:
-    return text_queries.QUERIES | signal_queries.QUERIES
+    return text_queries.QUERIES | signal_queries.QUERIES | scoring_queries.QUERIES
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantata.functions import signal as S
+from cantata.functions.text import let
 from cantata.model import TURN_LABELS
 from cantata.operators import align, chunking, datasets
 from cantata.plans.text_queries import table
@@ -106,12 +107,16 @@ SELECT vec_id, CAST(unnest(range(32)) AS INTEGER) AS pos, unnest(list_transform(
 
 
 def integer_normalize(spark, sf):
-    x = F.transform("x", lambda v: F.round(v * 20000))
-    pcm = F.transform(x, lambda v: F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0)))
-    byte = F.transform(x, lambda v: F.pmod(v, F.lit(256.0)))
-    frames = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.get(x, 2 * i), F.get(x, 2 * i + 1)))
-    parts = (S.from_int16(pcm), S.normalize_integers(pcm, -32768, 32767), S.normalize_integers(byte, 0, 255), S.normalize_frames(frames, -32768, 32767), S.normalize_frames(frames))
-    return spread(signals(spark, sf).select("vec_id", rounded(F.concat(*parts)).alias("y")), "vec_id")
+    """Vectors as integer samples: 16 bits, 8 bits, and as frames of two channels, integer and floating."""
+
+    def parts(x):
+        pcm = F.transform(x, lambda v: F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0)))
+        byte = F.transform(x, lambda v: F.pmod(v, F.lit(256.0)))
+        frames = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(x, 2 * i + 1, 2))
+        return F.concat(S.from_int16(pcm), S.normalize_integers(pcm, -32768, 32767), S.normalize_integers(byte, 0, 255), S.normalize_frames(frames, -32768, 32767), S.normalize_frames(frames))
+
+    all_ = let(F.transform("x", lambda v: F.round(v * 20000)), parts)
+    return spread(signals(spark, sf).select("vec_id", F.transform(all_, lambda v: v + 0.0).alias("y")), "vec_id")  # unrounded: these are fractions of powers of two, many of which lie halfway
 
 
 INTEGER_SQL = f"""
@@ -120,7 +125,7 @@ p AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) AS p FROM x),
 y AS (SELECT vec_id, list_transform(x, lambda v: least(greatest(v, -32768), 32767) / 32768.0) AS a, list_transform(x, lambda v: ((v % 256 + 256) % 256 - 128) / 128.0) AS b,
   list_transform(x, lambda v: least(greatest(v / 32768.0, -1.0), 1.0)) AS c, list_transform(x, lambda v: least(greatest(CASE WHEN p > 1 + 1e-6 THEN v / (p + 1e-12) ELSE v END, -1.0), 1.0)) AS d FROM p),
 z AS (SELECT vec_id, a || a || b || list_transform(range(32), lambda i: (c[2 * i + 1] + c[2 * i + 2]) / 2) || list_transform(range(32), lambda i: (d[2 * i + 1] + d[2 * i + 2]) / 2) AS z FROM y)
-SELECT vec_id, CAST(unnest(range(256)) AS INTEGER) AS pos, unnest(list_transform(z, lambda v: round(CAST(v AS DOUBLE), 6) + 0.0)) AS value FROM z"""
+SELECT vec_id, CAST(unnest(range(256)) AS INTEGER) AS pos, unnest(list_transform(z, lambda v: CAST(v AS DOUBLE) + 0.0)) AS value FROM z"""
 
 
 def resample_linear(spark, sf):
