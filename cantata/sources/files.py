@@ -67,6 +67,22 @@ def decode_wave(df: DataFrame, content: str, keep: tuple[str, ...] = ("path",),
     return df.select(*keep, content).mapInArrow(run, T.StructType(fields))
 
 
+def _with_files(rows: DataFrame, audio_files: DataFrame) -> DataFrame:
+    """rows with the content of the files that paths name as __bytes. Names are matched first; then the contents of the named files alone are joined. Of several files with
+    one name but for the scheme, the first by its full path counts."""
+    from cantata.operators.joins import small_side
+    from cantata.sources import routing
+
+    plain = lambda c: F.regexp_replace(c, r"\A[a-z0-9]+:(//)?(?=/)", "")
+    paths = rows.where(F.col("kind") == routing.PATH)
+    asked = paths.select(plain(F.col("__source")).alias("__plain")).distinct()
+    named = audio_files.select(plain(F.col("path")).alias("__plain"), "path").groupBy("__plain").agg(F.min("path").alias("__file")).join(asked, "__plain")
+    count = named.count()
+    content = audio_files.select(F.col("path").alias("__file"), F.col("content").alias("__content")).join(small_side(named.select("__file"), count, 300), "__file", "left_semi")
+    found = paths.withColumn("__plain", plain(F.col("__source"))).join(small_side(named, count, 600), "__plain", "left").join(content, "__file", "left")
+    return found.withColumn("__bytes", F.col("__content")).select(*rows.columns).unionByName(rows.where(F.col("kind") != routing.PATH))
+
+
 def load_audio(df: DataFrame, source: str, keep: tuple[str, ...], audio_files: DataFrame | None = None, fetch=None, decoder=wave_samples, resampler=None, target: int = SAMPLE_RATE) -> DataFrame:
     """One loader for a column of mixed inputs: kept columns, kind, error, and samples: mono, at the target rate, the peak brought to 1.
 
@@ -80,9 +96,7 @@ def load_audio(df: DataFrame, source: str, keep: tuple[str, ...], audio_files: D
 
     rows = df.select(*keep, F.col(source).alias("__source"), routing.route(F.col(source)).alias("kind"), routing.base64_bytes(F.when(routing.route(F.col(source)) == routing.BASE64, F.col(source))).alias("__bytes"))
     if audio_files is not None:
-        plain = lambda c: F.regexp_replace(c, r"\A[a-z0-9]+:(//)?(?=/)", "")
-        found = audio_files.select(plain(F.col("path")).alias("__path"), F.col("content").alias("__content")).dropDuplicates(["__path"])
-        rows = rows.join(found, (F.col("kind") == routing.PATH) & (plain(F.col("__source")) == F.col("__path")), "left").withColumn("__bytes", F.coalesce("__bytes", "__content")).drop("__path", "__content")
+        rows = _with_files(rows, audio_files)
     fields = [*(rows.schema[c] for c in (*keep, "kind")), T.StructField("error", T.StringType()), T.StructField("__samples", T.ArrayType(T.FloatType()))]
     k = len(keep)
 
@@ -151,11 +165,41 @@ def write_results(df: DataFrame, path: str, language: str = "language", text: st
 
 
 def sink_results(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Starts a stream's query that appends its results as JSON lines; trigger: as for the stream writer (availableNow=True for what there is now)."""
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: write_results(rows, path))
+    """Starts a stream's query that writes its results as JSON lines, a folder `batch=<id>` for each batch: a batch that is run again after a failure replaces what it
+    left. trigger: as for the stream writer (availableNow=True for what there is now)."""
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: write_results(rows, f"{path}/batch={batch}", mode="overwrite"))
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+#: Pushes as files: `<folder>/<session>/<number>.start`, `.pcm` (32-bit samples) or `.end`. A mark holds a byte at least, since Spark leaves empty files out.
+PUSHES = "session_id string, seq bigint, action string, samples array<float>, error string"
+
+
+def push_files(df: DataFrame) -> DataFrame:
+    """PUSHES of binary files (path, content), a stream or a table. Files of other names are left out; a body that isn't whole samples is refused: its error says so."""
+    import numpy as np
+    import pyarrow as pa
+
+    actions = {"start": "start", "pcm": "push", "end": "end"}
+    part = lambda k: F.regexp_extract(F.col("path"), r"/([^/]+)/([0-9]+)\.(start|pcm|end)\z", k)
+    kind = F.coalesce(*(F.when(part(3) == k, v) for k, v in actions.items()))
+    rows = df.where(part(0) != "").select(F.url_decode(part(1)).alias("session_id"), part(2).cast("bigint").alias("seq"), kind.alias("action"), F.when(kind == "push", pcm_error(F.lit(PCM_TYPE), F.col("content"))).alias("error"), "content")
+
+    def run(batches):
+        for batch in batches:
+            action, error, content = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            samples = [np.frombuffer(c, "<f4") if a == "push" and e is None else None for a, e, c in zip(action, error, content)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(samples, pa.list_(pa.float32())), batch.column(3)], names=["session_id", "seq", "action", "samples", "error"])
+
+    return rows.mapInArrow(run, PUSHES)
+
+
+def push_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """A stream of PUSHES: each file is read once, also after a restart, as the stream's checkpoint keeps what it has read. Any store that Spark reads will do."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return push_files(spark.readStream.format("binaryFile").schema(schema).options(recursiveFileLookup="true", **options).load(folder))
+
+
 def _file_system(spark: SparkSession, path: str):
     """The path as Hadoop has it, its file system and the configuration; so any store that Spark can read will do."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
