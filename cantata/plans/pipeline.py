@@ -47,7 +47,7 @@ def apply_model(df: DataFrame, model: Callable[[pd.DataFrame], list], inputs: li
     return df.mapInPandas(run, schema)
 
 
-def transcribe(requests: DataFrame, model: Callable[[pd.DataFrame], list] | str, aligner: Callable[[pd.DataFrame], list] | None = None, with_times: bool = False, batch: int | None = None) -> DataFrame:
+def transcribe(requests: DataFrame, model: Callable[[pd.DataFrame], list] | str, aligner: Callable[[pd.DataFrame], list] | None = None, with_times: bool = False, batch: int | None = None, tokenize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """requests: orig_index, samples (mono, SAMPLE_RATE), context, language. The model takes chunk and prompt and gives raw text;
     the aligner takes chunk and words and gives two times a word, in milliseconds. A model may be the name of a registered backend.
     One row a request: orig_index, language, text, time_stamps."""
@@ -63,16 +63,17 @@ def transcribe(requests: DataFrame, model: Callable[[pd.DataFrame], list] | str,
     parsed = parsed.select("orig_index", "chunk_index", "offset_sec", "chunk", F.col("parsed.language").alias("language"), F.col("parsed.text").alias("text"))
     items = F.lit(None).cast("array<struct<text:string,start_time:double,end_time:double>>")
     if with_times:
-        parsed = align(parsed, aligner, batch)
+        parsed = align(parsed, aligner, batch, tokenize)
         items = shift(F.col("items"), F.col("offset_sec"))
     order = F.col("chunk_index")
     parsed = parsed.select("orig_index", "chunk_index", "language", "text", items.alias("items"))
     return parsed.groupBy("orig_index").agg(merged_languages(F.col("language"), order).alias("language"), merged_text(F.col("text"), order).alias("text"), merged_items(F.col("items"), order).alias("time_stamps"))
 
 
-def align(df: DataFrame, aligner: Callable[[pd.DataFrame], list], batch: int | None = None) -> DataFrame:
-    """df (chunk, text) with words and items, the words' times; a text without words has no items, and isn't sent to the aligner."""
-    worded = df.withColumn("words", words_spaced(F.col("text")))
+def align(df: DataFrame, aligner: Callable[[pd.DataFrame], list], batch: int | None = None, tokenize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df (chunk, text) with words and items, the words' times; a text without words has no items, and isn't sent to the aligner. tokenize: df to df with words, where
+    white space doesn't do, as lexicon.words_by_lexicon() for words with endings."""
+    worded = tokenize(df) if tokenize else df.withColumn("words", words_spaced(F.col("text")))
     kind = "array<struct<text:string,start_time:double,end_time:double>>"
     timed = repair_times(apply_model(worded.where(F.size("words") > 0), aligner, ["chunk", "words"], "times", "array<bigint>", batch), "times", "times")
     timed = timed.withColumn("items", pair_words(F.col("words"), F.col("times"))).drop("times")

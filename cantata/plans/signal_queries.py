@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cantata.functions import signal as S
 from cantata.functions.text import let
 from cantata.model import TURN_LABELS
-from cantata.operators import align, chunking, datasets
+from cantata.operators import align, chunking, datasets, resampling
 from cantata.plans.text_queries import table
 from cantata.sources import files
 from cantata.storage import Scratch
@@ -144,6 +144,25 @@ SELECT vec_id, CAST(unnest(range(96)) AS INTEGER) AS pos,
   unnest(list_transform(list_transform(range(48), lambda i: {_mix('(i * CAST(63 AS DOUBLE) / 47)')}) || list_transform(range(48), lambda i: {_mix('(i * CAST(64 AS DOUBLE) / 48)')}), lambda v: round(v, 5) + 0.0)) AS value FROM e"""
 
 
+#: Zero crossings of the filter in this query.
+SINC_ZEROS = 8
+
+
+def resample_sinc(spark, sf):
+    """Vectors as signals of 64 samples a second, brought to 48."""
+    df = signals(spark, sf).select("vec_id", F.col("x").alias("y"), F.lit(64).alias("rate"))
+    return spread(resampling.resample_rows(df, "y", "rate", 48, SINC_ZEROS).select("vec_id", rounded(F.col("y")).alias("y")), "vec_id")
+
+
+# Each new sample by the filter's formula, over all places that it reaches; beyond the ends a signal is silent.
+_CUT = f"({resampling.BAND} * 0.75)"
+SINC_SQL = f"""
+WITH e AS (SELECT vec_id, {DOUBLES} AS e FROM embeddings),
+p AS (SELECT pos, list_transform(range(-20, 90), lambda k: CAST(k - pos * 4 / 3.0 AS DOUBLE)) AS t FROM range(48) r(pos)),
+h AS (SELECT pos, list_transform(t, lambda t: CASE WHEN abs(t) >= {SINC_ZEROS} / {_CUT} THEN 0.0 WHEN abs(t) < 1e-9 THEN 1.0 ELSE sin(pi() * {_CUT} * t) / (pi() * {_CUT} * t) * cos(pi() * t * {_CUT} / {2 * SINC_ZEROS}) ** 2 END) AS h FROM p)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(list_sum(list_transform(range(64), lambda i: e[i + 1] * h[i + 21])) / list_sum(h), 6) + 0.0 AS value FROM e, h"""
+
+
 def window_slice(spark, sf):
     cut = F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 90) * 50)
     df = signals(spark, sf).select("vec_id", F.size(S.window_slice(F.col("x"), 16, cut, F.lit(1000.0), F.lit(250.0))).alias("n"), S.window_bounds(F.lit(64), 16, cut, F.lit(1000.0), F.lit(250.0)).alias("b"))
@@ -372,6 +391,7 @@ QUERIES = {
     "mono_normalize": (mono_normalize, MONO_SQL),
     "integer_normalize": (integer_normalize, INTEGER_SQL),
     "resample_linear": (resample_linear, RESAMPLE_SQL),
+    "resample_sinc": (resample_sinc, SINC_SQL),
     "window_slice": (window_slice, WINDOW_SQL),
     "pooling": (pooling, POOL_SQL),
     "softmax_argmax": (softmax_argmax, SOFTMAX_SQL),

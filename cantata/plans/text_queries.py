@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantata.functions import text as X
 from cantata.model import AUDIO_PREFIX, LANGUAGES
-from cantata.operators import align, chunking, datasets
+from cantata.operators import align, chunking, datasets, lexicon
 from cantata.plans import oracles as O
 from cantata.sources import files, routing
 
@@ -87,6 +87,25 @@ SELECT CAST(id AS BIGINT) AS id, array_to_string({O.words_spaced('t')}, '|') AS
 FROM (SELECT id, t FROM {_MIXED_SQL} UNION ALL SELECT doc_id + 1000, coalesce(text, '') FROM documents)"""
 
 
+def lexicon_words(spark, sf):
+    """Names of parts written together, as words with endings. The lexicon: the names' first words, and what types and names begin with, at lower scores."""
+    parts = table(spark, sf, "part")
+    first = F.get(F.split("p_name", " "), F.lit(0))
+    known = parts.select(first.alias("word"), F.lit(1.0).alias("score")).unionByName(parts.select(F.left("p_name", F.lit(3)).alias("word"), F.lit(0.5).alias("score"))).unionByName(parts.select(F.lower(F.left("p_type", F.lit(4))).alias("word"), F.lit(1.0).alias("score")))
+    df = parts.select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(" "), F.lower("p_type"), F.lit("-x"), "p_size").alias("text"))
+    return lexicon.words_by_lexicon(df, "text", known, score="score").select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+LEXICON_SQL = f"""
+WITH k AS (SELECT word, max(score) AS score FROM (SELECT string_split(p_name, ' ')[1] AS word, 1.0 AS score FROM part UNION ALL SELECT p_name[:3], 0.5 FROM part UNION ALL SELECT lower(p_type[:4]), 1.0 FROM part) WHERE word != '' GROUP BY word),
+w AS (SELECT p_partkey, unnest([replace(p_name, ' ', ''), lower(p_type) || '-x' || p_size]) AS w, unnest([1, 2]) AS i FROM part),
+c AS (SELECT DISTINCT w, unnest(range(2, length(w) + 1)) AS size FROM w WHERE length(w) > 2),
+b AS (SELECT c.w, arg_max(size, (coalesce(score, 0.0), size)) AS size FROM c LEFT JOIN k ON k.word = c.w[:size] GROUP BY c.w),
+p AS (SELECT p_partkey, i, unnest([w[:coalesce(size, length(w))], w[coalesce(size, length(w)) + 1:]]) AS p, unnest([1, 2]) AS j FROM w LEFT JOIN b USING (w)),
+q AS (SELECT p_partkey, i, j, regexp_replace(p, {O.sql_text(X.DROPPED)}, '', 'g') AS p FROM p)
+SELECT p_partkey, string_agg(p, ' ' ORDER BY i, j) AS words FROM q WHERE p != '' GROUP BY p_partkey"""
+
+
 def merge_languages(spark, sf):
     lang = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "lang"))
     return align.merge_languages_rows(table(spark, sf, "documents").withColumn("l", lang), "source", "doc_id", "l")
@@ -248,6 +267,7 @@ QUERIES = {
     "collapse_repeats": (collapse_repeats, COLLAPSE_SQL),
     "tokenize_space": (tokenize_space, TOKENIZE_SQL),
     "tokenize_cjk": (tokenize_cjk, CJK_SQL),
+    "lexicon_words": (lexicon_words, LEXICON_SQL),
     "merge_languages": (merge_languages, MERGE_LANGUAGES_SQL),
     "merge_text": (merge_text, MERGE_TEXT_SQL),
     "merge_align_offset": (merge_align_offset, MERGE_ALIGN_SQL),

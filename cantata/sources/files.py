@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from cantata.functions.text import SPACE, strip
 from cantata.model import SAMPLE_RATE, SIDECAR_FILES
+from cantata.operators.resampling import resample
 
 PCM_TYPE = "application/octet-stream"
 
@@ -83,12 +84,37 @@ def _with_files(rows: DataFrame, audio_files: DataFrame) -> DataFrame:
     return found.withColumn("__bytes", F.col("__content")).select(*rows.columns).unionByName(rows.where(F.col("kind") != routing.PATH))
 
 
-def load_audio(df: DataFrame, source: str, keep: tuple[str, ...], audio_files: DataFrame | None = None, fetch=None, decoder=wave_samples, resampler=None, target: int = SAMPLE_RATE) -> DataFrame:
+#: Of fetched URLs: seconds to wait, bytes that one may have, and how many are fetched at once by a task.
+FETCH_SECONDS, FETCH_BYTES, FETCHES = 30, 1 << 28, 8
+
+
+def http_fetch(urls: list[str]) -> list[bytes | None]:
+    """The bodies of URLs, None for what can't be had, is too long or isn't http(s). Equal URLs of one call are fetched once."""
+    import urllib.request
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(url: str) -> bytes | None:
+        if not url.lower().startswith(("http://", "https://")):
+            return None
+        try:
+            with urllib.request.urlopen(url, timeout=FETCH_SECONDS) as reply:
+                body = reply.read(FETCH_BYTES + 1)
+                return body if len(body) <= FETCH_BYTES else None
+        except (OSError, ValueError):
+            return None
+
+    distinct = list(dict.fromkeys(urls))
+    with ThreadPoolExecutor(FETCHES) as pool:
+        found = dict(zip(distinct, pool.map(one, distinct)))
+    return [found[u] for u in urls]
+
+
+def load_audio(df: DataFrame, source: str, keep: tuple[str, ...], audio_files: DataFrame | None = None, fetch=None, decoder=wave_samples, resampler=resample, target: int = SAMPLE_RATE) -> DataFrame:
     """One loader for a column of mixed inputs: kept columns, kind, error, and samples: mono, at the target rate, the peak brought to 1.
 
-    URLs go to fetch (a list of URLs to a list of bytes or None), base64 is decoded, paths are looked up in audio_files (path and content, as
+    URLs go to fetch (a list of URLs to a list of bytes or None; http_fetch does), base64 is decoded, paths are looked up in audio_files (path and content, as
     read_audio() gives them; the path as it stands in the column, or with a scheme). resampler: samples, rate and target to samples, for
-    other rates than the target. What can't be loaded has null samples and says why."""
+    other rates than the target (None: these are errors). What can't be loaded has null samples and says why."""
     import pyarrow as pa
 
     from cantata.functions.signal import normalize_peak

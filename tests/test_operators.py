@@ -143,7 +143,9 @@ def test_load_audio_of_mixed_inputs(spark, tmp_path):
     assert [out[i].kind for i in range(8)] == ["path", "base64", "url", "url", "path", "base64", "base64", "path"]
     assert all(out[i].samples == [0.5, -0.25] for i in (0, 1, 2)) and out[5].samples == [0.5, 0.5, -0.25, -0.25]
     assert [out[i].error for i in (3, 4, 6, 7)] == ["not fetched", "no such audio", "not decoded", "no such audio"] and all(out[i].samples is None for i in (3, 4, 6, 7))
-    bare = {r.id: r.error for r in files.load_audio(df, "audio", ("id",)).collect()}
+    own = {r.id: r.samples for r in files.load_audio(df, "audio", ("id",)).collect()}
+    assert len(own[5]) == 4 and abs(own[5][0] - 0.5) < 0.1
+    bare = {r.id: r.error for r in files.load_audio(df, "audio", ("id",), resampler=None).collect()}
     assert bare[2] == "URLs need a fetcher" and bare[5] == "a rate of 8000 needs a resampler"
 
 
