@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of the input that a file of an intermediate table should stand for at least.
-ROWS_PER_FILE = 5000
+#: Stored bytes of the input that a file of an intermediate table, and so a task that writes it, should stand for at least.
+BYTES_PER_FILE = 2 << 20
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[key]
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of a table as the optimizer knows it without a job: of its files, for one that is read. Very large where it isn't known."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -56,11 +61,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """rows: how many rows the input has that df is made from, where that is known; then df goes to no more files than one for ROWS_PER_FILE of these."""
+    def keep(self, df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+        """size: input_bytes() of the table that df is made from; then it is written by no more tasks than one for BYTES_PER_FILE of these, so that small
+        inputs don't leave many tiny files."""
         path = self.path(name)
-        if rows is not None:
-            df = df.coalesce(rows // ROWS_PER_FILE + 1)
+        if size is not None:
+            df = df.coalesce(int(min(size // BYTES_PER_FILE + 1, 1 << 30)))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
