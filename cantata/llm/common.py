@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.storage import Scratch, shared_dir  # noqa: F401
+from cantata.storage import Scratch, input_bytes, shared_dir  # noqa: F401
 
 #: Text bytes that an Arrow function handles at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, measured_side, member, salted_join, text_buffer, word_hashes, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, input_bytes, measured_side, member, salted_join, text_buffer, word_hashes, words
 
 #: Licences and what statements call them.
 NAMES = {
@@ -311,7 +311,7 @@ def ancestors(directory: Column) -> Column:
 
 def scan(files: DataFrame, path: Column, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, limit: int = 32 << 20) -> DataFrame:
     """One row a file: the kept columns, path, license, score, origin (own, inherited or none) and n_statements."""
-    scratch, rows = Scratch(files.sparkSession), files.count()
+    scratch, stored = Scratch(files.sparkSession), input_bytes(files)
     scorer = files.sparkSession.sparkContext.broadcast(Scorer(*document_frequency(files, text_col)))
     kept = [f"__k{i}" for i in range(len(keep))]
     df = files.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -328,15 +328,15 @@ def scan(files: DataFrame, path: Column, text_col: str = "text", keep: tuple[str
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(k)), *(pa.array(x, t) for x, t in zip(found, kinds))], names=[f.name for f in fields])
 
-    own = scratch.keep(df.mapInArrow(frugal(run), T.StructType(fields)).withColumn("dir", parent(F.col("path"))), "own", rows)
+    own = scratch.keep(df.mapInArrow(frugal(run), T.StructType(fields)).withColumn("dir", parent(F.col("path"))), "own", stored)
     whole = F.col("license").isNotNull() & (F.col("path").rlike(_NAMED) | (F.col("share") >= FILE_SHARE))
     rank = F.struct(F.col("score"), F.col("license"))
     declared = own.where(whole).groupBy("dir").agg(F.max_by("license", rank).alias("given"), F.max("score").alias("given_score"))
-    declared = scratch.keep(declared, "declared", rows)
+    declared = scratch.keep(declared, "declared", stored)
     directories = own.select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("up", "above"))
     above, size = declared.withColumnRenamed("dir", "above"), declared.agg(F.sum(F.length("dir") + F.length("given") + 100)).first()[0] or 0
     met = directories.join(F.broadcast(above), "above") if size <= limit else salted_join(directories, above, "above", "dir")  # the root is above all
-    nearest = scratch.keep(met.groupBy("dir").agg(F.min_by(F.struct("given", "given_score"), "up").alias("near")).select("dir", "near.*"), "nearest", rows)
+    nearest = scratch.keep(met.groupBy("dir").agg(F.min_by(F.struct("given", "given_score"), "up").alias("near")).select("dir", "near.*"), "nearest", stored)
     out = own.join(measured_side(nearest, F.length("dir") + F.length("given"), limit), "dir", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select(

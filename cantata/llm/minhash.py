@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, frugal, mix, partitions, small_side, text_buffer, word_hashes, words
+from cantata.llm.common import LOWER, NOT_SPACE, Scratch, chunks, frugal, input_bytes, mix, partitions, small_side, text_buffer, word_hashes, words
 
 SHINGLE = 5
 #: 100 * similarity.
@@ -311,8 +311,8 @@ def _linked(rows: DataFrame, threshold: int) -> DataFrame:
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """One row a document: its id, n_shingles, component_id and kept."""
     spark = docs.sparkSession
-    scratch, rows_in = Scratch(spark), docs.count()
-    keep = lambda df, name: scratch.keep(df, name, rows_in)
+    scratch, size = Scratch(spark), input_bytes(docs)
+    keep = lambda df, name: scratch.keep(df, name, size)
     signed = keep(_sign(docs, text_col, id_col, shingle, permutations, rows), "signed")
     nodes = keep(
         signed.where("node is not null").groupBy("node").agg(F.min("id").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"

@@ -22,7 +22,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import Scratch
+from cantata.llm.common import Scratch, input_bytes
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -30,8 +30,6 @@ MIN_WORDS = 10
 MAX_REPEAT = 20
 #: Thresholds tried for a feature.
 BINS = 24
-MAX_RULES = 8
-MAX_CONDITIONS = 3
 #: Of the rows that a rule covers, at least this share must be bad, on the rows for pruning.
 LEAST_PRECISION = 0.8
 #: Rows for growing that a rule must cover.
@@ -181,17 +179,18 @@ def _rows_of(c: tuple[int, int, bool]) -> Column:
     return F.get("bins", F.lit(f)) > k if above else F.get("bins", F.lit(f)) <= k
 
 
-def learn(labelled: DataFrame, scratch: Scratch, size: int) -> list[Rule]:
-    """labelled: features and bad, of a table with so many rows. The rules, in order, each a conjunction that marks bad rows."""
+def learn(labelled: DataFrame, scratch: Scratch, size: int, max_rules: int | None = None, max_conditions: int | None = None) -> list[Rule]:
+    """labelled: features and bad, of a table whose input has so many bytes. The rules, in order, each a conjunction that marks bad rows. A rule grows until no condition
+    gains anything, and the list until no rule is precise enough; max_rules and max_conditions stop them earlier."""
     rows = labelled.select("features", "bad", (F.pmod(F.xxhash64("features"), F.lit(3)) == 0).alias("prune"))
     cuts = _thresholds(rows)
     rest = scratch.keep(_binned(rows, cuts), "binned", size)
     rules: list[Rule] = []
-    for _ in range(MAX_RULES):
+    while max_rules is None or len(rules) < max_rules:
         conditions: list[tuple[int, int, bool]] = []
         trail: list[tuple[int, int]] = []  # (bad, good) for pruning after each condition
         inside = rest
-        while len(conditions) < MAX_CONDITIONS:
+        while max_conditions is None or len(conditions) < max_conditions:
             counts = _counts(inside)
             p0, n0 = (sum(v[i] for (f, _, prune), v in counts.items() if f == 0 and not prune) for i in (0, 1))
             if not p0 or not n0:
@@ -215,11 +214,11 @@ def learn(labelled: DataFrame, scratch: Scratch, size: int) -> list[Rule]:
         if not conditions:
             break
         worth = lambda pn: (pn[0] - pn[1]) / (pn[0] + pn[1]) if sum(pn) else -1.0
-        size = max(range(1, len(conditions) + 1), key=lambda s: (worth(trail[s - 1]), -s))
-        p, n = trail[size - 1]
+        most = max(range(1, len(conditions) + 1), key=lambda s: (worth(trail[s - 1]), -s))
+        p, n = trail[most - 1]
         if p + n == 0 or p < LEAST_PRECISION * (p + n):
             break
-        conditions = conditions[:size]
+        conditions = conditions[:most]
         rules.append(Rule([Condition(FEATURES[f], above, cuts[FEATURES[f]][k]) for f, k, above in conditions]))
         covered = F.lit(True)
         for c in conditions:
@@ -236,14 +235,14 @@ def verdict(rules: list[Rule], features: Column) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rules: int | None = None, max_conditions: int | None = None) -> DataFrame:
     """One row a document: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and rule
     (the number of the first rule that marks it, or null)."""
     scratch = Scratch(docs.sparkSession)
-    size = docs.count()
+    size = input_bytes(docs)
     measured = scratch.keep(statistics(docs, text_col, (id_col,)), "statistics", size)
     known = labels.where(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.min("quality") <= 0).alias("bad"))
-    rules = learn(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), scratch, size)
+    rules = learn(measured.where(~F.col("base_failed")).join(known, id_col).select("features", "bad"), scratch, size, max_rules, max_conditions)
     number = F.lit(None).cast("int")
     for k, r in reversed(list(enumerate(rules, 1))):
         number = F.when(r.expression(F.col("features")), k).otherwise(number)

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import Scratch, salted_join
+from cantata.functions.signal import running_sum
+from cantata.llm.common import Scratch, input_bytes, salted_join
 
 #: Kind, pattern, group with the value, characters of that group at least. Fixed values of the base rules; letters of the
 #: keywords stand in either case.
@@ -39,17 +40,11 @@ def spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: i
     found, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def located(m: Column) -> Column:
-        between = F.transform(F.split(text, pattern), lambda s: F.length(s).cast("bigint"))
-        parts = F.arrays_zip(F.transform(m, lambda x: F.length(x).cast("bigint")).alias("size"), F.slice(between, 1, F.size(m)).alias("gap"), (value if group else m).alias("value"))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
-
-        def step(a, x):
-            s = a["at"] + x["gap"]
-            e = s + x["size"]
-            one = F.struct(s.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), x["value"].alias("value"))
-            return F.struct(e.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(parts, start, step, lambda a: a["out"])
+        between = F.transform(F.split(text, pattern), F.length)
+        ends = running_sum(F.zip_with(F.slice(between, 1, F.size(m)), m, lambda gap, x: gap + F.length(x)))
+        parts = F.arrays_zip(m.alias("match"), ends.alias("end"), (value if group else m).alias("value"))
+        span = lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
+        return F.filter(F.transform(parts, span), lambda s: F.length(s["value"]) >= least)
 
     return F.element_at(F.transform(F.array(found), lambda m: F.when(F.size(m) == 0, F.array().cast(_SPANS)).otherwise(located(m))), 1)
 
@@ -70,7 +65,7 @@ def render(rows: Column) -> Column:
 
 def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",), example_owners: int = EXAMPLE_OWNERS, limit: int = 32 << 20) -> DataFrame:
     """One row a row: the kept columns and found, an array of (start, rank, kind, end, owners, live): the base kinds, and opaque strings that look live."""
-    scratch, rows = Scratch(docs.sparkSession), docs.count()
+    scratch, size = Scratch(docs.sparkSession), input_bytes(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [f"__k{i}" for i in range(len(keep))]
     df = docs.select(
@@ -84,10 +79,10 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owne
     df = df.select(*kept, "row", "repo", "owner", base.alias("base"), F.filter(spans(F.col("text"), len(KINDS), *OPAQUE), mixed).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     hashed = F.transform(F.concat("base", apart), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")))
-    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates", rows)
+    df = scratch.keep(df.select(*kept, "row", "repo", "owner", hashed.alias("candidates")), "candidates", size)
     spread = df.select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
     owned = spread.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    frequency = scratch.keep(owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "frequency", rows)
+    frequency = scratch.keep(owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "frequency", size)
     live = F.col("owners") < example_owners
     judged = salted_join(spread, frequency, "hash", "row") if frequency.count() * 120 > limit else spread.join(F.broadcast(frequency), "hash")
     judged = judged.where((F.col("rank") < len(KINDS)) | live)

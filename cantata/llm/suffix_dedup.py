@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import Scratch, chunks, eights, frugal, gathered, mix, partitions, release, text_buffer
+from cantata.llm.common import Scratch, chunks, eights, frugal, gathered, input_bytes, mix, partitions, release, text_buffer
 
 WINDOW = 100
 #: 8 times a power of two.
@@ -159,7 +159,7 @@ class Dedup:
 
     def __init__(self, docs: DataFrame, text_col: str, id_col: str, window: int, gram: int, limit: int, hot: int, digests: bool):
         self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession)
-        self.digests, self.rows = digests, docs.count()
+        self.digests, self.size = digests, input_bytes(docs)
         self.window, self.gram, self.limit, self.hot = window, gram, limit, hot
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
@@ -179,7 +179,7 @@ class Dedup:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         seen = self.docs.select("text").mapInArrow(frugal(run), "h bigint, n bigint")
-        return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated", self.rows)
+        return self.scratch.keep(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated", self.size)
 
     def known(self, df: DataFrame, column: str) -> np.ndarray:
         out = gathered(df, column).view(np.uint64)
@@ -230,13 +230,13 @@ class Dedup:
         else:
             flagged = self.of_anchors(False).join(repeated, "h", "left_semi")
             places = flagged.groupBy("d", "t").agg(F.array_distinct(F.collect_list("pos")).alias("places"))
-            self.docs = self.scratch.keep(self.docs.join(places, ["d", "t"], "left"), "docs", self.rows)
+            self.docs = self.scratch.keep(self.docs.join(places, ["d", "t"], "left"), "docs", self.size)
             self.flagged = True
         # Pass 2.
-        places = self.scratch.keep(self.of_anchors(True), "places", self.rows)
-        first = self.scratch.keep(places.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first", self.rows)
+        places = self.scratch.keep(self.of_anchors(True), "places", self.size)
+        first = self.scratch.keep(places.groupBy("h", "c").agg(F.min(F.struct("d", "t", "pos")).alias("p")).select("h", "c", "p.d", "p.t", "p.pos"), "first", self.size)
         several = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-        open_ = self.scratch.keep(first.join(several, "h"), "open", self.rows)
+        open_ = self.scratch.keep(first.join(several, "h"), "open", self.size)
         # Pass 3.
         found = self.windows(open_)
         return self.removal(self.spans(places, first, found))
@@ -263,7 +263,7 @@ class Dedup:
 
         some = found.select("d", "t", "pos", "gone").mapInArrow(frugal(runs), "d bigint, t bigint, a bigint, e bigint")
         every = late.unionByName(some).repartition(partitions(self.spark), "d", "t").sortWithinPartitions("d", "t", "a")
-        return self.scratch.keep(every.mapInArrow(frugal(_merged), "d bigint, t bigint, spans array<bigint>"), "spans", self.rows)
+        return self.scratch.keep(every.mapInArrow(frugal(_merged), "d bigint, t bigint, spans array<bigint>"), "spans", self.size)
 
     def told(self, rows: DataFrame, columns: list[str], row_bytes: int):
         """Rows about places (h, c, d, t, pos and more) to broadcast: their keys, sorted, and the other columns; None if they are too many.
@@ -326,7 +326,7 @@ class Dedup:
             return pa.RecordBatch.from_arrays([*map(pa.array, arrays), context], names=["h", "c", "d", "t", "pos", "size", "near", "far", "lead", "context"])
 
         rows = self.places(select, "h bigint, c bigint, d bigint, t bigint, pos int, size bigint, near int, far int, lead int, context binary", docs)
-        rows = self.scratch.keep(rows, "contexts", self.rows)
+        rows = self.scratch.keep(rows, "contexts", self.size)
         if shipped is not None:
             shipped.destroy()
         few = rows.where(F.col("size") <= hot).repartition(partitions(self.spark), "h").sortWithinPartitions("h").mapInArrow(frugal(_ordered(window, width)), "h bigint, c bigint, d bigint, t bigint, pos int, gone binary")

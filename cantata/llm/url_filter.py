@@ -45,7 +45,7 @@ def match(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[s
 
     rules: host, path, action (allow or block)."""
     spark = urls.sparkSession
-    known = rules.where("host is not null and path is not null").groupBy(F.lower("host").alias("host"), "path").agg(F.max("action").alias("action"))
+    known = rules.where("host is not null and path is not null").groupBy(F.translate("host", _UPPER, _UPPER.lower()).alias("host"), "path").agg(F.max("action").alias("action"))
     lengths = [r.n for r in known.select(F.length("path").alias("n")).distinct().collect()]
     rule = F.concat("host", "path")
     digest = F.sha2(rule, 256)

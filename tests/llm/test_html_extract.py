@@ -77,11 +77,42 @@ def test_a_run_on_two_pages_is_found_on_a_host_of_any_size(spark):
         assert sorted(i for i, (_, k) in got.items() if k) == [0, n - 1] and got[0][1] >= 17
 
 
-def test_template_blocks_in_declared_main_text(spark):
-    rows = [(i, f"http://h.com/{i}", f"<article><p>Read this text number {i}</p><p>Follow us</p>" + ("<p>A quote</p>" if i < 4 else "") + "</article>") for i in range(20)]
-    rows += [(100 + i, f"http://small.com/{i}", "<article><p>Follow us</p></article>") for i in range(3)]
-    got = texts(spark, rows)
-    assert all(got[i] == f"Read this text number {i}" + " A quote" * (i < 4) for i in range(20)) and all(got[100 + i] == "Follow us" for i in range(3))
+def test_class_names_within_main_text(spark):
+    """Plain names cut, mixed ones are confirmed by repetition, headings stay."""
+    get = lambda page: html_extract.main_text(html_extract.blocks(page))
+    assert get('<article><header class="entry-header"><h1>T</h1></header><div class="share-buttons">no</div><section id="social-science">yes</section><div class="comment-list post">no</div>a</article>') == "T yes a"
+    assert get('<main class="site-main"><div class="page-header">H</div><div id=ad-slot-3>no</div><div class="sidebar left">no</div><p>p</main>') == "H p"
+    page = lambda i: f"<article><p>Read this text number {i} w{i} x{i} y{i} z{i}</p><div class='related-work'>Work {i} of a{i} b{i} c{i} d{i} e{i} f{i} g{i}</div><div class='entry-footer'>Filed under the things that all of our pages are filed under</div></article>"
+    got = texts(spark, [(i, f"http://h.com/{i}", page(i)) for i in range(6)] + [(100, "http://one.com/", page(100))])
+    assert all(got[i] == f"Read this text number {i} w{i} x{i} y{i} z{i} Work {i} of a{i} b{i} c{i} d{i} e{i} f{i} g{i}" for i in range(6))
+    assert got[100].endswith("g100 Filed under the things that all of our pages are filed under")
+
+
+def test_articles_repeat_each_other(spark):
+    """Declared main text stays, however many pages of the host say the same."""
+    for n in (7, 8, 20):
+        got = texts(spark, [(i, f"http://h.com/{i}", f"<article><p>Read this text number {i}</p><p>Follow us on every page of this site, dear reader of ours</p></article>") for i in range(n)])
+        assert all(got[i] == f"Read this text number {i} Follow us on every page of this site, dear reader of ours" for i in range(n))
+
+
+def test_wrappers_around_main_text():
+    get = lambda page: html_extract.main_text(html_extract.blocks(page))
+    assert get('<body class="has-sidebar"><div class="layout no-sidebar"><article>a</article></div>') == "a"
+    assert get('<div class="site has-sidebar"><div class="widget"><main>m<div class=share>no</div></main></div></div>') == "m"
+    assert get("<form><p>no</p><article>a<form>no</form><div class='my-comments'>b</div></article></form>") == "a b"
+    assert get("<article>a</article><div class='related posts'><article>teaser</article></div><footer><article>no</article></footer>") == "a"
+    assert get("<nav><article>no</article></nav>") == ""
+    open_ = lambda page: [t for kind, t in html_extract.blocks(page) if kind == html_extract.OPEN]
+    assert open_("<form><p>all of the page</p><nav>no</nav></form>") == ["all of the page"] and open_("<p>yes</p><form>no</form>") == ["yes"]
+
+
+def test_tags_that_may_be_left_out():
+    get = lambda page: html_extract.main_text(html_extract.blocks(page))
+    assert get("<html><head><title>t</title><body><article>hello main</article>") == "hello main"
+    assert get("<head><meta charset=utf-8><p>no<article>a") == "a"
+    assert get("<head><title>t</title><link rel=x><style>s</style></head><article>a</article>") == "a"
+    assert get("<article>a<video src=x>b<p>c</article>") == "ab c"
+    assert get("<article>a<video>no</video> b<map name=m>c<area></map></article>") == "a b c"
 
 
 def test_parsing_takes_time_in_proportion():

@@ -18,6 +18,7 @@ def check(spark, urls, rules):
 def test_rules(spark, monkeypatch):
     check(spark, URLS, URL_RULES)
     check(spark, URLS, [("com", "", "block"), ("example.com", "/e", "allow"), ("b.example.com", "/", "block"), ("com", "/en/x", "block")])
+    check(spark, URLS, [("É.com", "/", "block"), ("EXAMPLE.com", "/EN/", "block")])
     check(spark, URLS, [])
     out = url_filter.match(spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string"), url_filter.rule_table(spark, [("com", "/", "block")] * 2 + [(None, "/", "allow")]))
     assert [r.verdict for r in out.collect()] == ["block"] * 2
