@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantata.functions.signal import scan
+from cantata.functions.text import let
 from cantata.llm import bpe, decontaminate, minhash, secrets, toxicity
-from cantata.llm.common import Scratch, small_side
+from cantata.llm.common import Scratch, input_bytes, small_side
 from cantata.llm.queries import table, vocabulary_path
 
 #: What stands for a secret in a text that stays.
@@ -28,7 +30,7 @@ def identity() -> Column:
 
 def without(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """docs but those whose id and text hash are in rows (columns doc_id and hash). The rows are broadcast while they are few."""
-    gone = scratch.keep(rows.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "gone", docs.count())
+    gone = scratch.keep(rows.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "gone", input_bytes(docs))
     return docs.join(small_side(gone, gone.count(), 56), F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__hash")), "left_anti")
 
 
@@ -63,24 +65,22 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     mark = F.xxhash64(F.col("text"))
     found = secrets.scan(docs.select("doc_id", "source", "text", mark.alias("__hash")), keep=("doc_id", "__hash")).where(F.size("found") > 0)
 
-    def joined(out, s):
-        last = F.get(out, F.size(out) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(last["end"] >= s["start"], F.array_append(F.slice(out, 1, F.size(out) - 1), longer)).otherwise(F.array_append(out, s))
+    def joined(spans):
+        """Runs of spans (by start) that touch: one begins where a span starts behind all ends before it, and reaches to the last end before the next one begins."""
+        reach = scan(F.transform(spans, lambda s: s["end"]), F.greatest)
+        begins = lambda r: F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.get(r, i - 1)), i)), lambda i: i.isNotNull())
+        run = lambda r, b, k, i: F.struct(F.get(spans, i)["start"].alias("start"), F.get(r, F.coalesce(F.get(b, k + 1), F.size(spans)) - 1).alias("end"))
+        return let(reach, lambda r: let(begins(r), lambda b: F.transform(b, lambda i, k: run(r, b, k, i))))
 
-    spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    runs = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), joined)
-    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), "__hash", runs.alias("__runs")).dropDuplicates(["__id", "__hash"]), "found", docs.count())
+    runs = let(F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), joined)
+    found = scratch.keep(found.select(F.col("doc_id").alias("__id"), "__hash", runs.alias("__runs")).dropDuplicates(["__id", "__hash"]), "found", input_bytes(docs))
     size = found.agg(F.count("*").alias("n"), F.sum(F.size("__runs")).alias("runs")).first()
     found = small_side(found, size.n, 64 + 16 * (size.runs or 0) // max(size.n, 1))
 
     part = lambda start, length: F.col("text").substr((start + 1).cast("int"), length.cast("int"))
-    masked = F.aggregate(
-        "__runs",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["text"], part(a["at"], s["start"] - a["at"]), F.lit(MASK)).alias("text")),
-        lambda a: F.concat(a["text"], part(a["at"], F.length("text"))),
-    )
+    last = lambda i: F.coalesce(F.get("__runs", i - 1)["end"], F.lit(0).cast("bigint"))
+    kept = F.transform("__runs", lambda s, i: part(last(i), s["start"] - last(i)))
+    masked = F.array_join(F.array_append(kept, part(last(F.size("__runs")), F.length("text"))), MASK)
     out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__hash")), "left")
     out = out.withColumn("__masked", F.when(F.col("__runs").isNotNull(), masked))
     new = {"text": F.coalesce("__masked", "text"), "n_chars": F.coalesce(F.length("__masked").cast("bigint"), "n_chars")}
