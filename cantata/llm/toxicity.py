@@ -6,8 +6,8 @@ discount, estimated from its counts of counts (n1 / (n1 + 2 n2), between 0 and 1
 language models, n-grams that a class has seen less often than a cutoff are left to the back-off; the cutoffs (1 cuts nothing) are chosen by
 the fit on held-out rows, and may leave the pairs out altogether.
 
-A text's score comes from length-normalised log-likelihood ratios: that of the whole text and those of its two most toxic stretches
-(an insult of one word vanishes in the mean over thousands). A logistic curve over these gives 0 to 1.
+A text's score comes from length-normalised log-likelihood ratios: that of the whole text, and of its windows of WINDOWS words the two highest of each size that don't
+overlap (an insult vanishes in the mean over thousands of words). A logistic curve over these, with no weight below 0, gives 0 to 1.
 
 What is fitted: class counts on at most SAMPLE_ROWS / 2 labelled rows, as many toxic as ordinary ones, and cutoffs and curve on as many other rows
 (those whose ids have the smallest hashes; of each role the texts that fit into SAMPLE_BYTES). Executors count; the driver receives distinct n-grams of the
@@ -35,13 +35,13 @@ from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, chunks, frugal
 SAMPLE_ROWS = 8192
 #: Text bytes of each role's rows (toxic, ordinary, curve), at most.
 SAMPLE_BYTES = 16 << 20
-#: Lengths of a stretch to choose from, in words.
-STRETCHES = (1, 4)
+#: Lengths of the windows that a text's highest ratios are taken from, in words, and how many of each.
+WINDOWS, TOPS = (1, 2, 4, 8), 2
 #: Counts below which an n-gram of a class is left to the back-off, to choose from; for pairs also none at all.
 CUTOFFS = (1, 2, 3, 4, 6, 9, 13, 20, 30, 45)
 NO_PAIRS = 1 << 40
-#: Bytes of a model that is shipped to the executors, at most.
-MAX_MODEL_BYTES = 128 << 20
+#: Bytes of word pairs that are shipped to the executors, at most; if the sample has more, those that it has least often are left to the back-off.
+MAX_PAIR_BYTES = 64 << 20
 #: Word pairs that a task holds, about.
 HELD_PAIRS = 1 << 21
 #: Groups that the corpus's words are dealt to. The pairs of a word that makes up more than HOT_SHARE of the sample go to all of them.
@@ -94,7 +94,6 @@ class Model:
     history_ratio: np.ndarray
     pair: np.ndarray
     pair_ratio: np.ndarray
-    stretch: int
     curve: np.ndarray  # constant, and a weight for each of the summary's columns
 
     def ratios(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -109,37 +108,39 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h, before, first = tokens_and_histories(data, offsets)
-        return curve_value(self.curve, Stretches(first, self.stretch).summary(self.ratios(h, before)))
+        return curve_value(self.curve, Windows(first).summary(self.ratios(h, before)))
 
 
-class Stretches:
-    """Where the stretches of some documents lie; first: each document's first word (n + 1)."""
+class Windows:
+    """Where the windows of some documents lie; first: each document's first word (n + 1)."""
 
-    def __init__(self, first: np.ndarray, stretch: int):
-        self.count, self.stretch = np.diff(first), stretch
+    def __init__(self, first: np.ndarray):
+        self.count = np.diff(first)
         self.full = np.flatnonzero(self.count)
         self.begin, self.end = first[self.full], first[self.full + 1]
-        size = self.count[self.full]
-        self.stop = np.minimum(np.arange(first[-1]) + stretch, np.repeat(self.end, size)) if stretch > 1 else None
-        self.doc = np.repeat(np.arange(len(self.full)), size)
+        self.size = self.count[self.full]
+        self.doc = np.repeat(np.arange(len(self.full), dtype=np.int32), self.size)
 
     def summary(self, r: np.ndarray) -> np.ndarray:
-        """Of each document: mean log-ratio, and the mean of its most toxic stretch and of the most toxic one that doesn't touch it."""
-        out = np.zeros((len(self.count), 3))
+        """Of each document: the mean log-ratio, and for each size the mean ratios of the highest window and of the highest that doesn't touch it. A window that
+        the text's end cuts short counts with its full length."""
+        out = np.zeros((len(self.count), 1 + TOPS * len(WINDOWS)))
         if not len(self.full):
             return out
         total = np.concatenate([[0], np.cumsum(r, dtype=np.float64)])
-        out[self.full, 0] = (total[self.end] - total[self.begin]) / self.count[self.full]
-        sums = (total[self.stop] - total[:-1]) / self.stretch if self.stretch > 1 else np.array(r, np.float64)
-        best = np.maximum.reduceat(sums, self.begin)
-        out[self.full, 1] = best
-        place = np.flatnonzero(sums == best[self.doc])
-        top = np.empty(len(self.full), np.int64)
-        top[self.doc[place[::-1]]] = place[::-1]
-        for k in range(1 - self.stretch, self.stretch):
-            near = top + k
-            sums[near[(near >= self.begin) & (near < self.end)]] = -1.0
-        out[self.full, 2] = np.maximum.reduceat(sums, self.begin)
+        out[self.full, 0] = (total[self.end] - total[self.begin]) / self.size
+        for k, width in enumerate(WINDOWS):
+            sums = (total[np.minimum(np.arange(len(r)) + width, np.repeat(self.end, self.size))] - total[:-1]) / width
+            for top in range(TOPS):
+                best = np.maximum.reduceat(sums, self.begin)
+                out[self.full, 1 + TOPS * k + top] = best
+                if top + 1 < TOPS:
+                    place = np.flatnonzero(sums == best[self.doc])
+                    at = np.empty(len(self.full), np.int64)
+                    at[self.doc[place[::-1]]] = place[::-1]
+                    for step in range(1 - width, width):
+                        near = at + step
+                        sums[near[(near >= self.begin) & (near < self.end)]] = -1.0
         return np.maximum(out, -1.0)
 
 
@@ -148,7 +149,19 @@ def curve_value(curve: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, with a small ridge."""
+    """Logistic regression by Newton steps, with a small ridge. Columns whose weight would be below 0 are taken out one after the other, the lowest first: more toxic windows never
+    make a text less toxic."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, use], y)
+        if not use or w[1:].min() >= 0:
+            out = np.zeros(1 + x.shape[1])
+            out[[0, *(1 + k for k in use)]] = w
+            return out
+        use.pop(int(w[1:].argmin()))
+
+
+def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])
     ridge = np.diag([1e-6, *[0.05] * x.shape[1]])
@@ -183,6 +196,13 @@ class Trainer:
         self.summed = summed
         self.discounts = np.array([[discount_of(x[:, k]) for k in (ORDINARY, TOXIC)] for x in (self.continues, self.count)])
 
+    def shipped(self) -> tuple[np.ndarray, int]:
+        """Places of the pairs that executors get, and how often a class must have had one: once, unless that would be too many."""
+        most, least = self.count.max(1, initial=0), 1
+        while 16 * (most >= least).sum() > MAX_PAIR_BYTES:
+            least += 1
+        return np.flatnonzero(most >= least), least
+
     def hot(self) -> np.ndarray:
         return self.word[self.times > HOT_SHARE * self.times.sum()]
 
@@ -205,13 +225,13 @@ class Trainer:
         weight = np.maximum(1 - self.summed(self.place, len(self.history), held) / after, 1e-9)
         return word, log(weight), log(held / after[self.place] + weight[self.place] * low[self.last])
 
-    def model(self, shared: np.ndarray, word_cutoff: int, pair_cutoff: int, stretch: int, curve: np.ndarray) -> Model:
+    def model(self, shared: np.ndarray, word_cutoff: int, pair_cutoff: int, curve: np.ndarray) -> Model:
         """Only what differs from the rest is kept."""
         word, history, pair = self.ratios(shared, word_cutoff, pair_cutoff)
         of_word = (self.continues >= word_cutoff).any(1)
         of_history = history != 0
         of_pair = (self.count >= pair_cutoff).any(1)
-        return Model(self.word[of_word], word[np.append(of_word, True)].astype(np.float32), self.history[of_history], history[of_history].astype(np.float32), self.pair[of_pair], pair[of_pair].astype(np.float32), stretch, curve)
+        return Model(self.word[of_word], word[np.append(of_word, True)].astype(np.float32), self.history[of_history], history[of_history].astype(np.float32), self.pair[of_pair], pair[of_pair].astype(np.float32), curve)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, text_col: str, id_col: str) -> DataFrame | None:
@@ -262,7 +282,8 @@ def _counted(sample: DataFrame) -> Trainer:
 
 def _placed(sample: DataFrame, trainer: Trainer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The curve's rows: labels, each one's first word (n + 1), and the places of words, histories and pairs among the trainer's; what it doesn't know has -1."""
-    shipped = sample.sparkSession.sparkContext.broadcast((trainer.word, trainer.history, trainer.pair))
+    known, _ = trainer.shipped()
+    shipped = sample.sparkSession.sparkContext.broadcast((trainer.word, trainer.history, trainer.pair[known]))
 
     def run(batches):
         word, history, pair = shipped.value
@@ -278,8 +299,10 @@ def _placed(sample: DataFrame, trainer: Trainer) -> tuple[np.ndarray, np.ndarray
     raw, y = got.column("places").to_pylist(), np.asarray(got.column("label")).astype(float)
     del got
     first = np.concatenate([[0], np.cumsum([len(x) // 12 for x in raw])]).astype(np.int64)
-    places = np.ascontiguousarray(np.frombuffer(b"".join(raw), "<i4").reshape(-1, 3).T)
+    places = np.array(np.frombuffer(b"".join(raw), "<i4").reshape(-1, 3).T)
     del raw
+    if len(known) < len(trainer.pair):
+        places[2] = np.append(known, -1)[places[2]]
     release()
     return y, first, *places
 
@@ -420,37 +443,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text
     trainer = _counted(sample)
     if not trainer.count.any(0).all():
         return None
-    if trainer.word.nbytes + trainer.history.nbytes + trainer.pair.nbytes > MAX_MODEL_BYTES:
-        raise ValueError("the models' n-grams are too large to ship; take fewer rows in the sample")
     y, first, word, history, pair = _placed(sample, trainer)
     if len(set(y)) < 2:
         return None
     shared = _shared(docs, trainer.word, trainer.hot(), text_col)
 
-    places = {n: Stretches(first, n) for n in STRETCHES}
+    windows, (_, least) = Windows(first), trainer.shipped()
 
-    def tried(word_cutoff: int, pair_cutoff: int, stretch: int):
+    def tried(word_cutoff: int, pair_cutoff: int):
         of_word, of_history, of_pair = trainer.ratios(shared, word_cutoff, pair_cutoff)
         r = of_word[word]
         if pair_cutoff < NO_PAIRS:
             r = np.where(pair >= 0, of_pair[pair], r + np.where(history >= 0, of_history[history], 0.0))
-        x = places[stretch].summary(r)
+        x = windows.summary(r)
         curve = fit_curve(x, y)
         p = np.clip(curve_value(curve, x), 1e-9, 1 - 1e-9)
-        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), (word_cutoff, pair_cutoff, stretch, curve)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), (word_cutoff, pair_cutoff, curve)
 
     best = lambda choices: min((tried(*c) for c in choices), key=lambda x: x[0])
-    now = best((k, NO_PAIRS, n) for k in CUTOFFS for n in STRETCHES)
-    k, _, n, _ = now[1]
-    now = min(now, best((k, c, n) for c in CUTOFFS), key=lambda x: x[0])
+    now = best((k, NO_PAIRS) for k in CUTOFFS)
+    k = now[1][0]
+    now = min(now, best((k, c) for c in sorted({max(c, least) for c in CUTOFFS})), key=lambda x: x[0])
     model = trainer.model(shared, *now[1])
-    del trainer, places, word, history, pair, shared, tried, best
+    del trainer, windows, word, history, pair, shared, tried, best
     release()
     return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a row: the kept columns and score."""
+    """One row a row: the kept columns and score; a kept column of that name gives way to it."""
+    keep = tuple(c for c in keep if c != "score")
     fields = [*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("score", T.DoubleType())]
     k = len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)

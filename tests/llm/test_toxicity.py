@@ -118,7 +118,7 @@ def test_ratios_against_plain_version(spark):
     name = {int(toxicity.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, 1]))[0][0]): w for w in "abcdefghijklmnopz"}
     shared = np.array([value(name[int(h)]) for h in trainer.word])
     for word_cutoff, pair_cutoff in ((1, 1), (3, 2), (2, None), (6, 9)):
-        model = trainer.model(shared, word_cutoff, toxicity.NO_PAIRS if pair_cutoff is None else pair_cutoff, 1, np.zeros(4))
+        model = trainer.model(shared, word_cutoff, toxicity.NO_PAIRS if pair_cutoff is None else pair_cutoff, np.zeros(9))
         plain = plain_ratios(texts, labels, value, word_cutoff, pair_cutoff)
         for t in (*texts[:8], "z a z z b", "a z c"):
             h, before, _ = toxicity.tokens_and_histories(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
@@ -157,8 +157,37 @@ def test_real_labels(spark):
     assert np.mean([r.ok for r in out]) > 0.94
 
 
-def test_summary_by_hand():
-    r = np.array([0, 0, 5, 5, 0, 0, 0, 0, 0, 3, 1.0])
-    n = 4
-    got = toxicity.Stretches(np.array([0, 10, 10, 11]), n).summary(r)
-    assert np.allclose(got, [[1.3, 10 / n, 3 / n], [0, 0, 0], [1, 1 / n, -1]])
+def plain_summary(r):
+    out = [sum(r) / len(r) if r else 0.0]
+    for width in toxicity.WINDOWS:
+        sums = [sum(r[i : i + width]) / width for i in range(len(r))]
+        first = max(range(len(r)), key=lambda i: (sums[i], -i), default=None)
+        others = [s for i, s in enumerate(sums) if abs(i - first) >= width] if r else []
+        out += [sums[first], max(others, default=-1.0)] if r else [0.0, 0.0]
+    return [max(x, -1.0) for x in out]
+
+
+def test_summary_against_plain_windows():
+    rng = random.Random(9)
+    texts = [[rng.choice([-9.0, -0.5, 0.0, 0.25, 1.0, 3.0]) for _ in range(rng.choice([0, 1, 2, 5, 20, 60]))] for _ in range(200)]
+    got = toxicity.Windows(np.cumsum([0, *map(len, texts)])).summary(np.array([x for t in texts for x in t]))
+    assert np.allclose(got, [plain_summary(t) for t in texts])
+
+
+def test_no_weight_is_below_zero():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] - x[:, 1] + 0.1 * rng.normal(size=500) > 0).astype(float)
+    w = toxicity.fit_curve(x, y)
+    assert w[1] > 0.5 and (w[1:] >= 0).all() and w[2] == 0
+    assert (toxicity.fit_curve(-np.ones((20, 2)), np.ones(20))[1:] == 0).all()
+
+
+def test_too_many_pairs_leave_the_rare_ones_out(spark, monkeypatch):
+    docs, labels = corpus(random.Random(7))
+    d, known = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as score"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_PAIR_BYTES", 20_000)
+    model = toxicity.fit(d, known)
+    assert model.pair.nbytes <= 20_000
+    out = toxicity.score(d, model, keep=("doc_id", "score"))
+    assert out.columns == ["doc_id", "score"] and np.mean([(r.score >= 0.5) == labels[r.doc_id][1] for r in out.collect()]) > 0.95
