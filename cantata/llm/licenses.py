@@ -3,7 +3,8 @@
 Templates are statements, standard headers, titles, whole short licences and the openings of long ones, each a sparse TF-IDF vector over words; the document
 frequencies of the templates' words are counted over the whole corpus. Of a file with a licence cue these stretches become vectors, over line breaks and
 comment signs: around each cue with so many words before and after, each paragraph that holds a cue, the beginnings of the file, and the whole file. All
-stretches of a batch meet all templates in one matrix product. A title at the beginning names a licence file's licence (its text quotes other
+stretches of a batch meet all templates in matrix products, the cues so many at a time. As a vector knows no order, a stretch counts only if more than ORDER of
+its neighbouring words are neighbours in its template, too, and if no negation stands before it in its sentence, NEAR words away at most. A title at the beginning names a licence file's licence (its text quotes other
 licences); else the best stretch above the threshold is the file's own licence. A licence file, by its name or because
 statements make up a good part of it, sets the licence of its directory; files without a licence of their own inherit from the nearest
 directory above them that has one.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, input_bytes, measured_side, member, salted_join, text_buffer, word_hashes, words
+from cantata.llm.common import ALNUM_OR_WIDE, CHUNK_BYTES, LOWER, Scratch, chunks, frugal, input_bytes, measured_side, member, mix, salted_join, text_buffer, word_hashes, words
 
 #: Licences and what statements call them.
 NAMES = {
@@ -151,15 +152,27 @@ TITLE_THRESHOLD = 0.8
 FILE_SHARE = 0.3
 #: Words before a cue and from it on, and words of a file's beginning.
 BEFORE, AFTER, HEADS = (0, 1, 2, 4, 8, 16, 32), (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 40, 64), (3, 5, 7, 9, 12, 16, 24)
+#: Share of neighbouring words that a stretch must have in common with its template, and words within which a negation speaks about what follows.
+ORDER, NEAR = 0.5, 6
+#: Words of templates that must be there in full, and of templates that are one statement.
+BRIEF, STATEMENT = 3, 24
+#: Words that say that something doesn't hold.
+NEGATIONS = ("not", "never", "nor", "neither", "without", "isn", "aren", "cannot")
+#: Cues whose stretches are scored at once.
+CUES_AT_ONCE = 2048
 #: Words of stretches that are scored at once.
 SCORED = 1 << 19
 CUES = "license licence licensed licences licenses unlicense copyright copyrighted rights domain permission permitted redistribution redistributions redistribute spdx waived mit isc bsd gpl gnu".split()
 
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+_SENTENCE = re.compile(rb"[.!?;:][ \t\r\n]|\n[ \t\r*#/;%!>-]*\n")
 _BREAK = re.compile(rb"\n[ \t\r*#/;%!>-]*\n")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
+_STEP = np.uint64(0xD1342543DE82EF95)
+
+
 def terms(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -174,6 +187,11 @@ def _hashes(texts: list[str]) -> np.ndarray:
     return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
 
 
+def _pair(a: np.ndarray, b: np.ndarray, template) -> np.ndarray:
+    """A hash of two neighbouring words and a template's number."""
+    return mix(mix(a * _STEP + b) + np.asarray(template).astype(np.uint64))
+
+
 class Scorer:
     """Cosine of stretches of text to every template. frequency: in how many of n documents each word of the vocabulary stands."""
 
@@ -184,7 +202,11 @@ class Scorer:
         self.idf = np.array([log((1 + n) / (1 + frequency.get(VOCABULARY[k], 0))) + 1 for k in order.tolist()])
         self.unknown = log(1 + n) + 1
         self.cues = np.sort(_hashes(CUES))
+        self.negations = np.sort(_hashes(list(NEGATIONS)))
         self.names = np.array([name for name, _, _ in TEMPLATES])
+        self.length = np.array([len(terms(text)) for _, text, _ in TEMPLATES])
+        self.plain = np.array([len(terms(text)) <= STATEMENT and not set(NEGATIONS) & set(terms(text)) for _, text, _ in TEMPLATES])
+        self.pairs = np.unique(np.concatenate([_pair(h[:-1], h[1:], j) for j, (_, text, _) in enumerate(TEMPLATES) for h in (_hashes(terms(text)),)]))
         self.title = np.array([title for _, _, title in TEMPLATES])
         self.yields = {name: (longer, np.array([text == clause for _, text, _ in TEMPLATES])) for name, (longer, clause) in YIELDS.items()}
         place = {VOCABULARY[k]: i for i, k in enumerate(order.tolist())}
@@ -225,6 +247,29 @@ class Scorer:
             i = j
         return tuple(out)
 
+    def ordered(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, template: np.ndarray) -> np.ndarray:
+        """Which stretches have their template's neighbours: more than ORDER of the pairs that the shorter of the two has."""
+        size = np.maximum(hi - lo - 1, 0)
+        owner = np.repeat(np.arange(len(lo)), size)
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(owner)) if len(owner) else np.zeros(0, np.int64)
+        hit = member(self.pairs, _pair(h[at], h[at + 1], template[owner]))
+        most = np.minimum(size, self.length[template] - 1)
+        whole = (self.length[template] > BRIEF) | (hi - lo >= self.length[template])
+        return whole & ((most == 0) | (np.bincount(owner[hit], minlength=len(lo)) > ORDER * most))
+
+    def denied(self, low: np.ndarray, starts: np.ndarray, stops: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, template: np.ndarray) -> np.ndarray:
+        """Before which stretches a negation stands, NEAR words away at most and in the same sentence; or in which, where a statement without one was found."""
+        no = np.flatnonzero(member(self.negations, h))
+        out = np.zeros(len(lo), bool)
+        if not len(no) or not len(lo):
+            return out
+        ends = np.array([m.start() for m in _SENTENCE.finditer(low.tobytes())], np.int64)
+        k = np.searchsorted(no, lo) - 1
+        last = no[np.maximum(k, 0)]
+        near = (k >= 0) & (lo - last <= NEAR)
+        out[near] = np.searchsorted(ends, starts[lo[near]]) == np.searchsorted(ends, stops[last[near]] - 1)
+        return out | (self.plain[template] & (np.searchsorted(no, lo) < np.searchsorted(no, hi)))
+
     def scan(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[str | None, float, int, float]]:
         """Of each text the licence, score, number of statements, and their share of the words."""
         low = LOWER[data]
@@ -237,22 +282,38 @@ class Scorer:
         doc = np.searchsorted(first, cue, side="right") - 1
         some = np.unique(doc)
         before, after = (x.ravel() for x in np.meshgrid(BEFORE, AFTER))
-        lo = [np.maximum(first[doc][:, None], cue[:, None] - before).ravel(), np.repeat(first[some], len(HEADS) + 1)]
-        hi = [np.minimum(first[doc + 1][:, None], cue[:, None] + after).ravel(), np.minimum(first[some + 1][:, None], np.append(first[some][:, None] + np.array(HEADS), first[some + 1][:, None], axis=1)).ravel()]
-        head = [np.zeros(len(lo[0]), bool), np.tile(np.arange(len(HEADS) + 1) < len(HEADS), len(some))]
+        found = []
+
+        def judged(lo, hi, head) -> None:
+            """Scores stretches and keeps those that may count, over all templates or as titles."""
+            _, at = np.unique(np.stack([lo, hi, ~head], 1), axis=0, return_index=True)
+            lo, hi, head = lo[at], hi[at], head[at]
+            score, best, title, best_title = self.scores(h, lo, hi)
+            good = score >= threshold
+            good[good] = self.ordered(h, lo[good], hi[good], best[good]) & ~self.denied(low, starts, stops, h, lo[good], hi[good], best[good])
+            titled = head & (title >= TITLE_THRESHOLD)
+            titled[titled] = self.ordered(h, lo[titled], hi[titled], best_title[titled]) & ~self.denied(low, starts, stops, h, lo[titled], hi[titled], best_title[titled])
+            keep = good | titled
+            found.append(tuple(x[keep] for x in (lo, hi, titled, np.where(good, score, -1.0), best, title, best_title)))
+
+        for k in range(0, len(cue), CUES_AT_ONCE):
+            c, of = cue[k : k + CUES_AT_ONCE], doc[k : k + CUES_AT_ONCE]
+            lo = np.maximum(first[of][:, None], c[:, None] - before).ravel()
+            judged(lo, np.minimum(first[of + 1][:, None], c[:, None] + after).ravel(), np.zeros(len(lo), bool))
+        lo = [np.repeat(first[some], len(HEADS) + 1)]
+        hi = [np.minimum(first[some + 1][:, None], np.append(first[some][:, None] + np.array(HEADS), first[some + 1][:, None], axis=1)).ravel()]
+        head = [np.tile(np.arange(len(HEADS) + 1) < len(HEADS), len(some))]
         for d in some.tolist():
             raw = low[offsets[d] : offsets[d + 1]].tobytes()
             cuts = first[d] + np.searchsorted(starts[first[d] : first[d + 1]] - offsets[d], [0, *(m.end() for m in _BREAK.finditer(raw)), len(raw)])
             holds = np.unique(np.searchsorted(cuts, cue[doc == d] if len(some) == 1 else cue[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")], side="right")) - 1
             lo.append(cuts[holds]), hi.append(cuts[holds + 1]), head.append(np.zeros(len(holds), bool))
-        lo, hi, head = np.concatenate(lo), np.concatenate(hi), np.concatenate(head)
-        _, at = np.unique(np.stack([lo, hi, ~head], 1), axis=0, return_index=True)
-        lo, hi, head = lo[at], hi[at], head[at]
-        score, best, title, best_title = self.scores(h, lo, hi)
+        judged(*map(np.concatenate, (lo, hi, head)))
+        lo, hi, head, score, best, title, best_title = map(np.concatenate, zip(*found))
         owner = np.searchsorted(first, lo, side="right") - 1
-        good = np.flatnonzero(score >= threshold)
+        good = np.flatnonzero(score >= 0)
         good = good[np.lexsort([self.names[best[good]], lo[good], -score[good], owner[good]])]
-        titled = np.flatnonzero(head & (title >= TITLE_THRESHOLD))
+        titled = np.flatnonzero(head)
         titled = titled[np.lexsort([self.names[best_title[titled]], -title[titled], owner[titled]])]
         lead = dict(zip(owner[titled][::-1].tolist(), titled[::-1].tolist()))
         bound = np.searchsorted(owner[good], np.arange(len(out) + 1))

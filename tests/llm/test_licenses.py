@@ -170,3 +170,34 @@ def test_inheritance_against_plain_version(spark):
 def test_bytes_that_are_no_utf8(spark):
     df = spark.createDataFrame([("a/f", b"\xff Released under the MIT License. \xe4")], "p string, b binary").selectExpr("p", "cast(b as string) as text")
     assert [r.license for r in licenses.scan(df, F.col("p"), keep=("p",)).collect()] == ["MIT"]
+
+
+def frequent_scorer():
+    """As in a corpus where the words of statements are rare."""
+    return licenses.Scorer({w: 2 + i % 5 for i, w in enumerate(licenses.VOCABULARY)}, 10_000)
+
+
+def found(scorer, *texts):
+    raw = [t.encode() for t in texts]
+    return [x[0] for x in scorer.scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), licenses.THRESHOLD)]
+
+
+def test_order_and_negations():
+    s = frequent_scorer()
+    assert found(s, "Artists reserved all rights", "Not licensed under the MIT License", "This is not released under the MIT License, as you know", "rights of all reserved seats") == [None] * 4
+    assert found(s, "Copyright 2020 Foo. Licensed under a commercial license") == [None]
+    assert found(s, "Copyright 2020 Foo. All rights reserved.", "It is not hard. Licensed under the MIT License", "Released under the MIT License, not the GPL", "we do NOT ship it\n\nLicensed under the Apache License, Version 2.0") == ["Proprietary", "MIT", "MIT", "Apache-2.0"]
+    for name, called in licenses.NAMES.items():
+        for title in called:
+            assert found(s, f"Licensed under the {title}.")[0] is not None, (name, title)
+
+
+def test_many_cues_take_time_in_proportion():
+    import time
+
+    s, took = frequent_scorer(), []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        assert found(s, "rights license copyright permission spdx " * (n // 5) + "\n\nReleased under the MIT License.\n") in (["MIT"], [None])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 1 and took[1] < 40
