@@ -13,6 +13,7 @@ from cantata.model import AUDIO_PREFIX, DTYPES, LANGUAGE_PREFIX, LANGUAGES, TEXT
 
 #: White space as Unicode has it, with the information separators; the classes work in Spark's and in RE2's syntax.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # the same, as characters
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 #: Ideographs that count as words of their own.
 CJK = r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{2b740}-\x{2b81f}\x{2b820}-\x{2ceaf}\x{f900}-\x{faff}"
@@ -29,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -138,7 +139,7 @@ def clean_token(c: Column) -> Column:
 
 def split_cjk(c: Column) -> Column:
     """Each ideograph alone, what stands between them together."""
-    return F.regexp_extract_all(c, F.lit(f"[{CJK}]|[^{CJK}]+"), F.lit(0))
+    return F.when(F.regexp(c, F.lit(f"[{CJK}]")), F.regexp_extract_all(c, F.lit(f"[{CJK}]|[^{CJK}]+"), F.lit(0))).otherwise(F.array(c))
 
 
 def words_spaced(c: Column) -> Column:

@@ -77,7 +77,7 @@ def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int, int]:
 
 
 def aligned(df: DataFrame, reference: str, hypothesis: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Kept columns and the EDITS between two arrays of strings (words, or characters) of each row. A null array is empty, a null in an array is a value."""
+    """Kept columns and the EDITS between two arrays of strings (words) of each row, or between two strings by their characters. Null is empty; a null in an array is a value."""
     import pyarrow as pa
 
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in EDITS)])
@@ -87,7 +87,7 @@ def aligned(df: DataFrame, reference: str, hypothesis: str, keep: tuple[str, ...
         for batch in batches:
             rows = []
             for r, h in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
-                r, h = r or [], h or []
+                r, h = r or (), h or ()
                 rows.append((len(r), len(h), *edit_counts(r, h)))
             columns = zip(*rows) if rows else [()] * len(EDITS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k)), *(pa.array(list(c), pa.int64()) for c in columns)], names=schema.names)

@@ -47,7 +47,7 @@ SELECT role, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_ref, CAST(sum(m) AS BIGI
 
 def char_errors(spark, sf):
     """By characters; letters beyond ASCII are folded to one, so that byte-wise SQL can follow."""
-    chars = lambda c: F.regexp_extract_all(F.regexp_replace(F.array_join(c, " "), r"[^\x00-\x7F]", "?"), F.lit("(?s)."), F.lit(0))
+    chars = lambda c: F.regexp_replace(F.array_join(c, " "), r"[^\x00-\x7F]", "?")
     rows = _heard(spark, sf).select("conv_id", "turn", "role", chars("ref").alias("ref"), chars("hyp").alias("hyp"))
     out = scoring.aligned(rows, "ref", "hyp", keep=("conv_id", "turn"))
     return out.select("conv_id", "turn", "n_ref", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("edits"))

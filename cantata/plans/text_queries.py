@@ -158,9 +158,8 @@ def route_audio(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("text").alias("s"))
     packed = texts.select(routing.data_url("audio/wav", F.encode("s", "utf-8")).alias("s"))
     rows = urls.unionByName(texts).unionByName(packed).unionByName(spark.createDataFrame([(x,) for x in SPECIAL_INPUTS], "s string"))
-    return rows.groupBy(routing.route(F.col("s")).alias("kind"), routing.base64_bytes(F.when(F.col("s").startswith("data:"), F.col("s"))).isNotNull().alias("decodes")).agg(
-        F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.sum(F.octet_length(routing.base64_bytes(F.when(F.col("s").startswith("data:"), F.col("s"))))).alias("payload")
-    )
+    rows = rows.select("s", F.octet_length(routing.base64_bytes(F.when(F.col("s").startswith("data:"), F.col("s")))).alias("bytes"))
+    return rows.groupBy(routing.route(F.col("s")).alias("kind"), F.col("bytes").isNotNull().alias("decodes")).agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.sum("bytes").alias("payload"))
 
 
 ROUTE_SQL = f"""

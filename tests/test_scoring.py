@@ -56,9 +56,10 @@ def test_error_rates(spark):
     assert tuple(out["en"])[1:] == (3, 3, 5, 2, 1, 0, 2, 1.0) and out["de"].error_rate == 1.0 and out["none"].error_rate is None
     assert scoring.error_rates(scoring.aligned(df, "r", "h")).collect()[0].error_rate == 5 / 6
     words = [("".join(random.Random(i).choices("abé ", k=i)), "".join(random.Random(-i).choices("abé ", k=i + 2))) for i in range(40)]
-    df = spark.createDataFrame(words, "a string, b string").select("*", *(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)).alias(f"{c}s") for c in "ab"))
-    got = scoring.aligned(df, "as", "bs", keep=("a", "b")).withColumn("want", F.levenshtein("a", "b"))
+    df = spark.createDataFrame([*words, (None, "ab")], "a string, b string").select("*", *(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)).alias(f"{c}s") for c in "ab"))
+    got = scoring.aligned(df, "as", "bs", keep=("a", "b")).withColumn("want", F.levenshtein(F.coalesce("a", F.lit("")), "b"))
     assert got.where("substitutions + deletions + insertions != want").count() == 0
+    assert sorted(map(str, scoring.aligned(df, "a", "b", keep=("a", "b")).collect())) == sorted(map(str, got.drop("want").collect()))
     assert scoring.error_rates(scoring.aligned(df.where("false"), "as", "bs")).collect() == []
 
 
