@@ -350,13 +350,15 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
         size = np.dtype(dtype).itemsize
         return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype)[:, 0]
 
+    def bucket_of(word, pair):
+        """Words are dealt by their hashes, and the pairs of hot ones by their own."""
+        return (np.where(lookup(hot, word) >= 0, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
+
     def pack(held):
-        word, pair = together(held)
-        wide = lookup(hot, word) >= 0
-        bucket = (np.where(wide, pair >> np.uint64(52), word >> np.uint64(52)) % np.uint64(BUCKETS)).astype(np.uint16)
-        for w, p, some in in_parts(word, pair, bucket // (BUCKETS // PARTS)):
-            if len(w):
-                yield from packed_part(*distinct(w, p >> np.uint64(16), bucket[some]))
+        for part in held:
+            if part:
+                word, pair = together(part)
+                yield from packed_part(*distinct(word, pair >> np.uint64(16), bucket_of(word, pair)))
 
     def packed_part(word, pair, bucket, begin):
         low = pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -370,18 +372,26 @@ def _continuations(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.array(columns[0], np.int32)), *(pa.array(c, pa.binary()) for c in columns[1:])], names=packed.names)
 
     def gather(batches):
-        held, size = [], 0
+        """Pairs are held in PARTS parts by their bucket, each of which is sorted alone, so that what sorting takes is that much less."""
+        held, size = [[] for _ in range(PARTS)], 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for i, j in chunks(offsets, CHUNK_BYTES):
                 h, pairs, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held.append((h, pairs))
+                part = bucket_of(h, pairs) // (BUCKETS // PARTS)
+                for k in range(PARTS):
+                    some = np.flatnonzero(part == k)
+                    held[k].append((h[some], pairs[some]))
                 size += len(h)
                 if size > HELD_PAIRS:
-                    held = [merged(held)[:2]]
-                    if (size := len(held[0][0])) > 3 * HELD_PAIRS // 4:
+                    size = 0
+                    for part in held:
+                        word, pair = together(part)
+                        part.append(distinct(word, pair, np.zeros(len(word), np.uint16))[:2])
+                        size += len(part[0][0])
+                    if size > 3 * HELD_PAIRS // 4:
                         yield from pack(held)
-                        held, size = [], 0
+                        size = 0
         if size:
             yield from pack(held)
 
