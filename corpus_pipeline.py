@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; a driver writes it as Parquet and hands what it reads back to the next
 one. All stages but the last return the columns of documents.
+
+Defined cases, in every stage: no documents give none. A null or empty text isn't rejected, has no duplicates, no benchmark window and no secret, and has no tokens. Texts are judged whole, a very long one in
+one task. Rows with a null or a repeated id are told apart by their texts. Columns that documents has beside the five, whatever their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
