@@ -74,3 +74,21 @@ def test_rejected_rows_take_no_others_with_their_id(spark):
     bad, good = (next(t for d, t in rows if judged[d] == k) for k in (1, 0))
     got = left(corpus_pipeline.drop_toxic, spark, rows + [(None, bad), (None, good), (None, None)])
     assert {t for d, t in got if d is None} == {good, None}
+
+
+def test_long_texts_and_columns_of_any_name(spark):
+    """A text of 300,000 words, nulls, and columns named as those that the operators make."""
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    long = " ".join(f"w{i % 997}" for i in range(300_000))
+    rows = [(10**6, long, "en", "x", len(long)), (10**6 + 1, None, None, None, None)]
+    docs = base.unionByName(spark.createDataFrame(rows, base.schema)).selectExpr("*", "1 AS score", "'h' AS hash", "2 AS row", "3 AS found", "'i' AS ids")
+    for some in (docs, docs.where("false")):
+        columns, now = some.columns, some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, sf)
+            assert now.columns == columns, name
+            kept = {r.doc_id: r.text for r in now.collect()}
+            assert (kept[10**6], kept[10**6 + 1]) == (long, None) if some is docs else not kept
+        out = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode(spark, now, sf).collect()}
+        assert not out if some is not docs else out[10**6] > 300_000 and out[10**6 + 1] == 0
