@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cantata.functions.text import is_blank, let
 from cantata.model import TURN_LABELS
+from cantata.operators.joins import running_totals, small_side
 from cantata.storage import Scratch
 
 INCOMPLETE, COMPLETE = TURN_LABELS
@@ -65,9 +67,18 @@ def text_checks(text: str, least: int = 1, most: int = 1 << 20) -> list[Check]:
     return [Check("blank", ~is_blank(c)), Check("control characters", ~c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")), Check("length", F.length(c).between(least, most))]
 
 
-def ratio_bounds(df: DataFrame, by: str, ratio: Column, low: float, high: float, margin: float = 1.0, accuracy: int = 10_000) -> DataFrame:
-    """(by, low, high): quantiles of a ratio by group, widened by a factor. Sketches of fixed size are merged, so a group may hold all rows."""
-    return df.groupBy(by).agg(F.percentile_approx(ratio, [low, high], accuracy).alias("q")).select(by, (F.get("q", F.lit(0)) / margin).alias("low"), (F.get("q", F.lit(1)) * margin).alias("high"))
+def ratio_bounds(df: DataFrame, by: str, ratio: Column, low: float, high: float, margin: float = 1.0) -> DataFrame:
+    """(by, low, high): quantiles of a ratio by group, widened by a factor. They are exact: the smallest value up to which there is at least that share (taken as the decimal
+    number it is written as) of the group's values; nulls don't count. Distinct values are counted and added up over range partitions, so a group may hold all rows."""
+    scratch = Scratch(df.sparkSession)
+    values = scratch.keep(df.select(by, ratio.alias("__value")).groupBy(by, "__value").agg(F.count("__value").alias("__n")), "values")
+    totals = values.groupBy(F.col(by).alias("__by")).agg(F.sum("__n").alias("__total"))
+    values = values.join(small_side(totals, totals.count(), 100), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    ranked = running_totals(values, [by], [F.asc("__value")], ["__n"])
+    scratch.drop("values")
+    rank = lambda p: F.greatest(F.ceil(F.col("__total").cast("decimal(20,0)") * F.lit(Decimal(str(p)))), F.lit(1))
+    at = lambda p: F.min(F.when(F.col("running___n") >= rank(p), F.col("__value")))
+    return ranked.groupBy(by).agg((at(low) / margin).alias("low"), (at(high) * margin).alias("high"))
 
 
 def with_bounds(df: DataFrame, by: str, bounds: DataFrame) -> DataFrame:

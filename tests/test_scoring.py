@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,19 @@ def test_quantile_sketches(spark):
     bounds = samples.ratio_bounds(df.selectExpr("if(g = 0, 'a', null) AS g", "v"), "g", F.col("v"), 0.25, 0.75, margin=2.0)
     got = samples.with_bounds(spark.createDataFrame([("a",), (None,), ("b",)], "g string"), "g", bounds).collect()
     assert [(r.low is None) for r in got] == [False, False, True] and abs(got[0].low - 5000) < 50 and abs(got[0].high - 60_000) < 200
+
+
+def test_bounds_are_exact(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot"] * 20 + [None]), rng.choice([None, 1.0, *(rng.random() for _ in range(30))])) for _ in range(20_000)]
+    rows += [("hundred", float(i)) for i in range(1, 101)] + [("one", 2.0), ("nulls", None), ("nan", 1.0), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    key = lambda x: (math.isnan(x), x)
+    for small, shares in ((joins.SMALL, ("0.05", "0.95")), (joins.SMALL, ("0.07", "0.56")), (0, ("0.0", "1.0"))):
+        monkeypatch.setattr(joins, "SMALL", small)
+        got = {r.g: (r.low, r.high) for r in samples.ratio_bounds(df, "g", F.col("v"), *map(float, shares)).collect()}
+        assert set(got) == {g for g, _ in rows}
+        for g, bounds in got.items():
+            of = sorted((v for k, v in rows if k == g and v is not None), key=key)
+            want = [of[max(math.ceil(len(of) * Fraction(p)), 1) - 1] if of else None for p in shares]
+            assert str(list(bounds)) == str(want), g
